@@ -1,12 +1,16 @@
 """The queries opN_<name> and pipeline, and SQL for those that SQL expresses."""
 
-from tessera.llm import exact, packing
+from tessera.llm import exact, html, langid, packing, urls
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op5_exact_dedup": exact.op5_exact_dedup,
+    "op7_url_filter": urls.op7_url_filter,
+    "op8_language_id": langid.op8_language_id,
+    "op10_html_extraction": html.op10_html_extraction,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact.OP5_SQL,
+    "op7_url_filter": urls.OP7_SQL,
 }
