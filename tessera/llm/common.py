@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -105,7 +104,3 @@ def slices(texts: list[bytes], most: int = 4_000_000):
     if start < len(texts):
         yield start, len(texts)
 
-
-def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed, so that extra columns can't clash."""
-    return df.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.common import Work, narrow, texts_of
+from tessera.llm.common import Work, texts_of
 
 ROW = "doc_id long, file string, row long"
 STATE = {
@@ -29,14 +29,12 @@ STATE = {
 }
 
 
-def located(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and the locator of each row; rows that no file scan gave get a running number."""
-    base = {"doc_id": F.col(f"`{id_col}`").cast("long"), "text": F.col(f"`{text_col}`")}
-    cols = [c.alias(n) for n, c in base.items()]
+def with_locators(work: Work, df: DataFrame) -> DataFrame:
+    """df with __file and __row, each row's content locator; what no file scan gave is written first."""
     try:
-        return df.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     except AnalysisException:
-        return df.select(*cols, F.lit("").alias("file"), F.monotonically_increasing_id().alias("row"))
+        return with_locators(work, work.cut(df, "input"))
 
 
 def _digests(bits: int, with_body: bool, bloom: np.ndarray | None = None):
@@ -114,21 +112,13 @@ def stream_groups(work: Work, rows_path: str, schema, state: str, out: str) -> D
     return changes.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.keep", "s.n")
 
 
-def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal if identical after lower-casing A-Z; null equals empty.  Of
-    equal texts the row with the largest id stays; a null id comes last; of rows
-    repeated with the same id, the one with the last locator stays.  Other
-    columns of `df` are not read.  An empty table gives no rows.  digest_bits
-    under 256 makes digests collide and serves tests of the full-bytes check.
-    """
-    work = Work(spark, "exact")
-    source = located(df, id_col, text_col)
+def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
+    """doc_id, file, row, keep, n, sha256 of each row."""
+    source = located.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     rows_schema = f"{ROW}, digest binary, sha256 string"
     rows = work.cut(source.mapInArrow(_digests(digest_bits, False), rows_schema), "rows")
     if not rows.head(1):
-        return rows.selectExpr("doc_id", "doc_id AS keep_id", "0L AS group_size", "true AS kept", "sha256 AS text_sha256")
+        return rows.selectExpr("doc_id", "file", "row", "struct(doc_id, file, row) AS keep", "0L AS n", "sha256")
     groups = work.cut(stream_groups(work, work.path("rows"), rows.schema, work.path("state"), work.path("changes")), "groups")
     work.drop("state")
     hits = groups.where("n > 1").select("digest")
@@ -145,13 +135,33 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     out = rows.join(final, "digest").select("doc_id", "file", "row", "keep", "n", "sha256")
     if told is not None:
         out = out.unionByName(told)
-    kept = F.struct("doc_id", "file", "row").eqNullSafe(F.col("keep"))
-    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), kept.alias("kept"), F.col("sha256").alias("text_sha256"))
+    return out
+
+
+def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal if identical after lower-casing A-Z; null equals empty.  Of
+    equal texts the row with the largest id stays; a null id comes last; of rows
+    repeated with the same id, the one with the last locator stays.  Other
+    columns of `df` are not read.  An empty table gives no rows.  digest_bits
+    under 256 makes digests collide and serves tests of the full-bytes check.
+    """
+    work = Work(spark, "exact")
+    out = _judged(work, with_locators(work, df), id_col, text_col, digest_bits)
+    return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _stays().alias("kept"), F.col("sha256").alias("text_sha256"))
 
 
-def dropped_ids(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Ids that do not stay."""
-    return narrow(dedup(spark, df).where("NOT kept"), doc_id="doc_id")
+def _stays():
+    return F.struct("doc_id", "file", "row").eqNullSafe(F.col("keep"))
+
+
+def distinct_rows(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stay, with all their columns; told by locator, so null and repeated ids do no harm."""
+    work = Work(spark, "exact")
+    located = with_locators(work, df)
+    gone = _judged(work, located, id_col, text_col, 256).where(~_stays()).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    return located.join(gone, ["__file", "__row"], "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

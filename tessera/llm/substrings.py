@@ -204,10 +204,10 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
 
 
-def keyed(work: Work, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(work: Work, df: DataFrame, id_col: str, text_col: str, carry: tuple = ()) -> DataFrame:
     """doc_id, text and a row number that a second reading gives again: a file scan is numbered
     by its splits, anything else is written first."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
     try:
         df.select("_metadata.row_index")
     except AnalysisException:
@@ -225,7 +225,7 @@ def repeated_spans(work: Work, docs: DataFrame) -> DataFrame:
     work.drop("seen")
     kinds = again.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"), F.min(F.struct("key", "start", "n")).alias("at"))
     kinds = work.cut(kinds, "kinds")
-    kinds_of = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1 OR kinds = 1")
+    kinds_of = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     wanted = kinds.join(kinds_of, "anchor").where("kinds > 1 OR (again > 0 AND c = 1)")
     wanted = work.cut(wanted.select("at.*", "anchor", "c", (F.col("kinds") > HOT).alias("hot")), "wanted")
     words = wanted.where("NOT hot").agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0)).alias("w")).first()["w"]
@@ -258,36 +258,42 @@ def _apply(with_text: bool):
     def run(batches):
         for batch in batches:
             n, removed, out = [], [], []
-            for text, spans in zip(texts_of(batch), batch.column("spans").to_pylist()):
+            null = batch.column("text").is_null().to_pylist()
+            for text, none, spans in zip(texts_of(batch), null, batch.column("spans").to_pylist()):
                 total, gone, words = _keep(text, spans)
                 n.append(total)
                 removed.append(gone)
                 kept = b" ".join(words)
-                out.append((kept if gone else text) if with_text else hashlib.sha256(kept).hexdigest())
+                out.append((None if none else kept if gone else text) if with_text else hashlib.sha256(kept).hexdigest())
             last = pa.array(out, pa.binary()).cast(pa.string()) if with_text else pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), last], names=["doc_id", "n_words", "n_removed", "kept"])
+            cols = {f.name: batch.column(f.name) for f in batch.schema if f.name not in ("text", "spans")}
+            yield pa.RecordBatch.from_pydict(cols | {"n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": last})
 
     return run
 
 
-def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, carry: tuple = ()) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept.
 
     Each word that is covered by a 35-word window whose words also start
     anywhere else, the same text included, is removed.  `kept` is the SHA-256
     of the kept words joined by one space, or with with_text the text itself
-    (unchanged if nothing was removed, else those words).  Null, empty and
-    short texts lose nothing; repeated rows repeat each other and lose all
+    (unchanged if nothing was removed, else those words; null stays null).
+    Columns named in `carry` go along.  Null, empty and short texts lose nothing; repeated rows repeat each other and lose all
     windows; a null id stays null.  Other columns are not read; an empty table
     gives no rows.
     """
     work = Work(spark, "substrings")
-    docs = keyed(work, df, id_col, text_col)
+    docs = keyed(work, df, id_col, text_col, carry)
     spans = repeated_spans(work, docs)
     spans = work.cut(spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
     work.drop("again")
     work.drop("cut")
-    return docs.join(spans, "key", "left").select("doc_id", "text", "spans").mapInArrow(_apply(with_text), "doc_id long, n_words long, n_removed long, kept string")
+    joined = docs.join(spans, "key", "left").select("doc_id", *carry, "text", "spans")
+    schema = joined.drop("text", "spans").schema
+    for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept", "string")):
+        schema = schema.add(name, kind)
+    return joined.mapInArrow(_apply(with_text), schema)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
