@@ -263,7 +263,7 @@ def kinship_sub(spark, sf):
 def kinship_snps(spark, sf):
     index = presence.sample_index(table(spark, sf, "embeddings").select(F.col("vec_id").alias("accession")))
     calls = genotypes(spark, sf).join(F.broadcast(index), "accession").select("snp_idx", F.col("col_idx").alias("i"), "dosage")
-    return _names(kinship.snp_kinship(calls, index.count()), index).withColumn("k", F.round("k", 12))
+    return _names(kinship.snp_kinship(calls, index.count()), index).withColumn("k", F.round(F.col("k") + 1e-9, 6))  # off the halves, where sums in another order would round apart
 
 
 def gamma_matrix(spark, sf):
@@ -383,7 +383,7 @@ ORACLES = {
     "assoc_snps_top": f"WITH {_GENO}, j AS (SELECT snp_idx, dosage AS g, label, label % 2 AS odd FROM geno JOIN embeddings ON vec_id = accession WHERE dosage IS NOT NULL), l AS (SELECT snp_idx, g, 'label' AS phenotype, CAST(label AS DOUBLE) AS y FROM j UNION ALL SELECT snp_idx, g, 'odd', CAST(odd AS DOUBLE) FROM j), a AS (SELECT phenotype, snp_idx, count(*) AS n, sum(g) AS g, sum(g * g) AS g2, sum(y) AS y, sum(g * y) AS gy FROM l GROUP BY ALL), s AS (SELECT phenotype, snp_idx, n, g, CASE WHEN g >= {MAC} AND n - g >= {MAC} AND n * (n * g2 - g * g) > 0 THEN pow(n * gy - g * y, 2) / (n * (n * g2 - g * g)) ELSE CAST(0 AS DOUBLE) END AS score FROM a), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY phenotype ORDER BY score DESC, snp_idx) AS INTEGER) AS rank FROM s) SELECT phenotype, snp_idx, n, g, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
     "kinship_kmers": f"WITH {_KINSHIP} SELECT * FROM kin",
     "kinship_sub": f"WITH {_KINSHIP}, good AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS new FROM lab WHERE quality = 1) SELECT greatest(x.new, y.new) AS i, least(x.new, y.new) AS j, k FROM kin JOIN good x ON x.doc_id = accession_i JOIN good y ON y.doc_id = accession_j",
-    "kinship_snps": f"WITH {_GENO}, c AS (SELECT snp_idx, accession, CASE WHEN dosage >= 1 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS lo, CASE WHEN dosage > 0 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS hi FROM geno), f AS (SELECT snp_idx, accession, coalesce(lo, avg(lo) OVER w) AS lo, coalesce(hi, avg(hi) OVER w) AS hi FROM c WINDOW w AS (PARTITION BY snp_idx)) SELECT x.accession AS accession_i, y.accession AS accession_j, round(sum(x.lo * y.lo + (1 - x.lo) * (1 - y.lo) + x.hi * y.hi + (1 - x.hi) * (1 - y.hi)) / (2 * count(*)), 12) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.lo IS NOT NULL GROUP BY ALL",
+    "kinship_snps": f"WITH {_GENO}, c AS (SELECT snp_idx, accession, CASE WHEN dosage >= 1 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS lo, CASE WHEN dosage > 0 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS hi FROM geno), f AS (SELECT snp_idx, accession, coalesce(lo, avg(lo) OVER w) AS lo, coalesce(hi, avg(hi) OVER w) AS hi FROM c WINDOW w AS (PARTITION BY snp_idx)) SELECT x.accession AS accession_i, y.accession AS accession_j, round(1e-9 + sum(x.lo * y.lo + (1 - x.lo) * (1 - y.lo) + x.hi * y.hi + (1 - x.hi) * (1 - y.hi)) / (2 * count(*)), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.lo IS NOT NULL GROUP BY ALL",
     "gamma_matrix": f"WITH rows AS (SELECT DISTINCT l_partkey AS v, c_nationkey AS a FROM {_BOUGHT} JOIN customer ON o_custkey = c_custkey), idx AS (SELECT n_nationkey AS a, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nation), f AS (SELECT v, count(*) / n AS p, n FROM rows, size GROUP BY v, n HAVING count(*) < n), g AS (SELECT f.v, i, (CASE WHEN r.v IS NULL THEN 0 ELSE 1 END - p) / sqrt(n * p * (1 - p)) AS g FROM f CROSS JOIN idx LEFT JOIN rows r ON r.v = f.v AND r.a = idx.a) SELECT x.i, y.i AS j, round(avg(x.g * y.g), 9) AS r FROM g x JOIN g y ON x.v = y.v AND x.i >= y.i GROUP BY x.i, y.i",
     "best_pvals": f"WITH {_BEST} SELECT phenotype, round(best, 9) AS best FROM best",
     "perm_threshold": f"WITH {_BEST} SELECT CAST(level AS DOUBLE) AS level, round(min(best), 9) AS threshold FROM perms, (VALUES (0.05), (0.10)) AS t(level) WHERE rn <= CAST(floor(n * CAST(level AS DOUBLE)) AS BIGINT) GROUP BY level",
