@@ -9,11 +9,12 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import texts_of
+from tessera.llm.common import mix, slices, texts_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 3, 2, 1)
@@ -34,16 +35,6 @@ class Model:
     tables: dict[int, dict[str, int]]
     rows: dict[int, np.ndarray]
 
-    def vector(self, word: str) -> np.ndarray:
-        if (i := self.tables[0].get(word)) is not None:
-            return self.rows[0][i]
-        for n in GRAMS:
-            get = self.tables[n].get
-            found = [i for g in grams(word, n) if (i := get(g)) is not None]
-            if found:
-                return self.rows[n][found].mean(axis=0)
-        return np.zeros(len(self.langs))
-
 
 def _partial(batches):
     """Counts of words and n-grams of one task, by language."""
@@ -92,46 +83,100 @@ def train(df: DataFrame, most_rows: int = 4000, least_count: int = 3) -> Model:
     return Model(langs, tables, logs)
 
 
+class Grams:
+    """Hashes of the known n-grams of one n, sorted, and the row of each."""
+
+    def __init__(self, table: dict[str, int], n: int):
+        codes = np.array([[ord(c) for c in g] for g in table], dtype=np.uint64).reshape(-1, n)
+        h = self.hash(codes.T) if len(codes) else np.empty(0, np.uint64)
+        order = np.argsort(h)
+        self.n, self.keys, self.row = n, h[order], np.array(list(table.values()), np.int64)[order]
+
+    @staticmethod
+    def hash(codes) -> np.ndarray:
+        h = np.zeros(len(codes[0]), np.uint64)
+        for c in codes:
+            h = mix(h + c + np.uint64(1))
+        return h
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """Row of the n-gram that starts at each place, -1 if it isn't known."""
+        n = self.n
+        if len(codes) < n or not len(self.keys):
+            return np.full(max(len(codes) - n + 1, 0), -1, np.int64)
+        h = self.hash([codes[i : len(codes) - n + 1 + i] for i in range(n)])
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.row[at], -1)
+
+
 class Scorer:
-    """Sums the vectors of a text's words; stretches between white space are looked up whole.
-    The cache is emptied at `most` stretches, which bounds memory and changes no result."""
+    """Sums the vectors of texts' words. Stretches between white space are looked up whole and
+    kept; new ones are worked out together.  What is kept is emptied at `most` stretches, which
+    bounds memory and changes no result."""
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int = 400_000):
+        self.model, self.most, self.width = model, most, len(model.langs)
+        self.grams = [Grams(model.tables[n], n) for n in GRAMS]
         self._reset()
 
     def _reset(self) -> None:
         self.at: dict[bytes, int] = {}
-        self.rows, self.used = np.zeros((4096, len(self.model.langs) + 1)), 0
-
-    def _add(self, stretch: bytes) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        words = LETTERS.findall(stretch.decode().lower())
-        if words:
-            self.rows[self.used, :-1] = np.sum([self.model.vector(w) for w in words], axis=0)
-            self.rows[self.used, -1] = len(words)
-        self.at[stretch] = self.used
-        self.used += 1
-        return self.used - 1
-
-    def predict(self, text: bytes) -> tuple[str, float]:
-        if self.used >= self.most:
-            self._reset()
-        stretches = text.split()
-        found = list(map(self.at.get, stretches))
-        if None in found:
-            found = [self.at[s] if s in self.at else self._add(s) for s in stretches]
-        if not found:
-            return "und", 0.0
-        # a hundred thousand rows at a time, so that a very long text needs no more memory
-        total = sum(self.rows[found[i : i + 100_000]].sum(axis=0) for i in range(0, len(found), 100_000))
-        if not total[-1] or not self.model.langs:
-            return "und", 0.0
-        logs = total[:-1] - total[:-1].max()
-        p = np.exp(logs)
-        best = int(np.argmax(logs))
-        return self.model.langs[best], float(p[best] / p.sum())
+        self.rows = np.zeros((0, self.width + 1))
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Vectors of words that aren't in the model, by the longest n-grams that are."""
+        marked = [f"\x02{w}\x03" for w in words]
+        lens = np.fromiter(map(len, marked), np.int64, len(words))
+        codes = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+        owner = np.repeat(np.arange(len(words)), lens)
+        out, open_ = np.zeros((len(words), self.width)), np.ones(len(words), bool)
+        for g in self.grams:
+            row = g.rows(codes)
+            first = np.arange(len(row))
+            at = first[(row >= 0) & (owner[: len(row)] == owner[first + g.n - 1]) & open_[owner[: len(row)]]]
+            if len(at):
+                vectors, who = self.model.rows[g.n][row[at]], owner[at]
+                hits = np.bincount(who, minlength=len(words))
+                got = np.flatnonzero(hits)
+                for k in range(self.width):
+                    out[got, k] = np.bincount(who, vectors[:, k], len(words))[got] / hits[got]
+                open_[got] = False
+        return out
+
+    def _add(self, stretches: list[bytes]) -> None:
+        lists = [LETTERS.findall(s.decode().lower()) for s in stretches]
+        lens = np.fromiter(map(len, lists), np.int64, len(lists))
+        words = [w for ws in lists for w in ws]
+        index = np.fromiter((self.model.tables[0].get(w, -1) for w in words), np.int64, len(words))
+        vectors = np.zeros((len(words), self.width))
+        if self.width:
+            known = index >= 0
+            vectors[known] = self.model.rows[0][index[known]]
+            vectors[~known] = self.unseen([w for w, k in zip(words, known.tolist()) if not k])
+        owner = np.repeat(np.arange(len(lists)), lens)
+        new = np.zeros((len(lists), self.width + 1))
+        for k in range(self.width):
+            new[:, k] = np.bincount(owner, vectors[:, k], len(lists))
+        new[:, -1] = lens
+        self.at |= zip(stretches, range(len(self.rows), len(self.rows) + len(lists)))
+        self.rows = np.concatenate([self.rows, new])
+
+    def predict(self, texts: list[bytes]):
+        """(language, probability) of each text."""
+        for i, j in slices(texts, 2_000_000):
+            if len(self.at) > self.most:
+                self._reset()
+            lists = [t.split() for t in texts[i:j]]
+            if new := list(set().union(*lists).difference(self.at)):
+                self._add(new)
+            for ws in lists:
+                total = self.rows[np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                if not total[-1] or not self.width:
+                    yield "und", 0.0
+                    continue
+                logs = total[:-1] - total[:-1].max()
+                best = int(np.argmax(logs))
+                yield self.model.langs[best], float(1 / np.exp(logs).sum())
 
 
 def predict(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,12 +191,35 @@ def predict(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc
     def run(batches):
         scorer = Scorer(sent.value)
         for batch in batches:
-            got = [scorer.predict(t) for t in texts_of(batch)]
+            got = list(scorer.predict(texts_of(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(sent, least_score: float):
+    """Column function on a text: whether a language is told with `least_score` at least."""
+
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        scorer = shared_scorer(sent)
+        return pd.Series([lang != "und" and score >= least_score for lang, score in scorer.predict([(t or "").encode() for t in texts])], dtype=bool)
+
+    return judge
+
+
+_scorers: dict = {}
+
+
+def shared_scorer(sent) -> Scorer:
+    """One scorer a worker, kept over batches and tasks."""
+    key = id(sent.value)
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(sent.value)
+    return _scorers[key]
+
+
 def held_out(modulus: int, remainder: int):
     """crc32 of doc_id written as text, modulo; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
