@@ -1,5 +1,6 @@
 """The queries opN_<name> and pipeline, and SQL for those that SQL expresses."""
 
+import corpus_pipeline
 from tessera.llm import cosine, exact, html, langid, lm, minhash, packing, pieces, substrings, urls
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_lm_scoring": lm.op9_lm_scoring,
     "op10_html_extraction": html.op10_html_extraction,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
