@@ -166,9 +166,9 @@ def similar_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     rows = work.cut(source.mapInArrow(_vectors, "vec_id long, vec binary, digest binary"), "rows")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("vec").alias("vec"))
-    owners = work.cut(classes, "classes")
+    owners = work.cut(classes.withColumn("node", F.xxhash64("digest")), "classes")  # a class is told by its vector: ids may repeat
     bits, tables = tables_for(owners.count(), cosine, miss)
-    keyed = work.cut(owners.select("rep", "size", "vec").mapInArrow(_keys(bits, tables, seed), "rep long, size long, vec binary, keys binary"), "keyed")
+    keyed = work.cut(owners.select(F.col("node").alias("rep"), "size", "vec").mapInArrow(_keys(bits, tables, seed), "rep long, size long, vec binary, keys binary"), "keyed")
     filled = keyed.select("rep", "vec", "keys").mapInArrow(_buckets, "bucket long, table int, rep long")
     shared = filled.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CHUNK).alias("chunks"))
     member = filled.join(shared, "bucket").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")))
@@ -178,9 +178,11 @@ def similar_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id
     found = blocks.join(keyed, "rep").repartition("gid").sortWithinPartitions("gid", "rep").select("gid", "side", F.col("two").cast("int").alias("two"), "table", "rep", "size", "vec", "keys")
     links = work.cut(found.mapInArrow(_links(cosine), "rep long, n long, root long"), "links")
     roots = connected_components(work, links.select(F.col("rep").alias("a"), F.col("root").alias("b")), "parts")
-    counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    final = owners.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    final = final.select("digest", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    counts = links.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n"))
+    final = owners.join(counts, "node", "left").join(roots, "node", "left")
+    final = final.select("digest", "rep", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    least = final.groupBy("root").agg(F.min("rep").alias("component_id"))
+    final = final.join(least, "root").select("digest", "n_links", "component_id")
     out = rows.select("vec_id", "digest").join(final, "digest", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -40,7 +40,7 @@ def test_vectors(spark, chunk, monkeypatch):
     near = np.repeat(x[:30], 6, axis=0) + rng.normal(size=(180, 24)).astype(np.float32) * 0.2
     m = np.concatenate([x, near, np.repeat(x[:1], 40, axis=0)])
     rows = [(i, v.tolist()) for i, v in enumerate(m)]
-    odd = [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [None] + [1.0] * 23), (904, []), (905, [1.0] * 3), (906, [2.0] * 3), (None, [1.0] * 3)]
+    odd = [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [None] + [1.0] * 23), (904, []), (905, [1.0] * 3), (906, [2.0] * 3), (None, [1.0] * 3), (907, [-1.0, 2.0, 0.0]), (907, [5.0, -1.0, 0.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("rep", F.lit(1)).repartition(3)
     got = {r["vec_id"]: r for r in cosine.similar_vectors(spark, df).collect()}
     u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1)[:, None]
@@ -51,6 +51,7 @@ def test_vectors(spark, chunk, monkeypatch):
     assert link.sum() > 2000 and not wrong
     assert all((got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True) for i in range(900, 905))
     assert got[905]["n_links"] == 1 and got[906]["component_id"] == 905 and not got[906]["kept"]
+    assert got[907]["n_links"] == 0 and got[907]["component_id"] == 907
     assert got[None]["kept"] and got[None]["component_id"] is None
     assert cosine.similar_vectors(spark, df.where("false")).count() == 0
 
