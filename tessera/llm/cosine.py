@@ -190,3 +190,13 @@ def similar_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS r FROM v UNION SELECT links.a, reach.r FROM reach JOIN links ON links.b = reach.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = vec_id JOIN (SELECT a, min(r) AS c FROM reach GROUP BY a) c ON c.a = vec_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_near_dedup": cosine.OP2_SQL,
+    "op3_minhash_near_dedup": minhash.OP3_SQL,
+    "op4_substring_dedup": substrings.OP4_SQL,
     "op5_exact_dedup": exact.OP5_SQL,
     "op7_url_filter": urls.OP7_SQL,
 }
