@@ -5,14 +5,15 @@ and an empty bin borrows the value of the bin that a permutation of its own
 reaches first.  Bands of bins are bucket keys.  In a bucket every document is
 a candidate of the smallest one only (a star); documents of a bucket that the
 confirmed stars leave in different components are then tested across these
-components, so no link is lost to a star's choice of centre and copies never
-expand into all pairs.  Links are confirmed on full shingle sets.
+components where their bins agree often enough, so no link is lost to a star's
+choice of centre and copies never expand into all pairs.  Links are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from tessera.llm.components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 64, 6  # at a similarity of 0.75 a pair misses all bands once in 280,000
 LEAST, OF = 75, 100
+CHUNK = 2048  # documents of a bucket that one block holds of either side
 A_SALT = 256  # documents compared with one copy of a star's centre
 
 
@@ -64,8 +66,8 @@ def signature(s: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    values = signature(s, bands * rows).reshape(bands, rows)
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    values = values.reshape(bands, rows)
     key = mix(np.arange(bands, dtype=np.uint64) + np.uint64(977))
     for r in range(rows):
         key = mix(key + values[:, r])
@@ -75,16 +77,65 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _sketch(bands: int, rows: int):
     def run(batches):
         for batch in batches:
-            n, sig, keys = [], [], []
+            n, sig, keys, mini = [], [], [], []
             for s in shingle_sets(texts_of(batch)):
+                values = signature(s, bands * rows) if len(s) else None
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                keys.append(band_keys(s, bands, rows).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n", "sig", "keys"])
+                keys.append(band_keys(values, bands, rows).tobytes() if len(s) else None)
+                mini.append((mix(values) & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
+            cols = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, keys, mini))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n", "sig", "keys", "mini"])
 
     return run
 
 
+def likely(mini: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the share of equal bins leaves the similarity possible: it may fall short of it by
+    4.5 standard deviations, taken for as many bins as the smaller set can fill (missing a pair at
+    the similarity about as seldom as the bands do)."""
+    share = LEAST / OF
+    filled = np.minimum(sizes, mini.shape[-1])
+    return (mini == other).mean(axis=-1) >= share - 4.5 * np.sqrt(share * (1 - share) / filled)
+
+
+def _across(table: pa.Table):
+    """Pairs of one block's documents of different components, one of them not of the bucket's
+    largest, whose sizes and bins leave the similarity possible."""
+    rep, n, root, top, side, two, gid = (table.column(c).to_numpy() for c in ("rep", "n", "root", "top", "side", "two", "gid"))
+    mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(len(rep), -1)
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])), len(gid))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        for x in (np.flatnonzero(root[lo:hi] != top[lo]) + lo).tolist():
+            y = np.arange(lo, hi)
+            # two documents outside the largest component meet once, from the smaller one
+            y = y[(root[lo:hi] != root[x]) & ((root[lo:hi] == top[lo]) | (rep[lo:hi] > rep[x]))]
+            if two[lo]:
+                y = y[side[y] != side[x]]
+            y = y[np.minimum(n[y], n[x]) * OF >= np.maximum(n[y], n[x]) * LEAST]
+            y = y[likely(mini[y], mini[x], np.minimum(n[y], n[x]))] if len(y) else y
+            if len(y):
+                yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+
+
+def _cross_pairs(batches):
+    """Rows come grouped by block."""
+    rest = None
+    for batch in chain(batches, [None]):
+        now = rest if batch is None else pa.Table.from_batches([batch]) if rest is None or not rest.num_rows else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        if now is None or not now.num_rows:
+            rest = now
+            continue
+        gid = now.column("gid").to_numpy()
+        cut = len(gid)
+        if batch is not None:
+            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if (gid != gid[-1]).any() else 0
+        found = list(_across(now.slice(0, cut))) if cut else []
+        rest = now.slice(cut)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+
 def _buckets(batches):
     for batch in batches:
         keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
@@ -137,9 +188,9 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     """
     work = Work(spark, "minhash")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = work.cut(docs.mapInArrow(_sketch(bands, rows), "doc_id long, n long, sig binary, keys binary"), "sketches")
+    sketches = work.cut(docs.mapInArrow(_sketch(bands, rows), "doc_id long, n long, sig binary, keys binary, mini binary"), "sketches")
     usable = sketches.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = work.cut(usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys")).alias("s")).select("sig", F.col("s.doc_id").alias("rep"), "s.n", "s.keys"), "classes")
+    classes = work.cut(usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys", "mini")).alias("s")).select("sig", F.col("s.doc_id").alias("rep"), "s.n", "s.keys", "s.mini"), "classes")
     filled = classes.select("rep", "n", "keys").mapInArrow(_buckets, "bucket long, rep long, n long")
     stars = filled.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = work.cut(filled.join(stars.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "bucket"), "members")
@@ -152,11 +203,15 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     # what a bucket still holds in different components: all of it but the largest component is tested against the rest
     labelled = members.select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("top")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
-    split = work.cut(labelled.join(open_, "bucket"), "open")
-    x, y = split.where("root <> top").alias("x"), split.alias("y")
-    cross = x.join(y, "bucket").where((F.col("x.root") != F.col("y.root")) & _alike("x.n", "y.n") & ((F.col("y.root") == F.col("y.top")) | (F.col("x.rep") < F.col("y.rep"))))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"))
+    open_ = open_.where("parts > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    split = work.cut(labelled.join(open_, "bucket"), "open").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")))
+    # a chunk of a bucket meets each chunk, itself included, in a block of its own
+    grid = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    gid = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
+    blocks = grid.select("rep", "n", "root", "top", "side", (F.col("side") != F.col("other")).cast("int").alias("two"), gid.alias("gid"))
+    blocks = blocks.join(classes.select("rep", "mini"), "rep").repartition("gid").sortWithinPartitions("gid")
+    cross = blocks.mapInArrow(_cross_pairs, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
     second = work.cut(cross, "pairs-2")
     work.drop("open")
     if second.head(1):
