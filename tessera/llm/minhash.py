@@ -26,7 +26,7 @@ from tessera.llm.components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 64, 6  # at a similarity of 0.75 a pair misses all bands once in 280,000
 LEAST, OF = 75, 100
-CHUNK = 2048  # documents of a bucket that one block holds of either side
+CHUNK = 512  # documents of a bucket that one block holds of either side
 A_SALT = 256  # documents compared with one copy of a star's centre
 
 
@@ -99,9 +99,26 @@ def likely(mini: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return (mini == other).mean(axis=-1) >= share - 4.5 * np.sqrt(share * (1 - share) / filled)
 
 
+def _by_block(batches):
+    """Tables of whole blocks, from rows that come grouped by block."""
+    rest: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        parts = [t for t in (rest, pa.Table.from_batches([batch]) if batch is not None else None) if t is not None and t.num_rows]
+        if not parts:
+            continue
+        now = pa.concat_tables(parts)
+        cut = now.num_rows
+        if batch is not None:
+            gid = now.column("gid").to_numpy()
+            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if (gid != gid[-1]).any() else 0
+        rest = now.slice(cut)
+        if cut:
+            yield now.slice(0, cut).combine_chunks()
+
+
 def _across(table: pa.Table):
-    """Pairs of one block's documents of different components, one of them not of the bucket's
-    largest, whose sizes and bins leave the similarity possible."""
+    """For each document of a block that isn't of its bucket's largest component: its row and the rows of
+    other components whose sizes and bins leave the similarity possible."""
     rep, n, root, top, side, two, gid = (table.column(c).to_numpy() for c in ("rep", "n", "root", "top", "side", "two", "gid"))
     mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(len(rep), -1)
     bounds = np.append(np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])), len(gid))
@@ -115,25 +132,36 @@ def _across(table: pa.Table):
             y = y[np.minimum(n[y], n[x]) * OF >= np.maximum(n[y], n[x]) * LEAST]
             y = y[likely(mini[y], mini[x], np.minimum(n[y], n[x]))] if len(y) else y
             if len(y):
-                yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+                yield x, y
 
 
-def _cross_pairs(batches):
-    """Rows come grouped by block."""
-    rest = None
-    for batch in chain(batches, [None]):
-        now = rest if batch is None else pa.Table.from_batches([batch]) if rest is None or not rest.num_rows else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        if now is None or not now.num_rows:
-            rest = now
-            continue
-        gid = now.column("gid").to_numpy()
-        cut = len(gid)
-        if batch is not None:
-            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if (gid != gid[-1]).any() else 0
-        found = list(_across(now.slice(0, cut))) if cut else []
-        rest = now.slice(cut)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+def _active(batches):
+    """The rows of a block that have any partner left: the texts of no others are fetched."""
+    for table in _by_block(batches):
+        keep = np.zeros(table.num_rows, bool)
+        for x, y in _across(table):
+            keep[x] = True
+            keep[y] = True
+        if keep.any():
+            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _links_across(batches):
+    """Confirmed links of each block. Pairs are never listed: a document is held against all its partners at once."""
+    for table in _by_block(batches):
+        rep, sets = table.column("rep").to_numpy(), None
+        a, b = [], []
+        for x, y in _across(table):
+            sets = sets or list(shingle_sets(texts_of(table)))
+            s, sizes = sets[x], np.array([len(sets[k]) for k in y])
+            others = np.concatenate([sets[k] for k in y])
+            hit = s[np.minimum(np.searchsorted(s, others), len(s) - 1)] == others
+            common = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            near = y[OF * common >= LEAST * (len(s) + sizes - common)]
+            a.append(np.full(len(near), rep[x]))
+            b.append(rep[near])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _buckets(batches):
@@ -211,11 +239,11 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     gid = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
     blocks = grid.select("rep", "n", "root", "top", "side", (F.col("side") != F.col("other")).cast("int").alias("two"), gid.alias("gid"))
     blocks = blocks.join(classes.select("rep", "mini"), "rep").repartition("gid").sortWithinPartitions("gid")
-    cross = blocks.mapInArrow(_cross_pairs, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    second = work.cut(cross, "pairs-2")
+    active = work.cut(blocks.mapInArrow(_active, blocks.schema), "active")
     work.drop("open")
-    if second.head(1):
-        links = work.cut(links.union(confirm(second, texts)), "links-2")
+    if active.head(1):
+        held = active.join(texts, "rep").repartition("gid").sortWithinPartitions("gid")
+        links = work.cut(links.union(held.mapInArrow(_links_across, "a long, b long").distinct()), "links-2")
         roots = connected_components(work, links, "second")
     work.drop("texts")
     work.drop("members")
