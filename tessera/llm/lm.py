@@ -134,11 +134,15 @@ def _merge(table: pa.Table) -> pa.Table:
 FLOORS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 4096, 1 << 14, 1 << 17, 1 << 20]
 
 
-def _spots(keys: np.ndarray, lev: int | np.ndarray, bits: int):
-    h = mix(keys + np.uint64(0x9E3779B97F4A7C15) * np.asarray(lev).astype(np.uint64))
-    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    for i in range(PROBES):
-        yield ((a + np.uint64(i) * b) % np.uint64(bits)).astype(np.int64)
+def _halves(keys: np.ndarray, lev: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 32-bit hashes of (key, level), the second odd."""
+    h = mix(keys + np.uint64(0x9E3779B97F4A7C15 * lev & (1 << 64) - 1))
+    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+
+
+def _spot(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
+    """The i-th bit number of `bits`, a count under 2 ** 32."""
+    return ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
 
 @dataclass
@@ -156,10 +160,12 @@ class Filter:
         out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         keys = keys + np.uint64(order)
         for lev in range(1, most):
-            k, s, ok = keys[alive], shard[alive], np.ones(len(alive), bool)
-            for spot in _spots(k, lev, bits):
-                ok &= (flat[s + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 == 1
-            alive = alive[ok]
+            one, two = _halves(keys[alive], lev)
+            s = shard[alive]
+            for i in range(PROBES):  # what is missing at one spot is not looked up at the next
+                spot = _spot(one, two, i, bits)
+                ok = (flat[s + (spot >> 3)] >> (spot & 7).astype(np.uint8)) & 1 == 1
+                alive, one, two, s = alive[ok], one[ok], two[ok], s[ok]
             if not len(alive):
                 break
             out[alive] = lev
@@ -167,8 +173,11 @@ class Filter:
 
     def counts(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest count of each key's level; zeros if it isn't there."""
-        unique, back = np.unique(keys, return_inverse=True)
-        lev = self.levels(unique, order)[back]
+        if order == WORD:  # words repeat and have many levels
+            unique, back = np.unique(keys, return_inverse=True)
+            lev = self.levels(unique, order)[back]
+        else:
+            lev = self.levels(keys, order)
         least = np.where(lev > 0, np.ceil(self.floor * BASE[order] ** (lev - 1.0)), 0.0)
         return least, np.where(lev > 0, self.floor * BASE[order] ** lev.astype(float), 0.0)
 
@@ -182,7 +191,9 @@ def _segment(floor: int, width: int):
                 lev = level(np.frombuffer(counts, dtype="<u4").astype(np.int64), floor, BASE[order])
                 for q in range(1, int(lev.max(initial=0)) + 1):
                     keys, lev = keys[lev >= q], lev[lev >= q]
-                    for spot in _spots(keys, q, width * 8):
+                    one, two = _halves(keys, q)
+                    for i in range(PROBES):
+                        spot = _spot(one, two, i, width * 8)
                         np.bitwise_or.at(seg, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
                 out.append(seg.tobytes())
             yield pa.RecordBatch.from_pydict({"shard": batch.column("shard"), "seg": pa.array(out, pa.binary())})
@@ -296,7 +307,7 @@ def _score(sent):
         model: Model = sent.value
         den = np.log10(model.tokens + 0.1 * (model.distinct + 1))
         for batch in batches:
-            key, texts = batch.column("key").to_numpy(), texts_of(batch)
+            key, doc, texts = batch.column("key").to_numpy(), batch.column("doc_id").to_pylist(), texts_of(batch)
             for i, j, lists, h, starts in hashed(texts):
                 word, pair, bucket = model.parts(h, starts)
                 w = model.weights[bucket]
@@ -315,11 +326,11 @@ def _score(sent):
                 lens = np.diff(np.append(starts, len(h)))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([key[i:j], np.array(rare[0], np.int64)])), pa.array([None] * n + rare[1], pa.binary()),
+                        pa.array(np.concatenate([key[i:j], np.array(rare[0], np.int64)])), pa.array(doc[i:j] + [None] * m, pa.int64()), pa.array([None] * n + rare[1], pa.binary()),
                         pa.array(np.concatenate([lens, np.array(rare[2], np.int64)])), pa.array(known + [0] * m, pa.int64()),
                         pa.array(base + [0.0] * m), pa.array(np.concatenate([score, np.zeros(m)])),
                     ],
-                    names=["key", "word", "n", "known", "base", "score"],
+                    names=["key", "doc_id", "word", "n", "known", "base", "score"],
                 )
 
     return run
@@ -341,13 +352,12 @@ def score(spark: SparkSession, df: DataFrame, training, id_col: str = "doc_id",
     model, words = train(work, docs.where(training))
     sent = spark.sparkContext.broadcast(model)
     den = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    keyed = docs.withColumn("key", F.monotonically_increasing_id())
-    rows = work.cut(keyed.select("key", "text").mapInArrow(_score(sent), "key long, word binary, n long, known long, base double, score double"), "scored")
-    ids = keyed.select("key", "doc_id")
+    keyed = docs.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text")
+    rows = work.cut(keyed.mapInArrow(_score(sent), "key long, doc_id long, word binary, n long, known long, base double, score double"), "scored")
     whole = rows.where("word IS NULL").drop("word")
     rare = rows.where("word IS NOT NULL").select("key", "word", "n").join(words, "word", "left")
     rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - den)).alias("b2"))
-    out = whole.join(rare, "key", "left").join(ids, "key")
+    out = whole.join(rare, "key", "left")
     return out.select(
         "doc_id", (~training).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), "score",
