@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,24 @@ class Work:
                 raise
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps over batches and tasks, made at first use: one object only, so that a
+    worker that serves one operator after another doesn't gather what each of them keeps."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    if _held:
+        _held.clear()
+        gc.collect()
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of a string column; null becomes empty."""
     values = batch.column(column).cast(pa.binary()).to_pylist()
@@ -70,6 +89,7 @@ def words_lower(text: bytes) -> list[bytes]:
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
+    release()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 

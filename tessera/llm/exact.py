@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.common import Work, texts_of
+from tessera.llm.common import Work, release, texts_of
 
 ROW = "doc_id long, file string, row long"
 STATE = {
@@ -39,6 +39,7 @@ def with_locators(work: Work, df: DataFrame) -> DataFrame:
 
 def _digests(bits: int, with_body: bool, bloom: np.ndarray | None = None):
     def run(batches):
+        release()
         for batch in batches:
             bodies = [t.lower() for t in texts_of(batch)]
             keys = [hashlib.sha256(b).digest() for b in bodies]

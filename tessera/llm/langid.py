@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices, texts_of
+from tessera.llm.common import held, mix, slices, texts_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 3, 2, 1)
@@ -208,16 +208,8 @@ def accepted(sent, least_score: float):
     return judge
 
 
-_scorers: dict = {}
-
-
 def shared_scorer(sent) -> Scorer:
-    """One scorer a worker, kept over batches and tasks."""
-    key = id(sent.value)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(sent.value)
-    return _scorers[key]
+    return held(("scorer", id(sent.value)), lambda: Scorer(sent.value))
 
 
 def held_out(modulus: int, remainder: int):

@@ -16,14 +16,13 @@ import re
 import unicodedata
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Work, texts_of
+from tessera.llm.common import Work, held, texts_of
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -85,9 +84,8 @@ class WordTokenizer:
         return b"".join(found)
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def pieces_of(path: str, most: int, end_id: int, with_ids: bool = False):

@@ -14,7 +14,6 @@ a piece of rank r weighs (r + 1) ** -alpha, as frequencies fall with rank.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices
+from tessera.llm.common import held, mix, slices
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -217,9 +216,8 @@ class Lattice:
         return b"".join(map(self.out.__getitem__, ids.tolist()))[1:]
 
 
-@lru_cache(maxsize=2)
 def lattice(path: str, alpha: float) -> Lattice:
-    return Lattice(path, alpha)
+    return held(("lattice", path, alpha), lambda: Lattice(path, alpha))
 
 
 def _encoded(model: Lattice, keys: list, texts: list, seed: int):
