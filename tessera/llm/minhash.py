@@ -228,8 +228,9 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     texts = work.cut(docs.join(near, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text")), "texts")
     links = work.cut(confirm(tested, texts), "links-1")
     roots = connected_components(work, links, "first")
-    # what a bucket still holds in different components: all of it but the largest component is tested against the rest
-    labelled = members.select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # what a bucket, less its centre, which has met all others, still holds in different components:
+    # all of it but the largest component is tested against the rest
+    labelled = members.where("rep <> hub").select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
     open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"))
     open_ = open_.where("parts > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
