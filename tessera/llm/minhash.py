@@ -231,9 +231,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     # what a bucket, less its centre, which has met all others, still holds in different components:
     # all of it but the largest component is tested against the rest
     labelled = members.where("rep <> hub").select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
-    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"))
-    open_ = open_.where("parts > 1").select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"))
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
+    open_ = open_.where("parts > 1").groupBy("size", "top", "h", "g").agg(F.min("bucket").alias("bucket"))  # of buckets that hold the same documents one is enough
+    open_ = open_.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
     split = work.cut(labelled.join(open_, "bucket"), "open").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")))
     # a chunk of a bucket meets each chunk, itself included, in a block of its own
     grid = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
