@@ -15,7 +15,7 @@ from tessera.plans import gwas
 
 K = 10
 MAC, STRAND = 5, 0.2
-COMMON = 50  # least number of documents of the k-mers whose whole rows are returned
+COMMON = 50  # of the SQL alone: its presence rows still leave out k-mers of fewer documents, see README
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -41,9 +41,13 @@ def labels(spark, sf) -> DataFrame:
     return table(spark, sf, "labels").withColumnRenamed("doc_id", "accession")
 
 
+def sample_flags(spark, sf) -> DataFrame:
+    """(accession, kmer, flag) of all documents."""
+    return spellings(spark, sf).groupBy("accession", "kmer").agg(F.bit_or("flag").alias("flag"))
+
+
 def sample_counts(spark, sf) -> DataFrame:
-    sp = spellings(spark, sf)
-    return cohort.sample_counts(sp.groupBy("accession", "kmer").agg(F.bit_or("flag").alias("flag")))
+    return cohort.sample_counts(sample_flags(spark, sf))
 
 
 def kmer_count(spark, sf):
@@ -100,26 +104,25 @@ def hist_both(spark, sf):
     return cohort.strand_histogram(sample_counts(spark, sf), "both")
 
 
-def common_rows(spark, sf) -> DataFrame:
-    """(kmer, accession) of k-mers in COMMON documents or more: the cohort's rows."""
-    rows = samples(spark, sf)
-    often = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return presence.presence_rows(often, rows)
+def cohort_rows(spark, sf) -> DataFrame:
+    """(kmer, accession) of all k-mers of the cohort list."""
+    flags = sample_flags(spark, sf)
+    return presence.presence_rows(cohort.passing(cohort.sample_counts(flags), MAC, STRAND), flags)
 
 
 def _packed(spark, sf):
     index = presence.sample_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "accession"))
     n = index.count()
-    return presence.pack_presence(common_rows(spark, sf), index, n), index, n
+    return presence.pack_presence(cohort_rows(spark, sf), index, n), index, n
 
 
 def presence_long(spark, sf):
-    return as_text(common_rows(spark, sf))
+    return as_text(cohort_rows(spark, sf))
 
 
 def presence_packed(spark, sf):
     index = presence.sample_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "accession"))
-    return as_text(presence.presence_words(common_rows(spark, sf), index))
+    return as_text(presence.presence_words(cohort_rows(spark, sf), index))
 
 
 def presence_text(spark, sf):
@@ -154,7 +157,7 @@ def mac_filter(spark, sf):
 
 def lookup_kmers(spark, sf):
     wanted = spellings(spark, sf, "benchmark", "item_id").select(S.unpack_kmer(F.col("kmer"), K).alias("kmer"))
-    return as_text(presence.lookup(common_rows(spark, sf), presence.kmer_list(wanted)))
+    return as_text(presence.lookup(cohort_rows(spark, sf), presence.kmer_list(wanted)))
 
 
 def kmer_roundtrip(spark, sf):
