@@ -4,7 +4,9 @@ Counts of all training words and word pairs are summed exactly over the whole
 training part.  An n-gram whose count falls in level q is put in a Bloom filter
 as (n-gram, 1) ... (n-gram, q); a reader probes level after level until one is
 missing and so has the quantised count.  The filter is made of segments, one for
-each shard of n-gram hashes, and is sent to the workers.  Pair and word
+each shard of n-gram hashes, whose number grows with the input; every n-gram is
+in it.  No segment is sent to all workers: the n-grams of all texts are dealt by
+shard, probe their own segment and bring their levels back.  Pair and word
 probabilities are mixed with weights by context count, fitted on the training
 part with each token's own occurrence left out.
 """
@@ -84,56 +86,12 @@ def _blobs(keys: np.ndarray, counts: np.ndarray, order: int, shards: int):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "ord", "keys", "counts"])
 
 
-def _count_pairs(shards: int, most: int = 3_000_000):
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for *_, h, starts in hashed(texts_of(batch)):
-                held.append(pair_keys(h, starts))
-                n += len(h)
-                if n > most:
-                    yield _blobs(*np.unique(np.concatenate(held), return_counts=True), PAIR, shards)
-                    held, n = [], 0
-        if held:
-            yield _blobs(*np.unique(np.concatenate(held), return_counts=True), PAIR, shards)
-
-    return run
-
-
-def _word_blobs(shards: int):
-    def run(batches):
-        for batch in batches:
-            keys = word_keys(hash_words(batch.column("word").to_pylist()))
-            at = np.argsort(keys)
-            yield _blobs(keys[at], batch.column("c").to_numpy()[at], WORD, shards)
-
-    return run
-
-
 def level(counts: np.ndarray, floor: int, base: float) -> np.ndarray:
     """1 for floor <= count < floor * base and so on; 0 under the floor."""
     with np.errstate(divide="ignore"):
         return np.where(counts >= floor, 1 + np.floor(np.log(counts / floor) / np.log(base) + 1e-9), 0).astype(np.int64)
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Sums one shard's keys of one order; also counts how many keys have each count (up to 255)."""
-    keys = np.concatenate([np.frombuffer(b, dtype="<u8") for b in table.column("keys").to_pylist()])
-    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
-    at = np.argsort(keys, kind="stable")
-    keys, counts = keys[at], counts[at]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    counts = np.add.reduceat(counts, first)
-    order = table.column("ord")[0].as_py()
-    need = [int(level(counts, f, BASE[order]).sum()) for f in FLOORS]
-    return pa.table(
-        {"shard": table.column("shard")[:1], "ord": table.column("ord")[:1], "keys": pa.array([keys[first].tobytes()], pa.binary()), "counts": pa.array([counts.astype("<u4").tobytes()], pa.binary()), "need": pa.array([need], pa.list_(pa.int64()))}
-    )
-
-
-FLOORS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 4096, 1 << 14, 1 << 17, 1 << 20]
-
-
 def _halves(keys: np.ndarray, lev: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 32-bit hashes of (key, level), the second odd."""
     h = mix(keys + np.uint64(0x9E3779B97F4A7C15 * lev & (1 << 64) - 1))
@@ -156,7 +114,7 @@ class Filter:
         flat, bits = self.segments.reshape(-1), width * 8
         if not bits:
             return np.zeros(len(keys), np.int64)
-        shard = (keys // np.uint64((1 << 64) // shards + 1)).astype(np.int64) * width
+        shard = (keys // np.uint64((1 << 64) // shards + 1)).astype(np.int64) * width if shards > 1 else np.zeros(len(keys), np.int64)
         out, alive = np.zeros(len(keys), np.int64), np.arange(len(keys))
         keys = keys + np.uint64(order)
         for lev in range(1, most):
@@ -171,15 +129,10 @@ class Filter:
             out[alive] = lev
         return out
 
-    def counts(self, keys: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest count of each key's level; zeros if it isn't there."""
-        if order == WORD:  # words repeat and have many levels
-            unique, back = np.unique(keys, return_inverse=True)
-            lev = self.levels(unique, order)[back]
-        else:
-            lev = self.levels(keys, order)
-        least = np.where(lev > 0, np.ceil(self.floor * BASE[order] ** (lev - 1.0)), 0.0)
-        return least, np.where(lev > 0, self.floor * BASE[order] ** lev.astype(float), 0.0)
+
+def counts_of(lev: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest count of each level; zeros for what isn't there."""
+    return np.where(lev > 0, np.ceil(BASE[order] ** (lev - 1.0)), 0.0), np.where(lev > 0, BASE[order] ** lev.astype(float), 0.0)
 
 
 def _segment(floor: int, width: int):
@@ -201,44 +154,92 @@ def _segment(floor: int, width: int):
     return run
 
 
+def _probe(table: pa.Table) -> pa.Table:
+    """One shard of one order: sums its keys' training counts, makes its segment and gives each chunk the levels of its keys."""
+    blobs = table.column("keys").to_pylist()
+    keys = np.concatenate([np.frombuffer(b, dtype="<u8") for b in blobs])
+    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
+    keys, back = np.unique(keys, return_inverse=True)
+    counts = np.bincount(back, counts, len(keys)).astype(np.int64)
+    order, taught = table.column("ord")[0].as_py(), counts > 0
+    width = max(16, int(1.25 * level(counts, 1, BASE[order]).sum()))
+    one = pa.RecordBatch.from_pydict({"shard": [0], "ord": [order], "keys": [keys[taught].tobytes()], "counts": [counts[taught].astype("<u4").tobytes()]})
+    segment = np.frombuffer(next(_segment(1, width)([one])).column("seg")[0].as_py(), np.uint8) if taught.any() else np.zeros(0, np.uint8)
+    lev = Filter(segment[None, :], 1).levels(keys, order, 255).astype(np.uint8)[back]
+    ends = np.cumsum([len(b) // 8 for b in blobs])
+    return pa.table({"key": table.column("key"), "shard": table.column("shard"), "ord": table.column("ord"), "body": pa.array([lev[i - len(b) // 8 : i].tobytes() for i, b in zip(ends, blobs)], pa.binary())})
+
+
 @dataclass
 class Model:
-    filter: Filter
     tokens: int  # N
     distinct: int  # V
     texts: int
     weights: np.ndarray  # of the pair probability, by context bucket
     frequent: dict[bytes, int]  # exact counts of the words that are sent to all workers
 
-    def parts(self, h: np.ndarray, starts: np.ndarray, leave_out: int = 0):
-        """Word probability, pair frequency (own occurrence left out if leave_out is 1), context bucket."""
-        low, high = self.filter.counts(word_keys(h), WORD)
+    def parts(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, leave_out=0):
+        """From levels: word probability, pair frequency (own occurrence left out where leave_out is 1), context bucket."""
+        low, high = counts_of(words, WORD)
         word = (np.sqrt(low * np.maximum(high, low)) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
-        context = np.concatenate([[0.0], high[:-1]]) if len(h) else high
+        context = np.concatenate([[0.0], high[:-1]]) if len(high) else high
         context[starts] = self.texts
-        pair = np.maximum(self.filter.counts(pair_keys(h, starts), PAIR)[0] - leave_out, 0) / np.maximum(context - leave_out, 1)
+        pair = np.maximum(counts_of(pairs, PAIR)[0] - leave_out, 0) / np.maximum(context - leave_out, 1)
         bucket = np.minimum(np.log2(context + 1) * 2, BUCKETS - 1).astype(np.int64)
         return word, np.minimum(pair, 1.0), bucket
 
 
+BODY = "key long, docs binary, lens binary, teach binary, words binary, pairs binary"
+
+
+def _join(table: pa.Table) -> pa.Table:
+    """A chunk's texts with the levels of each token's word and pair."""
+    rows = table.to_pylist()
+    body = next(r for r in rows if r["ord"] == 0)
+    lev = {o: np.frombuffer(b"".join(r["body"] for r in sorted((r for r in rows if r["ord"] == o), key=lambda r: r["shard"])), np.uint8) for o in (WORD, PAIR)}
+    of = lambda c, o: pa.array([lev[o][np.frombuffer(body[c], "<i4")].tobytes()], pa.binary())
+    same = {c: pa.array([body[c]], pa.binary()) for c in ("docs", "lens", "teach")}
+    return pa.table({"key": pa.array([body["key"]], pa.int64()), **same, "words": of("words", WORD), "pairs": of("pairs", PAIR)})
+
+
+def _tokens(batch):
+    """For each chunk: keys of its texts, their lengths and starts, which of them teach, and levels of words and pairs."""
+    for docs, lens, teach, words, pairs in zip(*(batch.column(c).to_pylist() for c in ("docs", "lens", "teach", "words", "pairs"))):
+        lens = np.frombuffer(lens, "<i8")
+        yield np.frombuffer(docs, "<i8"), lens, np.cumsum(lens) - lens, np.frombuffer(teach, np.uint8) > 0, np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8)
+
+
 def _ratios(model):
-    """For each context bucket, how often the pair frequency stands in which ratio (in
-    eighths of log2, 0: none) to the word probability."""
+    """For each context bucket, how often the pair frequency of training texts stands in which
+    ratio (in eighths of log2, 0: none) to the word probability."""
 
     def run(batches):
         seen = np.zeros((BUCKETS, 512), np.int64)
         for batch in batches:
-            for *_, h, starts in hashed(texts_of(batch)):
-                word, pair, bucket = model.value.parts(h, starts, 1)
+            for _, lens, starts, teach, words, pairs in _tokens(batch):
+                word, pair, bucket = model.parts(words, pairs, starts, 1)
+                mine = np.repeat(teach, lens)
+                word, pair, bucket = word[mine], pair[mine], bucket[mine]
                 with np.errstate(divide="ignore"):
                     r = np.where(pair > 0, np.clip(np.log2(pair / word) * 8 + 128, 1, 511), 0).astype(np.int64)
-                np.add.at(seen, (bucket, r), 1)
+                seen += np.bincount(bucket * 512 + r, minlength=BUCKETS * 512).reshape(BUCKETS, 512)
         b, r = np.nonzero(seen)
         yield pa.RecordBatch.from_pydict({"b": pa.array(b), "r": pa.array(r), "c": pa.array(seen[b, r])})
 
     return run
 
 
+def _scores(model):
+    def run(batches):
+        for batch in batches:
+            for docs, _, starts, _, words, pairs in _tokens(batch):
+                word, pair, bucket = model.parts(words, pairs, starts)
+                w = model.weights[bucket]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(docs), "score": pa.array(np.add.reduceat(np.log10(w * pair + (1 - w) * word), starts))})
+
+    return run
+
+
 def _weights(rows) -> np.ndarray:
     """Mixing weights by expectation-maximisation over the ratio counts."""
     seen = np.zeros((BUCKETS, 512))
@@ -252,42 +253,20 @@ def _weights(rows) -> np.ndarray:
     return np.clip(w, 0.001, 0.98)
 
 
-def train(work: Work, docs: DataFrame, most_bytes: int = 48 << 20, most_frequent: int = 150_000) -> tuple[Model, DataFrame]:
-    """Model and table of all words (word, c) of `docs` (doc_id, text).
+def train(work: Work, docs: DataFrame, most_frequent: int = 150_000) -> tuple[Model, DataFrame]:
+    """Model without weights and table of all words (word, c) of `docs` (doc_id, text).
 
-    Counts cover every row.  most_bytes bounds the filter that is broadcast: at
-    eight bits an entry, the least count from which n-grams are kept in it is
-    the smallest that fits (1 on small corpora), so broadcast size doesn't grow
-    with the input; words' exact counts for the base score are never pruned.
-    The most_frequent bound holds for the words whose exact counts are sent too.
+    Counts cover every row.  The most_frequent bound holds for the words whose
+    exact counts are sent to all workers; the others are joined.
     """
-    spark = work.spark
     words = work.cut(docs.select("text").mapInArrow(_count_words(), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("t")).first()
     n, v, texts = int(total["n"]), int(total["v"]), int(total["t"])
     if not n:
-        return Model(Filter(np.zeros((1, 0), np.uint8), 1), 0, 0, 0, np.zeros(BUCKETS), {}), words
-    shards = max(8, n // 2_000_000)
-    blob = "shard int, ord int, keys binary, counts binary"
-    pairs = docs.select("text").mapInArrow(_count_pairs(shards), blob)
-    blobs = pairs.union(words.mapInArrow(_word_blobs(shards), blob))
-    merged = work.cut(blobs.groupBy("shard", "ord").applyInArrow(_merge, f"{blob}, need array<long>"), "merged")
-    need = list(merged.selectExpr(*[f"sum(need[{i}]) AS n{i}" for i in range(len(FLOORS))]).first())
-    fits = next((i for i, x in enumerate(need) if x <= most_bytes), len(FLOORS) - 1)
-    width = max(16, min(most_bytes, int(1.25 * need[fits])) // shards)
-    # the words' and the pairs' half of a shard's segment are joined by bitwise or; the collected size is `most_bytes` at the most, twice
-    segments = np.zeros((shards, width), np.uint8)
-    for r in merged.mapInArrow(_segment(FLOORS[fits], width), "shard int, seg binary").toLocalIterator():
-        segments[r["shard"]] |= np.frombuffer(r["seg"], np.uint8)
-    work.drop("merged")
+        return Model(0, 0, 0, np.zeros(BUCKETS), {}), words
     least = frequent_floor(words, most_frequent)
     frequent = words.where(F.col("c") >= least).toArrow()
-    model = Model(Filter(segments, FLOORS[fits]), n, v, texts, np.zeros(BUCKETS), dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist())))
-    sent = spark.sparkContext.broadcast(model)
-    seen = docs.select("text").mapInArrow(_ratios(sent), "b long, r long, c long").groupBy("b", "r").agg(F.sum("c").alias("c")).collect()  # BUCKETS x 512 rows at the most
-    model.weights = _weights(seen)
-    sent.destroy()
-    return model, words
+    return Model(n, v, texts, np.zeros(BUCKETS), dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist()))), words
 
 
 def frequent_floor(words: DataFrame, most: int) -> int:
@@ -302,16 +281,39 @@ def frequent_floor(words: DataFrame, most: int) -> int:
     return floor
 
 
-def _score(sent):
+SPREAD = "kind int, key long, doc_id long, word binary, n long, known long, base double, shard int, ord int, keys binary, counts binary, docs binary, lens binary, teach binary, words binary, pairs binary"
+TEXT, RARE, KEYS, CHUNK = range(4)
+
+
+def _spread(sent, shards: int, most: int = 3_000_000):
+    """Rows of four kinds: texts with what is known of their base score, their rare words, and of each chunk
+    of texts its different keys by shard with their training counts, and where in these its tokens' keys stand."""
+    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in SPREAD.split(", "))])
+
+    def rows(kind, number, **columns):
+        given = {"kind": np.full(number, kind, np.int32), **columns}
+        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(number, f.type) for f in schema], schema=schema)
+
     def run(batches):
+        from pyspark import TaskContext
+
         model: Model = sent.value
         den = np.log10(model.tokens + 0.1 * (model.distinct + 1))
+        part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            docs, lens, teach, word, pair = (np.concatenate(c) for c in zip(*held))
+            key, mine, at = part << 32 | chunk, np.repeat(teach, lens), {}
+            for order, keys in ((WORD, word), (PAIR, pair)):
+                keys, at[order] = np.unique(keys, return_inverse=True)
+                blob = _blobs(keys, np.bincount(at[order], mine, len(keys)).astype(np.int64), order, shards)
+                yield rows(KEYS, blob.num_rows, key=np.full(blob.num_rows, key), **{c: blob.column(c).to_pylist() for c in ("shard", "ord", "keys", "counts")})
+            body = {"docs": docs.astype("<i8"), "lens": lens.astype("<i8"), "teach": teach.astype(np.uint8), "words": at[WORD].astype("<i4"), "pairs": at[PAIR].astype("<i4")}
+            yield rows(CHUNK, 1, key=[key], ord=[0], **{c: [v.tobytes()] for c, v in body.items()})
+
         for batch in batches:
-            key, doc, texts = batch.column("key").to_numpy(), batch.column("doc_id").to_pylist(), texts_of(batch)
+            key, doc, texts, teach = batch.column("key").to_numpy(), batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("teach").to_numpy(zero_copy_only=False)
             for i, j, lists, h, starts in hashed(texts):
-                word, pair, bucket = model.parts(h, starts)
-                w = model.weights[bucket]
-                score = np.add.reduceat(np.log10(w * pair + (1 - w) * word), starts)
                 known, base, rare = [], [], ([], [], [])
                 for k, tokens in zip(key[i:j].tolist(), lists):
                     c = [model.frequent.get(t, 0) for t in tokens]
@@ -322,16 +324,16 @@ def _score(sent):
                     if known[-1] < len(tokens):
                         for t, m in Counter(t for t, x in zip(tokens, c) if not x).items():
                             rare[0].append(k), rare[1].append(t), rare[2].append(m)
-                n, m = j - i, len(rare[0])
                 lens = np.diff(np.append(starts, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([key[i:j], np.array(rare[0], np.int64)])), pa.array(doc[i:j] + [None] * m, pa.int64()), pa.array([None] * n + rare[1], pa.binary()),
-                        pa.array(np.concatenate([lens, np.array(rare[2], np.int64)])), pa.array(known + [0] * m, pa.int64()),
-                        pa.array(base + [0.0] * m), pa.array(np.concatenate([score, np.zeros(m)])),
-                    ],
-                    names=["key", "doc_id", "word", "n", "known", "base", "score"],
-                )
+                yield rows(TEXT, j - i, key=key[i:j], doc_id=doc[i:j], n=lens, known=known, base=base)
+                yield rows(RARE, len(rare[0]), key=rare[0], word=rare[1], n=rare[2])
+                held.append((key[i:j], lens, teach[i:j], word_keys(h), pair_keys(h, starts)))
+                size += len(h)
+                if size > most:
+                    yield from flush()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from flush()
 
     return run
 
@@ -350,12 +352,19 @@ def score(spark: SparkSession, df: DataFrame, training, id_col: str = "doc_id",
     work = Work(spark, "lm")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     model, words = train(work, docs.where(training))
-    sent = spark.sparkContext.broadcast(model)
     den = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    keyed = docs.withColumn("key", F.monotonically_increasing_id()).select("key", "doc_id", "text")
-    rows = work.cut(keyed.mapInArrow(_score(sent), "key long, doc_id long, word binary, n long, known long, base double, score double"), "scored")
-    whole = rows.where("word IS NULL").drop("word")
-    rare = rows.where("word IS NOT NULL").select("key", "word", "n").join(words, "word", "left")
+    sent = spark.sparkContext.broadcast(model)
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.coalesce(training, F.lit(False)).alias("teach"))
+    rows = work.cut(keyed.mapInArrow(_spread(sent, max(8, model.tokens // 2_000_000)), SPREAD), "spread")
+    model.frequent = {}
+    probed = rows.where(F.col("kind") == KEYS).select("key", "shard", "ord", "keys", "counts").groupBy("shard", "ord").applyInArrow(_probe, "key long, shard int, ord int, body binary")
+    bodies = rows.where(F.col("kind") == CHUNK).select("key", "ord", "docs", "lens", "teach", "words", "pairs")
+    joined = work.cut(bodies.unionByName(probed, allowMissingColumns=True).groupBy("key").applyInArrow(_join, BODY), "joined")
+    seen = joined.mapInArrow(_ratios(model), "b long, r long, c long").groupBy("b", "r").agg(F.sum("c").alias("c")).collect()  # BUCKETS x 512 rows at the most
+    model.weights = _weights(seen)
+    scores = joined.mapInArrow(_scores(model), "key long, score double")
+    whole = rows.where(F.col("kind") == TEXT).select("key", "doc_id", "n", "known", "base").join(scores, "key")
+    rare = rows.where(F.col("kind") == RARE).select("key", "word", "n").join(words, "word", "left")
     rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - den)).alias("b2"))
     out = whole.join(rare, "key", "left")
     return out.select(
