@@ -302,10 +302,19 @@ def pass_threshold(spark, sf):
 
 
 def gwas_two_stage(spark, sf):
-    """The whole study on the labelled documents' quality; random permutations, so without SQL."""
+    """The whole study on the labelled documents' quality; random permutations, so without SQL.
+
+    Each test has the study's two thresholds and whether it passes them, which only the phenotype's own can.
+    """
     pheno = labels(spark, sf).select("accession", F.col("quality").cast("double").alias("phenotype_value"))
-    study = gwas.kmers_gwas(samples(spark, sf), pheno, kmers_number=25, permutations=20, maf=0.1)
-    return study.tests.join(study.scores.select("phenotype", "kmer", "score", "rank"), ["phenotype", "kmer"]).select("phenotype", S.unpack_kmer(F.col("kmer"), K).alias("kmer"), "score", "rank", "p")
+    study = gwas.kmers_gwas(samples(spark, sf), pheno)
+    out = study.tests.join(study.scores.select("phenotype", "kmer", "score", "rank"), ["phenotype", "kmer"])
+    at = {round(r["level"] * 100): r["threshold"] for r in study.thresholds.collect()}  # two rows
+    for level, passed in study.passing.items():
+        p = round(level * 100)
+        out = out.join(passed.select("phenotype", "kmer", F.lit(True).alias(f"pass_{p}")), ["phenotype", "kmer"], "left")
+        out = out.withColumn(f"pass_{p}", F.coalesce(f"pass_{p}", F.lit(False))).withColumn(f"threshold_{p}", F.lit(at[p]))
+    return out.select("phenotype", S.unpack_kmer(F.col("kmer"), K).alias("kmer"), "score", "rank", "p", "threshold_5", "pass_5", "threshold_10", "pass_10")
 
 
 _FOLD = "regexp_replace(translate(lower(coalesce(text, '')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g')"
