@@ -56,18 +56,21 @@ def _partial(batches):
 
 
 def train(df: DataFrame, most_rows: int = 4000, least_count: int = 3) -> Model:
-    """df: doc_id, text, lang. Learns from about `most_rows` labelled rows, picked by a
-    hash of doc_id; that bound on rows bounds the model that is collected and
-    sent to the workers.  Words and n-grams seen fewer than `least_count` times
+    """df: doc_id, text, lang. Learns from about `most_rows` labelled rows, the same number
+    of each language at the most and small languages whole, picked by a hash of doc_id; that
+    bound on rows bounds the model that is collected and sent to the workers.  The languages
+    are those of all labelled rows.  Words and n-grams seen fewer than `least_count` times
     in the picked rows stay unseen.  Rows with null text or lang teach nothing; with no
     labelled row the model has no languages.
     """
     rows = df.where("lang IS NOT NULL AND text IS NOT NULL")
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int((1 << 40) * most_rows / n))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
+    langs = sorted(sizes)
+    if sum(sizes.values()) > most_rows:
+        each = most_rows / len(langs)
+        large = F.create_map(*(F.lit(x) for k in langs if sizes[k] > each for x in (k, int((1 << 40) * each / sizes[k]))))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.coalesce(F.element_at(large, F.col("lang")), F.lit(1 << 40)))
     counts = rows.select("lang", "text").mapInArrow(_partial, "lang string, n int, gram string, c long")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     cells = [F.sum(F.when(F.col("lang") == k, F.col("c")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(langs)]
     if not langs:
         return Model([], {n: {} for n in (0, *GRAMS)}, {})
