@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,6 +84,27 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [v or b"" for v in values]
 
 
+def words_of(texts, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a string array: each text's number of words ``[^\\x20\\x09-\\x0D]+`` (null: none), the
+    words of all texts end to end as indices, and the distinct words that these point to."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lens = np.asarray(pc.fill_null(pc.list_value_length(split), 0)).astype(np.int64)
+    flat = pc.list_flatten(split)
+    full = np.asarray(pc.not_equal(flat, ""))
+    if not full.all():  # white space at either end leaves an empty string
+        at = np.concatenate([[0], np.cumsum(full)])
+        ends = np.cumsum(lens)
+        lens = at[ends] - at[ends - lens]
+        flat = flat.filter(pa.array(full))
+    coded = flat.dictionary_encode()
+    return lens, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def hashes_of(words) -> np.ndarray:
+    return hash_words(words.cast(pa.binary()).to_pylist())
+
+
 def words_lower(text: bytes) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z: bytes methods do just that."""
     return text.lower().split()
@@ -113,6 +135,19 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def slices_of(texts: pa.Array, most: int = 4_000_000):
+    """The same array in slices of at most `most` bytes of text, one text at least."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).tolist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > most:
+            yield texts.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if start < len(sizes):
+        yield texts.slice(start)
+
+
 def slices(texts: list[bytes], most: int = 4_000_000):
     """(from, to) ranges of at most `most` bytes of text, one text at least."""
     start = total = 0

@@ -20,25 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Work, gram_hashes, hash_words, mix, slices, texts_of, words_lower
+from tessera.llm.common import Work, gram_hashes, hashes_of, mix, slices_of, words_of
 from tessera.llm.components import connected_components
+from tessera.llm.exact import with_locators
 
 SHINGLE = 5
 BANDS, ROWS = 64, 6  # at a similarity of 0.75 a pair misses all bands once in 280,000
 LEAST, OF = 75, 100
-CHUNK = 512  # documents of a bucket that one block holds of either side
+CHUNK = 2048  # documents of a group that one block holds of either side
+LONG = 2000  # shingles a document, on average, beyond which a block holds fewer
 A_SALT = 256  # documents compared with one copy of a star's centre
 
 
-def shingle_sets(texts: list[bytes]):
+def shingle_sets(texts: pa.Array):
     """The sorted distinct shingle hashes of each text: runs of five words, or the
     whole sequence where there are fewer; none without words."""
-    for i, j in slices(texts):
-        lists = [words_lower(t) for t in texts[i:j]]
-        h = hash_words([w for ws in lists for w in ws])
+    for part in slices_of(texts):
+        lens, ids, words = words_of(part, lower=True)
+        h = hashes_of(words)[ids]
         g, at = gram_hashes(h, SHINGLE), 0
-        for ws in lists:
-            n = len(ws)
+        for n in lens.tolist():
             if n >= SHINGLE:
                 yield np.unique(g[at : at + n - SHINGLE + 1])
             else:
@@ -78,14 +79,14 @@ def _sketch(bands: int, rows: int):
     def run(batches):
         for batch in batches:
             n, sig, keys, mini = [], [], [], []
-            for s in shingle_sets(texts_of(batch)):
+            for s in shingle_sets(batch.column("text")):
                 values = signature(s, bands * rows) if len(s) else None
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 keys.append(band_keys(values, bands, rows).tobytes() if len(s) else None)
                 mini.append((mix(values) & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
             cols = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (sig, keys, mini))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "n", "sig", "keys", "mini"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "file", "row")), *cols], names=["doc_id", "file", "row", "n", "sig", "keys", "mini"])
 
     return run
 
@@ -99,6 +100,18 @@ def likely(mini: np.ndarray, other: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return (mini == other).mean(axis=-1) >= share - 4.5 * np.sqrt(share * (1 - share) / filled)
 
 
+BLOCK = ["top", "kind", "i", "j"]
+
+
+def _starts(table) -> np.ndarray:
+    """Where rows of another block begin."""
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for c in BLOCK:
+        v = table.column(c).to_numpy()
+        new |= v[1:] != v[:-1]
+    return np.flatnonzero(new) + 1
+
+
 def _by_block(batches):
     """Tables of whole blocks, from rows that come grouped by block."""
     rest: pa.Table | None = None
@@ -109,26 +122,31 @@ def _by_block(batches):
         now = pa.concat_tables(parts)
         cut = now.num_rows
         if batch is not None:
-            gid = now.column("gid").to_numpy()
-            cut = int(np.flatnonzero(gid != gid[-1])[-1]) + 1 if (gid != gid[-1]).any() else 0
+            starts = _starts(now)
+            cut = int(starts[-1]) if len(starts) else 0
         rest = now.slice(cut)
         if cut:
             yield now.slice(0, cut).combine_chunks()
 
 
 def _across(table: pa.Table):
-    """For each document of a block that isn't of its bucket's largest component: its row and the rows of
-    other components whose sizes and bins leave the similarity possible."""
-    rep, n, root, top, side, two, gid = (table.column(c).to_numpy() for c in ("rep", "n", "root", "top", "side", "two", "gid"))
+    """For each document that a block holds against others: its row and the rows of other components
+    whose sizes and bins leave the similarity possible.
+
+    In a block of kind 0 documents outside the largest component (side 1) meet those of a chunk of it
+    (side 0); in one of kind 1 two chunks of the former meet, each pair from side 0 or, within one
+    chunk, from the earlier row.
+    """
+    rep, n, root, kind, side, i, j = (table.column(c).to_numpy() for c in ("rep", "n", "root", "kind", "side", "i", "j"))
     mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint8).reshape(len(rep), -1)
-    bounds = np.append(np.flatnonzero(np.concatenate([[True], gid[1:] != gid[:-1]])), len(gid))
-    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        for x in (np.flatnonzero(root[lo:hi] != top[lo]) + lo).tolist():
-            y = np.arange(lo, hi)
-            # two documents outside the largest component meet once, from the smaller one
-            y = y[(root[lo:hi] != root[x]) & ((root[lo:hi] == top[lo]) | (rep[lo:hi] > rep[x]))]
-            if two[lo]:
-                y = y[side[y] != side[x]]
+    bounds = [0, *_starts(table).tolist(), len(rep)]
+    for lo, hi in zip(bounds, bounds[1:]):
+        inner = kind[lo] == 1 and i[lo] == j[lo]
+        here = np.arange(lo, hi)
+        asks, others = (here, here) if inner else (here[side[lo:hi] == 1], here[side[lo:hi] == 0])
+        for x in asks.tolist():
+            y = others[others > x] if inner else others
+            y = y[root[y] != root[x]]
             y = y[np.minimum(n[y], n[x]) * OF >= np.maximum(n[y], n[x]) * LEAST]
             y = y[likely(mini[y], mini[x], np.minimum(n[y], n[x]))] if len(y) else y
             if len(y):
@@ -152,7 +170,7 @@ def _links_across(batches):
         rep, sets = table.column("rep").to_numpy(), None
         a, b = [], []
         for x, y in _across(table):
-            sets = sets or list(shingle_sets(texts_of(table)))
+            sets = sets or list(shingle_sets(table.column("text").combine_chunks()))
             s, sizes = sets[x], np.array([len(sets[k]) for k in y])
             others = np.concatenate([sets[k] for k in y])
             hit = s[np.minimum(np.searchsorted(s, others), len(s) - 1)] == others
@@ -177,7 +195,7 @@ def _compare(batches):
     held, centre = None, None
     for batch in batches:
         a, b = [], []
-        for grp, salt, role, doc, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "role", "id")), shingle_sets(texts_of(batch))):
+        for grp, salt, role, doc, s in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "role", "id")), shingle_sets(batch.column("text"))):
             if role == 0:
                 held, centre = s, (grp, salt)
             elif centre == (grp, salt):
@@ -205,54 +223,96 @@ def _alike(x: str, y: str):
     return F.least(x, y) * OF >= F.greatest(x, y) * LEAST
 
 
-def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows (top, rep, n, root, mini) dealt to blocks of bounded size.
 
-    Texts without words (null, empty, white space) have no shingles and are
-    linked with nothing.  Rows repeated with the same id get equal results; a null
-    id is linked with nothing, its component is null and it is kept.  Very long
-    texts are shingled whole.  Other columns are not read; an empty table gives
-    no rows.
+    The documents of a group's largest component (root = top) are cut into
+    chunks, the others into chunks of their own.  Each of the others meets each
+    chunk of the largest component and each chunk of the others once; the largest
+    component's documents, linked already, never meet each other.
     """
-    work = Work(spark, "minhash")
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sketches = work.cut(docs.mapInArrow(_sketch(bands, rows), "doc_id long, n long, sig binary, keys binary, mini binary"), "sketches")
+    major = F.col("root") == F.col("top")
+    heavy = lambda own: F.greatest(F.ceil(F.count_if(own) / CHUNK), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)) / (CHUNK * LONG)))
+    sizes = rows.groupBy("top").agg(heavy(major).alias("majors"), heavy(~major).alias("minors")).where("minors > 0")
+    chunk = F.pmod(F.xxhash64("rep"), F.when(major, F.col("majors")).otherwise(F.col("minors")))
+    dealt = rows.join(sizes, "top").withColumn("chunk", chunk)
+    up_to = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), f)).otherwise(F.array())
+    place = lambda kind, side, i, j: F.struct(F.lit(kind).alias("kind"), F.lit(side).cast("int").alias("side") if isinstance(side, int) else side.cast("int").alias("side"), i.alias("i"), j.alias("j"))
+    to_minors = up_to(F.col("minors"), lambda k: place(0, 0, F.col("chunk"), k))
+    to_majors = up_to(F.col("majors"), lambda k: place(0, 1, k, F.col("chunk")))
+    among = up_to(F.col("minors"), lambda k: place(1, F.col("chunk") > k, F.least(F.col("chunk"), k), F.greatest(F.col("chunk"), k)))
+    places = F.when(major, to_minors).otherwise(F.concat(to_majors, among))
+    return dealt.select("top", "rep", "n", "root", "mini", F.explode(places).alias("p")).select("top", "rep", "n", "root", "mini", "p.*")
+
+
+def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, bands: int, rows: int) -> DataFrame:
+    """doc_id, file, row, n_shingles and, of what can be linked, `first`: the least (doc_id, file, row) reachable."""
+    docs = located.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    sketches = work.cut(docs.mapInArrow(_sketch(bands, rows), "doc_id long, file string, row long, n long, sig binary, keys binary, mini binary"), "sketches")
     usable = sketches.where("sig IS NOT NULL AND doc_id IS NOT NULL")
-    classes = work.cut(usable.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys", "mini")).alias("s")).select("sig", F.col("s.doc_id").alias("rep"), "s.n", "s.keys", "s.mini"), "classes")
+    # a class is a set of shingles; its number is written with it, so that it stays whatever is computed again
+    classes = usable.groupBy("sig").agg(F.min(F.struct("doc_id", "file", "row", "n", "keys", "mini")).alias("s"))
+    classes = work.cut(classes.select(F.monotonically_increasing_id().alias("rep"), "sig", F.struct("s.doc_id", "s.file", "s.row").alias("first"), "s.n", "s.keys", "s.mini"), "classes")
     filled = classes.select("rep", "n", "keys").mapInArrow(_buckets, "bucket long, rep long, n long")
     stars = filled.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = work.cut(filled.join(stars.select("bucket", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n")), "bucket"), "members")
     first = members.where((F.col("rep") != F.col("hub")) & _alike("n", "hub_n")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     tested = work.cut(first, "pairs-1")
-    near = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = work.cut(docs.join(near, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.max("text").alias("text")), "texts")
+    near = tested.select(F.col("a").alias("rep")).union(tested.select(F.col("b").alias("rep"))).distinct()
+    at = classes.join(near, "rep", "left_semi").select("rep", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
+    texts = work.cut(docs.select("file", "row", "text").join(at, ["file", "row"]).select("rep", "text"), "texts")
     links = work.cut(confirm(tested, texts), "links-1")
     roots = connected_components(work, links, "first")
-    # what a bucket, less its centre, which has met all others, still holds in different components:
-    # all of it but the largest component is tested against the rest
+    # what a bucket, less its centre, which has met all others, still holds in different components is tested
+    # across these; buckets that have the same largest component are one group, so a document is read once for it
     labelled = members.where("rep <> hub").select("bucket", "rep", "n").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("h"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("g"))
-    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"))
-    open_ = open_.where("parts > 1").groupBy("size", "top", "h", "g").agg(F.min("bucket").alias("bucket"))  # of buckets that hold the same documents one is enough
-    open_ = open_.select("bucket", F.col("top.root").alias("top"), F.ceil(F.col("size") / CHUNK).alias("chunks"))
-    split = work.cut(labelled.join(open_, "bucket"), "open").withColumn("side", F.pmod(F.xxhash64("rep"), F.col("chunks")))
-    # a chunk of a bucket meets each chunk, itself included, in a block of its own
-    grid = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    gid = F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other"))
-    blocks = grid.select("rep", "n", "root", "top", "side", (F.col("side") != F.col("other")).cast("int").alias("two"), gid.alias("gid"))
-    blocks = blocks.join(classes.select("rep", "mini"), "rep").repartition("gid").sortWithinPartitions("gid")
+    parts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("size"))
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "root")).alias("top")).where("parts > 1").select("bucket", F.col("top.root").alias("top"))
+    group = work.cut(labelled.join(open_, "bucket").groupBy("top", "rep").agg(F.first("n").alias("n"), F.first("root").alias("root")), "open")
+    blocks = _blocks(group.join(classes.select("rep", "mini"), "rep")).repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     active = work.cut(blocks.mapInArrow(_active, blocks.schema), "active")
     work.drop("open")
     if active.head(1):
-        held = active.join(texts, "rep").repartition("gid").sortWithinPartitions("gid")
+        # of a bucket's members whose sizes aren't alike some have no text yet
+        wanted = classes.join(active.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("first.file").alias("file"), F.col("first.row").alias("row"))
+        missing = wanted.join(texts.select("rep"), "rep", "left_anti")
+        if missing.head(1):
+            texts = texts.union(work.cut(docs.select("file", "row", "text").join(missing, ["file", "row"]).select("rep", "text"), "texts-2"))
+        held = active.join(texts, "rep").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
         links = work.cut(links.union(held.mapInArrow(_links_across, "a long, b long").distinct()), "links-2")
         roots = connected_components(work, links, "second")
-    work.drop("texts")
-    work.drop("members")
-    owners = classes.select("sig", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("root", "rep").alias("component_id"))
-    out = sketches.select("doc_id", "n", "sig").join(owners, "sig", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    for name in ("texts", "texts-2", "members"):
+        work.drop(name)
+    owners = classes.select("sig", "rep", "first").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = owners.groupBy("root").agg(F.min("first").alias("least"))
+    owners = owners.join(least, "root").select("sig", F.col("least").alias("first"))
+    linkable = F.when(F.col("doc_id").isNotNull(), F.col("sig"))
+    return sketches.select("doc_id", "file", "row", F.col("n").alias("n_shingles"), linkable.alias("sig")).join(owners, "sig", "left").drop("sig")
+
+
+def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Texts without words (null, empty, white space) have no shingles and are
+    linked with nothing.  Rows are told by file and row, so rows repeated with the
+    same id are each linked by their own text; a null id is linked with nothing,
+    its component is null and it is kept.  Very long texts are shingled whole.
+    Other columns are not read; an empty table gives no rows.
+    """
+    work = Work(spark, "minhash")
+    out = _judged(work, with_locators(work, df), id_col, text_col, bands, rows)
+    component = F.coalesce("first.doc_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def distinct_rows(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of df that stay, with all their columns: of each group the one with the smallest id, of rows
+    repeated with this id the first by file and row. Rows are told by locator: repeated and null ids do no harm."""
+    work = Work(spark, "minhash")
+    located = with_locators(work, df)
+    judged = _judged(work, located, id_col, text_col, bands, rows)
+    gone = judged.where(F.struct("doc_id", "file", "row") != F.col("first")).select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+    return located.join(gone, ["__file", "__row"], "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

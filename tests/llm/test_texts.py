@@ -96,7 +96,9 @@ def test_exact_stream_continues(spark, tmp_path):
     assert {(r["n"], r["keep"]["doc_id"]) for r in again} == {(3, 6), (3, 7), (3, 8)}
 
 
-def test_minhash(spark, docs, empty):
+@pytest.mark.parametrize("chunk", [2048, 3])
+def test_minhash(spark, docs, empty, chunk, monkeypatch):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     got = {r["doc_id"]: r for r in minhash.near_duplicates(spark, docs).collect()}
     sets = {}
     for i, t in ROWS:
@@ -110,6 +112,48 @@ def test_minhash(spark, docs, empty):
     assert minhash.near_duplicates(spark, empty).count() == 0
 
 
+def variants(rng, n, edits, copies):
+    """A text of n words and copies of it that grow apart: each is an edit of one before it."""
+    out = [[rng.choice(WORDS) for _ in range(n)]]
+    for _ in range(copies):
+        w = list(rng.choice(out))
+        for _ in range(rng.randint(1, edits)):
+            w[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("chunk", [2048, 7])
+def test_minhash_across(spark, chunk, monkeypatch):
+    """Families whose members aren't all like their centre: links between a bucket's components are found too."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    rng = random.Random(11)
+    texts = [t for n, edits, copies in ((60, 2, 90), (150, 4, 90), (30, 1, 40)) for t in variants(rng, n, edits, copies)]
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = groups(links, range(len(sets)))
+    seen = []
+    real = minhash._blocks
+    monkeypatch.setattr(minhash, "_blocks", lambda rows: seen.append(rows.count()) or real(rows))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert seen[0] > 20 and len(set(want.values())) > 3
+    assert got == want
+
+
+def test_minhash_repeats(spark):
+    """Rows with the same id are linked by their own texts; the rows that stay are told by place."""
+    rng = random.Random(3)
+    x, y = ([rng.choice(WORDS) for _ in range(100)] for _ in range(2))
+    near = lambda w: " ".join(w[:50] + ["edit"] + w[51:])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (6, near(y)), (7, near(x)), (None, " ".join(x))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("first", F.lit("clash"))
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in minhash.near_duplicates(spark, df).collect())
+    assert got == [(0, None), (5, 5), (5, 5), (6, 5), (7, 5)]
+    rows = [(3, near(y)), (5, " ".join(x)), (5, " ".join(y)), (5, " ".join(x)), (None, None)]
+    kept = minhash.distinct_rows(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [rows[0], rows[1], rows[4]]))
+
+
 def test_minhash_misses_few(spark):
     """Pairs near the threshold, long and short: all found."""
     rng, rows = random.Random(1), []
