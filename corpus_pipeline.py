@@ -29,19 +29,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(langid.accepted(sent, LEAST_SCORE)(F.col("text")))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in `dropped`; rows with a null id stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each text: the one with the largest doc_id, one of rows repeated whole."""
     return exact.distinct_rows(spark, docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    return without(docs, minhash.near_duplicates(spark, docs).where("NOT kept"))
+    """Keeps the document with the smallest doc_id of each group of near-duplicates; rows are told by place, so
+    a row goes only by its own text even where its doc_id repeats. Documents without words or doc_id stay."""
+    return minhash.distinct_rows(spark, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
