@@ -1,39 +1,37 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of all training words and word pairs are summed exactly over the whole
-training part.  An n-gram whose count falls in level q is put in a Bloom filter
-as (n-gram, 1) ... (n-gram, q); a reader probes level after level until one is
-missing and so has the quantised count.  The filter is made of segments, one for
-each shard of n-gram hashes, whose number grows with the input; every n-gram is
-in it.  No segment is sent to all workers: the n-grams of all texts are dealt by
-shard, probe their own segment and bring their levels back.  Pair and word
-probabilities are mixed with weights by context count, fitted on the training
-part with each token's own occurrence left out.
+Texts are coded once into chunks: each token as an index into the chunk's own
+list of words.  The distinct words and word pairs of a chunk are dealt by shard
+with their counts in the chunk's training texts.  A shard sums the counts of its
+n-grams over all chunks, and puts an n-gram whose count falls in level q into
+its segment of the Bloom filter as (n-gram, 1) ... (n-gram, q); probing level
+after level until one is missing gives the quantised count, which goes back to
+each chunk.  Every n-gram is in the filter, and the number of segments grows with
+the input; so no segment is sent to all workers, each is probed where it is made.
+Pair and word probabilities are mixed with weights by context count, fitted on
+the training part with each token's own occurrence left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Work, hash_words, mix, slices, texts_of, words_lower
+from tessera.llm.common import Work, hash_words, mix, slices_of, words_of
 from tessera.llm.langid import held_out
 
-END = b"\n"  # no word holds white space
 START = np.uint64(0x5851F42D4C957F2D)  # stands before the first token of a text
 WORD, PAIR = 1, 2
 BASE = {WORD: 1.2, PAIR: 2.0}  # ratio of neighbouring levels
 PROBES = 4
 BUCKETS = 40
-
-
-def tokens_of(text: bytes) -> list[bytes]:
-    return [*words_lower(text), END]
+CHUNK_BYTES = 12_000_000
+SHARD_TOKENS = 2_000_000
 
 
 def word_keys(h: np.ndarray) -> np.ndarray:
@@ -47,45 +45,121 @@ def pair_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mix(mix(before) + h)
 
 
-def hashed(texts: list[bytes]):
-    """For slices of the texts: index range, token hashes, positions where texts start."""
-    for i, j in slices(texts):
-        lists = [tokens_of(t) for t in texts[i:j]]
-        lens = np.fromiter(map(len, lists), dtype=np.int64, count=j - i)
-        h = hash_words([w for ws in lists for w in ws])
-        yield i, j, lists, h, np.cumsum(lens) - lens
+def _squeeze(body: bytes) -> bytes:
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
+
+CHUNKS = "chunk long, docs array<long>, lens array<long>, teach array<boolean>, ids binary, words binary"
+
 
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Tokens of each text, its end included, all tokens as indices, and the distinct
+    tokens; the last of these, the empty one, is the end."""
+    lens, ids, words = words_of(texts, lower=True)
+    out = np.full(len(ids) + len(lens), len(words), np.int64)
+    ends = np.cumsum(lens + 1) - 1
+    inner = np.ones(len(out), bool)
+    inner[ends] = False
+    out[inner] = ids
+    return lens + 1, out, [*words.cast(pa.binary()).to_pylist(), b""]
+
+
+def _chunks(most: int):
+    """Texts coded in chunks of at most `most` bytes, one text at least. A chunk's number is written with it."""
 
-def _count_words(most: int = 400_000):
     def run(batches):
-        counts: Counter = Counter()
+        from pyspark import TaskContext
+
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def out():
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "c": pa.array(counts.values(), pa.int64())})
+            table = pa.Table.from_batches(held).combine_chunks()
+            lens, ids, words = coded(table.column("text").combine_chunks())
+            # byte by byte: the upper bytes of the indices are nearly all zero
+            body = {"ids": _squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()), "words": _squeeze(b"\n".join(words))}  # no word holds white space
+            cols = {"chunk": [part << 32 | number], "docs": [table.column("doc_id").to_pylist()], "lens": [lens], "teach": [table.column("teach").to_pylist()]}
+            kinds = {"chunk": pa.int64(), "docs": pa.list_(pa.int64()), "lens": pa.list_(pa.int64()), "teach": pa.list_(pa.bool_())}
+            return pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) for k, v in cols.items()} | {k: pa.array([v], pa.binary()) for k, v in body.items()})
 
         for batch in batches:
-            for text in texts_of(batch):
-                counts.update(tokens_of(text))
-                if len(counts) > most:
+            at = 0
+            for texts in slices_of(batch.column("text"), most):
+                rows, n = batch.slice(at, len(texts)), int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+                if held and size + n > most:
                     yield out()
-                    counts.clear()
-        if counts:
+                    number, held, size = number + 1, [], 0
+                held.append(rows)
+                at, size = at + len(texts), size + n
+        if held:
             yield out()
 
     return run
 
 
+def _rows(batch):
+    """One row after the other: all of a batch at once would be many chunks."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Lengths and starts of a chunk's texts, its token indices and its distinct tokens."""
+    lens = np.array(row["lens"], np.int64)
+    ids = np.frombuffer(_unsqueeze(row["ids"]), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return lens, np.cumsum(lens) - lens, ids, _unsqueeze(row["words"]).split(b"\n")
+
+
+def _ngrams(row: dict):
+    """Of a chunk, always in the same order: word keys, their order, pair keys in order and where each token's stands."""
+    lens, starts, ids, words = _read(row)
+    h = hash_words(words)
+    keys = word_keys(h)
+    pairs, at = np.unique(pair_keys(h[ids], starts), return_inverse=True)
+    return lens, starts, ids, words, keys, np.argsort(keys, kind="stable"), pairs, at
+
+
+def _by_shard(keys: np.ndarray, shards: int):
+    """(shard, from, to) of sorted keys: a shard is a range of key values."""
+    shard = (keys // np.uint64((1 << 64) // shards + 1)).astype(np.int64)
+    bounds = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)] if len(keys) else [0]
+    return [(int(shard[a]), a, b) for a, b in zip(bounds, bounds[1:])]
+
+
 def _blobs(keys: np.ndarray, counts: np.ndarray, order: int, shards: int):
-    """Sorted keys and counts, parted by shard (a range of key values)."""
-    width = np.uint64((1 << 64) // shards + 1)
-    shard = (keys // width).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(shard)) + 1
-    bounds = [0, *cuts.tolist(), len(keys)] if len(keys) else [0]
-    rows = [(int(shard[a]), order, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(bounds, bounds[1:])]
+    """Sorted keys and counts, parted by shard."""
+    rows = [(s, order, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for s, a, b in _by_shard(keys, shards)]
     cols = list(zip(*rows)) or [()] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["shard", "ord", "keys", "counts"])
 
 
+def _deal(shards: int):
+    """Each chunk's distinct words, as they are, and pair keys, with their counts in its training texts, by shard."""
+
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                lens, _, ids, words, keys, order, pairs, at = _ngrams(row)
+                mine = np.repeat(np.array(row["teach"], bool), lens)
+                counts = np.bincount(ids, mine, len(words)).astype(np.int64)[order]
+                parts = _by_shard(keys[order], shards)
+                word = pa.RecordBatch.from_pydict(
+                    {
+                        "shard": pa.array([s for s, _, _ in parts], pa.int32()), "ord": pa.array([WORD] * len(parts), pa.int32()),
+                        "keys": pa.array([b"\n".join([words[i] for i in order[a:b]]) for _, a, b in parts], pa.binary()),
+                        "counts": pa.array([counts[a:b].astype("<u4").tobytes() for _, a, b in parts], pa.binary()),
+                    }
+                )
+                pair = _blobs(pairs, np.bincount(at, mine, len(pairs)).astype(np.int64), PAIR, shards)
+                for out in (word, pair):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["chunk"]] * out.num_rows, pa.int64()), *out.columns], names=["chunk", *out.schema.names])
+
+    return run
+
+
 def level(counts: np.ndarray, floor: int, base: float) -> np.ndarray:
     """1 for floor <= count < floor * base and so on; 0 under the floor."""
     with np.errstate(divide="ignore"):
@@ -135,39 +209,48 @@ def counts_of(lev: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(lev > 0, np.ceil(BASE[order] ** (lev - 1.0)), 0.0), np.where(lev > 0, BASE[order] ** lev.astype(float), 0.0)
 
 
-def _segment(floor: int, width: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for order, keys, counts in zip(batch.column("ord").to_pylist(), batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                seg, keys = np.zeros(width, np.uint8), np.frombuffer(keys, dtype="<u8") + np.uint64(order)
-                lev = level(np.frombuffer(counts, dtype="<u4").astype(np.int64), floor, BASE[order])
-                for q in range(1, int(lev.max(initial=0)) + 1):
-                    keys, lev = keys[lev >= q], lev[lev >= q]
-                    one, two = _halves(keys, q)
-                    for i in range(PROBES):
-                        spot = _spot(one, two, i, width * 8)
-                        np.bitwise_or.at(seg, spot >> 3, np.left_shift(1, spot & 7).astype(np.uint8))
-                out.append(seg.tobytes())
-            yield pa.RecordBatch.from_pydict({"shard": batch.column("shard"), "seg": pa.array(out, pa.binary())})
+def segment(keys: np.ndarray, lev: np.ndarray, order: int, width: int) -> np.ndarray:
+    """`width` bytes of the filter: each key is put in for every level up to its own."""
+    bits, keys = np.zeros(width * 8, bool), keys + np.uint64(order)
+    for q in range(1, int(lev.max(initial=0)) + 1):
+        keys, lev = keys[lev >= q], lev[lev >= q]
+        one, two = _halves(keys, q)
+        for i in range(PROBES):
+            bits[_spot(one, two, i, width * 8)] = True
+    return np.packbits(bits, bitorder="little")
 
-    return run
+
+ANSWERS = "chunk long, shard int, ord int, levels binary, exact binary, n long, v long, t long"
 
 
 def _probe(table: pa.Table) -> pa.Table:
-    """One shard of one order: sums its keys' training counts, makes its segment and gives each chunk the levels of its keys."""
-    blobs = table.column("keys").to_pylist()
-    keys = np.concatenate([np.frombuffer(b, dtype="<u8") for b in blobs])
-    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("counts").to_pylist()]).astype(np.int64)
-    keys, back = np.unique(keys, return_inverse=True)
+    """One shard of one order: sums its n-grams' training counts, makes its segment and gives each chunk the
+    levels of its n-grams, of words the exact counts too; the first row has the shard's sums."""
+    blobs, order = table.column("keys").to_pylist(), table.column("ord")[0].as_py()
+    if order == WORD:
+        lists = [b.split(b"\n") for b in blobs]
+        lens = [len(x) for x in lists]
+        which = pa.array([w for x in lists for w in x], pa.binary()).dictionary_encode()
+        words, back = which.dictionary.to_pylist(), which.indices.to_numpy()
+        keys = word_keys(hash_words(words))
+    else:
+        lens = [len(b) // 8 for b in blobs]
+        keys, back = np.unique(np.concatenate([np.frombuffer(b, dtype="<u8") for b in blobs]), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in table.column("counts").to_pylist()])
     counts = np.bincount(back, counts, len(keys)).astype(np.int64)
-    order, taught = table.column("ord")[0].as_py(), counts > 0
-    width = max(16, int(1.25 * level(counts, 1, BASE[order]).sum()))
-    one = pa.RecordBatch.from_pydict({"shard": [0], "ord": [order], "keys": [keys[taught].tobytes()], "counts": [counts[taught].astype("<u4").tobytes()]})
-    segment = np.frombuffer(next(_segment(1, width)([one])).column("seg")[0].as_py(), np.uint8) if taught.any() else np.zeros(0, np.uint8)
-    lev = Filter(segment[None, :], 1).levels(keys, order, 255).astype(np.uint8)[back]
-    ends = np.cumsum([len(b) // 8 for b in blobs])
-    return pa.table({"key": table.column("key"), "shard": table.column("shard"), "ord": table.column("ord"), "body": pa.array([lev[i - len(b) // 8 : i].tobytes() for i, b in zip(ends, blobs)], pa.binary())})
+    taught, lev = counts > 0, level(counts, 1, BASE[order])
+    width = max(16, int(1.25 * lev.sum()))
+    made = segment(keys[taught], lev[taught], order, width) if taught.any() else np.zeros(0, np.uint8)
+    lev = Filter(made[None, :], 1).levels(keys, order, 255).astype(np.uint8)[back]
+    ends = np.cumsum(lens)
+    sums = np.zeros((3, len(blobs)), np.int64)
+    exact = [None] * len(blobs)
+    if order == WORD:
+        sums[:, 0] = counts.sum(), taught.sum(), sum(c for w, c in zip(words, counts.tolist()) if not w)
+        exact = [counts[back[i - n : i]].astype("<u8").tobytes() for i, n in zip(ends, lens)]
+    cols = {c: table.column(c) for c in ("chunk", "shard", "ord")}
+    cols |= {"levels": pa.array([lev[i - n : i].tobytes() for i, n in zip(ends, lens)], pa.binary()), "exact": pa.array(exact, pa.binary())}
+    return pa.table(cols | {k: pa.array(x) for k, x in zip("nvt", sums)})
 
 
 @dataclass
@@ -176,7 +259,6 @@ class Model:
     distinct: int  # V
     texts: int
     weights: np.ndarray  # of the pair probability, by context bucket
-    frequent: dict[bytes, int]  # exact counts of the words that are sent to all workers
 
     def parts(self, words: np.ndarray, pairs: np.ndarray, starts: np.ndarray, leave_out=0):
         """From levels: word probability, pair frequency (own occurrence left out where leave_out is 1), context bucket."""
@@ -189,24 +271,30 @@ class Model:
         return word, np.minimum(pair, 1.0), bucket
 
 
-BODY = "key long, docs binary, lens binary, teach binary, words binary, pairs binary"
+TOKENS = "docs array<long>, lens array<long>, teach array<boolean>, known array<long>, base array<double>, words binary, pairs binary"
 
 
-def _join(table: pa.Table) -> pa.Table:
-    """A chunk's texts with the levels of each token's word and pair."""
-    rows = table.to_pylist()
-    body = next(r for r in rows if r["ord"] == 0)
-    lev = {o: np.frombuffer(b"".join(r["body"] for r in sorted((r for r in rows if r["ord"] == o), key=lambda r: r["shard"])), np.uint8) for o in (WORD, PAIR)}
-    of = lambda c, o: pa.array([lev[o][np.frombuffer(body[c], "<i4")].tobytes()], pa.binary())
-    same = {c: pa.array([body[c]], pa.binary()) for c in ("docs", "lens", "teach")}
-    return pa.table({"key": pa.array([body["key"]], pa.int64()), **same, "words": of("words", WORD), "pairs": of("pairs", PAIR)})
+def _join(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """A chunk's texts with the levels of each token's word and pair, and of each text how many of its tokens
+    are known and the sum of log10(count + 0.1)."""
+    row = chunk.to_pylist()[0]
+    lens, starts, ids, words, _, order, _, at = _ngrams(row)
+    got = sorted(answers.to_pylist(), key=lambda r: (r["ord"], r["shard"]))
+    body = lambda o, c, kind: np.frombuffer(b"".join(r[c] for r in got if r["ord"] == o), kind)
+    word, exact = np.zeros(len(words), np.uint8), np.zeros(len(words), np.int64)
+    word[order], exact[order] = body(WORD, "levels", np.uint8), body(WORD, "exact", "<u8")
+    known, logs = np.add.reduceat((exact > 0)[ids].astype(np.int64), starts), np.add.reduceat(np.log10(exact + 0.1)[ids], starts)
+    out = {c: chunk.column(c) for c in ("docs", "lens", "teach")}
+    out |= {"known": pa.array([known], pa.list_(pa.int64())), "base": pa.array([logs], pa.list_(pa.float64()))}
+    levels = {"words": word[ids], "pairs": body(PAIR, "levels", np.uint8)[at]}
+    return pa.table(out | {c: pa.array([_squeeze(v.tobytes())], pa.binary()) for c, v in levels.items()})
 
 
 def _tokens(batch):
-    """For each chunk: keys of its texts, their lengths and starts, which of them teach, and levels of words and pairs."""
-    for docs, lens, teach, words, pairs in zip(*(batch.column(c).to_pylist() for c in ("docs", "lens", "teach", "words", "pairs"))):
-        lens = np.frombuffer(lens, "<i8")
-        yield np.frombuffer(docs, "<i8"), lens, np.cumsum(lens) - lens, np.frombuffer(teach, np.uint8) > 0, np.frombuffer(words, np.uint8), np.frombuffer(pairs, np.uint8)
+    """For each chunk: its row, its texts' lengths and starts, which of them teach, and levels of words and pairs."""
+    for row in _rows(batch):
+        lens = np.array(row["lens"], np.int64)
+        yield row, lens, np.cumsum(lens) - lens, np.array(row["teach"], bool), *(np.frombuffer(_unsqueeze(row[c]), np.uint8) for c in ("words", "pairs"))
 
 
 def _ratios(model):
@@ -230,12 +318,16 @@ def _ratios(model):
 
 
 def _scores(model):
+    den = np.log10(model.tokens + 0.1 * (model.distinct + 1))
+
     def run(batches):
         for batch in batches:
-            for docs, _, starts, _, words, pairs in _tokens(batch):
+            for row, lens, starts, _, words, pairs in _tokens(batch):
                 word, pair, bucket = model.parts(words, pairs, starts)
                 w = model.weights[bucket]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(docs), "score": pa.array(np.add.reduceat(np.log10(w * pair + (1 - w) * word), starts))})
+                score = np.add.reduceat(np.log10(w * pair + (1 - w) * word), starts)
+                cols = {"doc_id": pa.array(row["docs"], pa.int64()), "n_tokens": lens, "n_known": pa.array(row["known"], pa.int64()), "base_score": np.array(row["base"]) - lens * den, "score": score}
+                yield pa.RecordBatch.from_pydict(cols)
 
     return run
 
@@ -253,89 +345,25 @@ def _weights(rows) -> np.ndarray:
     return np.clip(w, 0.001, 0.98)
 
 
-def train(work: Work, docs: DataFrame, most_frequent: int = 150_000) -> tuple[Model, DataFrame]:
-    """Model without weights and table of all words (word, c) of `docs` (doc_id, text).
-
-    Counts cover every row.  The most_frequent bound holds for the words whose
-    exact counts are sent to all workers; the others are joined.
-    """
-    words = work.cut(docs.select("text").mapInArrow(_count_words(), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("c"))), F.lit(0)).alias("t")).first()
-    n, v, texts = int(total["n"]), int(total["v"]), int(total["t"])
-    if not n:
-        return Model(0, 0, 0, np.zeros(BUCKETS), {}), words
-    least = frequent_floor(words, most_frequent)
-    frequent = words.where(F.col("c") >= least).toArrow()
-    return Model(n, v, texts, np.zeros(BUCKETS), dict(zip(frequent.column("word").to_pylist(), frequent.column("c").to_pylist()))), words
-
-
-def frequent_floor(words: DataFrame, most: int) -> int:
-    """The least count that at most `most` words reach, from a histogram of 200 logarithmic steps."""
-    steps = words.groupBy(F.floor(F.log(1.1, F.col("c"))).alias("s")).count().collect()
-    total, floor = 0, 1
-    for s, n in sorted(steps, reverse=True):
-        if total + n > most:
-            floor = int(1.1 ** (s + 1)) + 1
-            break
-        total += n
-    return floor
-
-
-SPREAD = "kind int, key long, doc_id long, word binary, n long, known long, base double, shard int, ord int, keys binary, counts binary, docs binary, lens binary, teach binary, words binary, pairs binary"
-TEXT, RARE, KEYS, CHUNK = range(4)
-
-
-def _spread(sent, shards: int, most: int = 3_000_000):
-    """Rows of four kinds: texts with what is known of their base score, their rare words, and of each chunk
-    of texts its different keys by shard with their training counts, and where in these its tokens' keys stand."""
-    schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in SPREAD.split(", "))])
+def coded_chunks(work: Work, docs: DataFrame) -> DataFrame:
+    """The table of chunks of docs (doc_id, text, teach), written."""
+    return work.cut(docs.mapInArrow(_chunks(CHUNK_BYTES), CHUNKS), "chunks")
 
-    def rows(kind, number, **columns):
-        given = {"kind": np.full(number, kind, np.int32), **columns}
-        return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(number, f.type) for f in schema], schema=schema)
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        model: Model = sent.value
-        den = np.log10(model.tokens + 0.1 * (model.distinct + 1))
-        part, chunk, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-        def flush():
-            docs, lens, teach, word, pair = (np.concatenate(c) for c in zip(*held))
-            key, mine, at = part << 32 | chunk, np.repeat(teach, lens), {}
-            for order, keys in ((WORD, word), (PAIR, pair)):
-                keys, at[order] = np.unique(keys, return_inverse=True)
-                blob = _blobs(keys, np.bincount(at[order], mine, len(keys)).astype(np.int64), order, shards)
-                yield rows(KEYS, blob.num_rows, key=np.full(blob.num_rows, key), **{c: blob.column(c).to_pylist() for c in ("shard", "ord", "keys", "counts")})
-            body = {"docs": docs.astype("<i8"), "lens": lens.astype("<i8"), "teach": teach.astype(np.uint8), "words": at[WORD].astype("<i4"), "pairs": at[PAIR].astype("<i4")}
-            yield rows(CHUNK, 1, key=[key], ord=[0], **{c: [v.tobytes()] for c, v in body.items()})
-
-        for batch in batches:
-            key, doc, texts, teach = batch.column("key").to_numpy(), batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("teach").to_numpy(zero_copy_only=False)
-            for i, j, lists, h, starts in hashed(texts):
-                known, base, rare = [], [], ([], [], [])
-                for k, tokens in zip(key[i:j].tolist(), lists):
-                    c = [model.frequent.get(t, 0) for t in tokens]
-                    got = np.array(c, dtype=np.float64)
-                    hit = got > 0
-                    known.append(int(hit.sum()))
-                    base.append(float((np.log10(got[hit] + 0.1) - den).sum()))
-                    if known[-1] < len(tokens):
-                        for t, m in Counter(t for t, x in zip(tokens, c) if not x).items():
-                            rare[0].append(k), rare[1].append(t), rare[2].append(m)
-                lens = np.diff(np.append(starts, len(h)))
-                yield rows(TEXT, j - i, key=key[i:j], doc_id=doc[i:j], n=lens, known=known, base=base)
-                yield rows(RARE, len(rare[0]), key=rare[0], word=rare[1], n=rare[2])
-                held.append((key[i:j], lens, teach[i:j], word_keys(h), pair_keys(h, starts)))
-                size += len(h)
-                if size > most:
-                    yield from flush()
-                    chunk, held, size = chunk + 1, [], 0
-        if held:
-            yield from flush()
-
-    return run
+def train(work: Work, chunks: DataFrame) -> tuple[Model, DataFrame]:
+    """The model with its weights, and the written table of all texts with the levels of their tokens."""
+    tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).first()["n"] or 0
+    dealt = chunks.mapInArrow(_deal(max(8, tokens // SHARD_TOKENS)), "chunk long, shard int, ord int, keys binary, counts binary")
+    answers = work.cut(dealt.groupBy("shard", "ord").applyInArrow(_probe, ANSWERS), "answers")
+    total = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "t"))).first()
+    model = Model(total["n"], total["v"], total["t"], np.zeros(BUCKETS))
+    joined = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join, TOKENS)
+    joined = work.cut(joined, "joined")
+    work.drop("chunks")
+    work.drop("answers")
+    seen = joined.mapInArrow(_ratios(model), "b long, r long, c long").groupBy("b", "r").agg(F.sum("c").alias("c")).collect()  # BUCKETS x 512 rows at the most
+    model.weights = _weights(seen)
+    return model, joined
 
 
 def score(spark: SparkSession, df: DataFrame, training, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,34 +371,18 @@ def score(spark: SparkSession, df: DataFrame, training, id_col: str = "doc_id",
 
     `training` is a condition on doc_id that says which rows teach.  A null or
     empty text has the end token alone.  Repeated rows teach and are scored
-    each.  Other columns are not read.  An empty table gives no rows; without
-    training rows every count is 0 and the base score is 0.
+    each; a null id doesn't teach, its held_out is null.  Other columns are not
+    read.  An empty table gives no rows; without training rows every count is 0
+    and the base score is 0.
 
-    base_score is exact: words of the bounded frequent table are summed where
-    the text is read, all others are joined with the full table of counts.
+    Words are counted by their bytes, so n_known and base_score are exact.
     """
     work = Work(spark, "lm")
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    model, words = train(work, docs.where(training))
-    den = float(np.log10(model.tokens + 0.1 * (model.distinct + 1)))
-    sent = spark.sparkContext.broadcast(model)
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text", F.coalesce(training, F.lit(False)).alias("teach"))
-    rows = work.cut(keyed.mapInArrow(_spread(sent, max(8, model.tokens // 2_000_000)), SPREAD), "spread")
-    model.frequent = {}
-    probed = rows.where(F.col("kind") == KEYS).select("key", "shard", "ord", "keys", "counts").groupBy("shard", "ord").applyInArrow(_probe, "key long, shard int, ord int, body binary")
-    bodies = rows.where(F.col("kind") == CHUNK).select("key", "ord", "docs", "lens", "teach", "words", "pairs")
-    joined = work.cut(bodies.unionByName(probed, allowMissingColumns=True).groupBy("key").applyInArrow(_join, BODY), "joined")
-    seen = joined.mapInArrow(_ratios(model), "b long, r long, c long").groupBy("b", "r").agg(F.sum("c").alias("c")).collect()  # BUCKETS x 512 rows at the most
-    model.weights = _weights(seen)
-    scores = joined.mapInArrow(_scores(model), "key long, score double")
-    whole = rows.where(F.col("kind") == TEXT).select("key", "doc_id", "n", "known", "base").join(scores, "key")
-    rare = rows.where(F.col("kind") == RARE).select("key", "word", "n").join(words, "word", "left")
-    rare = rare.groupBy("key").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("k2"), F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.1) - den)).alias("b2"))
-    out = whole.join(rare, "key", "left")
-    return out.select(
-        "doc_id", (~training).alias("held_out"), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k2", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b2", F.lit(0.0))).alias("base_score"), "score",
-    )
+    docs = docs.select("doc_id", "text", F.coalesce(training, F.lit(False)).alias("teach"))
+    model, joined = train(work, coded_chunks(work, docs))
+    out = joined.mapInArrow(_scores(model), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", (~training).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,13 +331,13 @@ def test_lm(spark, docs, empty):
     assert lm.score(spark, empty, ~langid.held_out(10, 0)).count() == 0
 
 
-def test_lm_rare_words(spark, docs, monkeypatch):
-    """With few words sent to the workers the base scores are the same."""
-    full, got = lm.train, {}
-    for most in (150_000, 5):
-        monkeypatch.setattr(lm, "train", lambda work, d, m=most: full(work, d, most_frequent=m))
+def test_lm_chunks(spark, docs, monkeypatch):
+    """However texts are cut into chunks, the base scores are the same."""
+    got = {}
+    for most in (12_000_000, 300):
+        monkeypatch.setattr(lm, "CHUNK_BYTES", most)
         got[most] = {r["doc_id"]: (r["n_known"], round(r["base_score"], 6)) for r in lm.score(spark, docs, ~langid.held_out(10, 0)).collect()}
-    assert got[150_000] == got[5]
+    assert got[12_000_000] == got[300]
 
 
 def test_bloom_levels():
@@ -345,15 +345,11 @@ def test_bloom_levels():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
     counts = rng.geometric(0.05, 5000)
-    import pyarrow as pa
-
-    blob = lm._blobs(keys, counts, lm.PAIR, 8)
-    segments = np.zeros((8, 8192), np.uint8)
-    for out in lm._segment(2, 8192)([blob]):
-        for s, seg in zip(out.column("shard").to_pylist(), out.column("seg").to_pylist()):
-            segments[s] |= np.frombuffer(seg, np.uint8)
+    blob = lm._blobs(keys, counts, lm.PAIR, 8).to_pylist()
+    assert b"".join(r["keys"] for r in blob) == keys.tobytes()
+    levels = lambda r: lm.level(np.frombuffer(r["counts"], "<u4").astype(int), 2, lm.BASE[lm.PAIR])
+    segments = np.stack([lm.segment(np.frombuffer(r["keys"], "<u8"), levels(r), lm.PAIR, 8192) for r in blob])
     f = lm.Filter(segments, 2)
     lev = lm.level(counts, 2, lm.BASE[lm.PAIR])
     assert (f.levels(keys, lm.PAIR) >= lev).all() and (f.levels(keys, lm.PAIR) == lev).mean() > 0.9
     assert (f.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64), lm.PAIR) > 0).mean() < 0.1
-    assert isinstance(blob, pa.RecordBatch)
