@@ -3,7 +3,9 @@
 A tolerant one-pass scanner builds the element tree.  Each node gets its
 characters per tag, adjusted for link characters and link tags; the node whose
 children's densities sum highest holds the main text, and the least density on
-its path from the body is the threshold for what else belongs to it.
+its path from the body is the threshold for what else belongs to it.  Elements
+that are never main text by their tag, role or class words are left out of it,
+but count in the densities of what surrounds them.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ NOISE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations pagination pager toolbar login search skip".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CLOSES = {  # a start tag ends these open elements first
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
     "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "thead": ("tr", "td", "th"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",),
@@ -43,12 +46,13 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "noise", "chars", "links", "tags", "link_tags", "density", "total", "kids", "inlink", "weak")
+    __slots__ = ("tag", "parent", "block", "noise", "weak", "chars", "links", "tags", "link_tags", "free", "density", "total", "kids", "inlink", "kept", "own")
 
     def __init__(self, tag: str, parent):
         self.tag, self.parent = tag, parent
-        self.noise, self.weak = False, False
-        self.chars = self.links = self.tags = self.link_tags = 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.noise = self.weak = self.kept = self.own = False
+        self.free = self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.kids: list[Node] = []
         self.inlink = tag == "a" or bool(parent and parent.inlink)
@@ -73,9 +77,13 @@ def _marks(node: Node, attributes: str) -> None:
 
 
 def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
-    """Root, nodes in page order, and (node, text) blocks with their white space as one space."""
+    """Root, nodes in page order, and (node, text) blocks with their white space as one space.
+
+    Where each open element stands is kept by tag, so that the time is linear in the page.
+    """
     root = Node("html", None)
     nodes, blocks, stack, at, parts, holder = [root], [], [root], 0, [], [root]
+    opened: dict[str, list[int]] = {}
 
     def flush() -> None:
         if parts:
@@ -83,26 +91,36 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
                 blocks.append((holder[0], text))
             parts.clear()
 
+    def add(raw: str) -> None:
+        if not parts:
+            holder[0] = stack[-1].block
+        parts.append(raw)
+
     def text(raw: str) -> None:
         if raw:
             if "&" in raw:
                 raw = unescape(raw)
-            if not parts:
-                holder[0] = next((n for n in reversed(stack) if n.tag in BLOCK), root)
-            parts.append(raw)
-            n = len(raw) - raw.count(" ") if raw.isspace() else len(raw)
-            top = stack[-1]
-            top.chars += n
-            if top.inlink:
-                top.links += n
+            add(raw)
+            n = len(raw.strip())
+            stack[-1].chars += n
+            if stack[-1].inlink:
+                stack[-1].links += n
+
+    def push(node: Node) -> None:
+        opened.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        for n in stack[i:]:
+            opened[n.tag].pop()
+        del stack[i:]
+
+    def last(tags) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=0)
 
     def close(tags, scope=()) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in scope:
-                return
+        if (i := last(tags)) > last(scope):
+            cut(i)
 
     while m := TAG.search(page, at):
         text(page[at : m.start()])
@@ -113,22 +131,21 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
         name, ends, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         block = name in BLOCK
         if name == "br":
-            parts.append(" ")
+            add(" ")
             stack[-1].tags += 1
             continue
         if block:
             flush()
         if ends:
-            if any(n.tag == name for n in stack[1:]):
-                close((name,))
+            close((name,))
             continue
         if block:
             close(("p",), ("article", "section", "div", "td", "li", "blockquote", "body"))
         if name in CLOSES:
             while len(stack) > 1 and stack[-1].tag in CLOSES[name]:
-                stack.pop()
+                cut(len(stack) - 1)
             close(CLOSES[name], SCOPES.get(name, ()))
-        if name == "html" or name == "body" and any(n.tag == "body" for n in stack):
+        if name == "html" or name == "body" and opened.get("body"):
             continue
         node = Node(name, stack[-1])
         nodes.append(node)
@@ -140,15 +157,15 @@ def parse(page: str) -> tuple[Node, list[Node], list[tuple[Node, str]]]:
             at = end.start() if end else len(page)
             node.noise = True
             if end:
-                stack.append(node)
+                push(node)
         elif name not in VOID and not attributes.endswith("/") or block and name != "hr":
-            stack.append(node)
+            push(node)
     text(page[at:])
     flush()
     return root, nodes, blocks
 
 
-def _density(n: Node, body_links: float) -> float:
+def density(n: Node, body_links: float) -> float:
     """Composite text density: characters per tag, raised for text with few links."""
     if not n.chars:
         return 0.0
@@ -158,76 +175,113 @@ def _density(n: Node, body_links: float) -> float:
     return n.chars / tags * log(max(ratio, 1.0) + 1) / log(base + 1)  # the ones keep both logarithms off zero
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main text, joined by empty lines; empty if there are none."""
-    if not page:
-        return ""
-    root, nodes, blocks = parse(page)
-    for n in nodes:  # a weak mark doesn't take the page's article with it
-        if n.tag in ("article", "main") and not n.noise:
-            up = n.parent
-            while up is not None:
-                if up.weak:
-                    up.noise = False
-                up = up.parent
+def _settle_noise(nodes: list[Node]) -> None:
+    """Noise covers what is inside it; a weak mark doesn't take the page's article with it."""
+    holds = set()
+    for n in reversed(nodes):
+        if n.parent is not None and (id(n) in holds or n.tag in ("article", "main") and not n.noise):
+            holds.add(id(n.parent))
     for n in nodes:
+        if n.weak and id(n) in holds:
+            n.noise = False
         if n.parent is not None and n.parent.noise:
             n.noise = True
+
+
+def _search_in(nodes: list[Node], body: Node) -> Node:
+    """The page's only article or main element with a fourth of its text or more; else the body."""
+    inner, found = set(), []
+    for n in nodes:
+        if id(n.parent) in inner:
+            inner.add(id(n))
+        elif n.tag in ("article", "main") and not n.noise and n.free:
+            inner.add(id(n))
+            found.append(n)
+    return found[0] if len(found) == 1 and 4 * found[0].free >= body.free else body
+
+
+def choose(nodes: list[Node], root: Node) -> None:
+    """Sets `kept` on the nodes whose whole subtrees, less noise, are the main text, and on headings of these;
+    `own` on nodes of the article whose own text, outside their children, belongs to it.
+
+    Every node's density counts its whole subtree, noise included, so that a body full of menus has a low
+    one.  A node's density sum adds its children's, noise left out; a node without blocks inside stands
+    for itself.  The node of the greatest sum is kept, and the least density on its path up to the body
+    is the threshold: wherever all densities from the top down reach it, the greatest sum below is kept too.
+    """
+    _settle_noise(nodes)
+    for n in nodes:
+        n.free = 0 if n.noise else n.chars
     for n in reversed(nodes):
-        if n.noise or n.parent is None:
-            continue
-        p = n.parent
-        p.chars += n.chars
-        p.links += n.links
-        p.tags += n.tags + 1
-        p.link_tags += n.link_tags + (n.tag == "a")
-    body = next((n for n in nodes if n.tag == "body"), root)
-    if not body.chars:
-        body = root
-    named = [n for n in nodes if n.tag in ("article", "main") and not n.noise and n.chars]
-    named = [n for n in named if not any(o is not n and _within(n, o) for o in named)]
-    top = named[0] if len(named) == 1 and 4 * named[0].chars >= body.chars else body
-    whole = top is not body
-    share = top.links / top.chars if top.chars else 0.0
+        if n.parent is not None and n.tag not in RAW and n.tag != "head":
+            p = n.parent
+            p.free += n.free
+            p.chars += n.chars
+            p.links += n.links
+            p.tags += n.tags + 1
+            p.link_tags += n.link_tags + (n.tag == "a")
+    body = next((n for n in nodes if n.tag == "body" and n.chars), root)
+    top = _search_in(nodes, body)
+    share = body.links / body.chars if body.chars else 0.0
+    divided = {id(n.parent) for n in nodes if n.tag in BLOCK}
     for n in nodes:
-        n.density = 0.0 if n.noise else _density(n, share)
-    best = top
+        n.density = density(n, share)
+        n.total = n.density if id(n) not in divided else 0.0
     for n in nodes:
-        n.total = sum(k.density for k in n.kids) or (n.density if not n.kids else 0.0)
+        if not n.noise and n.parent is not None and id(n.parent) in divided:
+            n.parent.total += n.density
+    best: dict[int, Node] = {}  # of each subtree's blocks the one with the greatest sum, of equals the outermost
+    for n in reversed(nodes):
+        if n.noise:
+            continue
+        if n.tag in BLOCK and (id(n) not in best or n.total >= best[id(n)].total):
+            best[id(n)] = n
+        # siblings come last to first here: an earlier one wins among equals
+        if n.parent is not None and id(n) in best and (id(n.parent) not in best or best[id(n)].total >= best[id(n.parent)].total):
+            best[id(n.parent)] = best[id(n)]
+    if id(top) not in best:
+        return
+    least, up = best[id(top)].density, best[id(top)]
+    while up is not None and up is not body.parent:
+        least, up = min(least, up.density), up.parent
+    passed, ask = [], [top]
+    while ask:
+        n = ask.pop()
+        if not n.noise and n.chars and n.density >= least and id(n) in best:
+            best[id(n)].kept = True
+            passed.append(n)
+            ask += n.kids
+    holds = set()
+    for n in reversed(nodes):
+        if n.kept:
+            holds.add(id(n))
+        if id(n) in holds and n.parent is not None:
+            holds.add(id(n.parent))
+    for n in passed:  # a heading goes with the kept text that follows it
+        waiting: list[Node] = []
+        for k in n.kids:
+            if k.tag in HEADINGS and not k.noise and not k.kept:
+                waiting.append(k)
+            elif id(k) in holds:
+                for h in waiting:
+                    h.kept = True
+                waiting = []
+    if top is not body:
+        for n in passed:
+            n.own = True
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main text, joined by empty lines; empty if there are none."""
+    if not page:
+        return ""
+    root, nodes, blocks = parse(page)
+    choose(nodes, root)
+    inside = set()
     for n in nodes:
-        if not n.noise and n.tag in BLOCK and n.total > best.total and _within(n, top):
-            best = n
-    path, chosen, least = best, {id(best)}, best.density
-    while path is not top:
-        path = path.parent
-        least = min(least, path.density)
-    path = best
-    while path is not top:
-        for k in path.parent.kids:
-            if k is not path and not k.noise and k.chars and 2 * k.links <= k.chars and (whole or k.density >= least):
-                chosen.add(id(k))
-        path = path.parent
-    loose = set()
-    path = best
-    while whole and path is not top:  # text that stands straight in an ancestor within the article
-        path = path.parent
-        loose.add(id(path))
-    kept = []
-    for node, text in blocks:
-        up = node
-        while up is not None and not up.noise and id(up) not in chosen:
-            up = up.parent
-        if up is not None and not up.noise or id(node) in loose and not node.noise:
-            kept.append(text)
-    return "\n\n".join(kept)
-
-
-def _within(n: Node | None, top: Node) -> bool:
-    while n is not None:
-        if n is top:
-            return True
-        n = n.parent
-    return False
+        if not n.noise and (n.kept or id(n.parent) in inside):
+            inside.add(id(n))
+    return "\n\n".join(text for node, text in blocks if id(node) in inside or node.own)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -91,12 +91,89 @@ LONG = "Here is a sentence of the article with a good number of words in it, so
         (f"<div class='sidebar'>s</div><div id=main><p>{LONG}</p><form>q<input></form><p>{LONG}</p><script>var a='</p>';</script></div><div class=\"comments\"><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
         (f"<main><!-- <p>no</p> --><p>{LONG}&nbsp;&copy;</p><ul><li>one<li>two</ul><div class=ad>buy</div><p hidden>h</p><div style='display: none'>d</div></main>", f"{LONG} ©\n\none\n\ntwo"),
         (f"<article><p>{LONG}</p><section class='comment-list'><article><p>{LONG}</p></article></section></article>", LONG),
+        # a <br> that comes first in a block is that block's
+        (f"<article><p>{LONG}</p><div class='ad'>buy now</div><p><br>Second paragraph of it.</p></article>", f"{LONG}\n\nSecond paragraph of it."),
+        (f"<article><p>{LONG}</p><div class='ad'><br>buy now</div><p>Second.</p></article>", f"{LONG}\n\nSecond."),
+        # densities decide inside an article too: the body of the text, its headings and text of its own stay, a block of links goes
+        (f"<body><nav><a>menu</a><a>more</a></nav><article>Lead of it.<h1>T</h1><div><p>{LONG}</p><h2>U</h2><p>{LONG}</p></div><div><a>one</a> <a>two</a> <a>three</a> <a>four</a></div></article></body>", f"Lead of it.\n\nT\n\n{LONG}\n\nU\n\n{LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul></div>", f"{LONG}\n\n{LONG}"),
     ],
 )
 def test_pages(page, text):
     assert html.main_text(page) == text
 
 
+def naive(root):
+    """Kept nodes of a settled tree by plain recursion over whole subtrees."""
+    below = lambda n: [n] + [x for k in n.kids for x in below(k)]
+    body = next((n for n in below(root) if n.tag == "body" and n.chars), root)
+    share = body.links / body.chars
+    inner = [n for n in below(root) if n.tag in ("article", "main") and not n.noise and n.free]
+    inner = [n for n in inner if not any(n is not o and n in below(o) for o in inner)]
+    top = inner[0] if len(inner) == 1 and 4 * inner[0].free >= body.free else body
+    score = lambda n: html.density(n, share)
+
+    def total(n):
+        return sum(score(k) for k in n.kids if not k.noise) if any(k.tag in html.BLOCK for k in n.kids) else score(n)
+
+    def best(n):
+        of = [x for x in below(n) if not x.noise and x.tag in html.BLOCK]
+        return max(of, key=total) if of else None  # the first in page order among equals
+
+    target, kept = best(top), []
+    if target is None:
+        return set()
+    least, up = score(target), target
+    while up is not body and up.parent is not None:
+        up = up.parent
+        least = min(least, score(up))
+
+    def mark(n):
+        if not n.noise and n.chars and score(n) >= least and best(n) is not None:
+            kept.append(best(n))
+            for k in n.kids:
+                mark(k)
+
+    mark(top)
+    return {id(x) for n in kept for x in below(n) if not x.noise}
+
+
+def test_density_by_recursion():
+    import random
+
+    rng, some = random.Random(5), 0
+    for _ in range(400):
+
+        def tree(depth):
+            out = ""
+            for _ in range(rng.randint(1, 4)):
+                words = " ".join(["word"] * rng.choice([0, 1, 3, 20, 60]))
+                tag = rng.choice(["div", "div", "section", "p", "a", "b", "nav", "article"])
+                out += f"<{tag}>{words}{tree(depth - 1) if depth and tag not in 'pab' else ''}</{tag}>"
+            return out
+
+        root, nodes, _ = html.parse(f"<body>{tree(3)}</body>")
+        html.choose(nodes, root)
+        chosen = {id(n) for n in nodes if n.kept}
+        inside = set()
+        for n in nodes:
+            if not n.noise and (id(n) in chosen or id(n.parent) in inside):
+                inside.add(id(n))
+        if root.chars:
+            assert inside == naive(root)
+            some += 0 < len(inside) < len(nodes)
+    assert some > 100
+
+
+@pytest.mark.parametrize("part", ["<article>a", "<div><p>a", "<p>a</p>", "<li>a", "<b><p>a</x>", "<section><article><p>a</p></article></section>", "<td><a>b"])
+def test_pages_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html.main_text(part * 50_000)
+    assert time.process_time() - began < 4  # quadratic: minutes
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p><p>bé</p>"), (2, None, None), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html.extract(df).collect())) == [(1, "u", "a\n\nbé", 5), (2, None, "", 0), (2, None, "", 0)]
