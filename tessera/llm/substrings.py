@@ -3,11 +3,12 @@
 Documents are cut where the least 8-word gram of the sliding window changes;
 equal windows have the same least gram, so all places that can share a window
 meet under one anchor and are never compared with the rest of the corpus.
-Anchors seen once are done.  Stretches that occur more than once word for word
-are repeated throughout.  The other stretches of a repeated anchor go, each
-distinct one once, to the FM-index of the anchor's shard: backward search over
-its wavelet matrix gives each stretch's matching statistics, and windows that
-match twice are reported as intervals.
+Anchors seen once are done.  Of every other anchor each distinct stretch goes to
+the FM-index of the anchor's shard, twice if it occurs more than once: backward
+search over its wavelet matrix gives each stretch's matching statistics, and
+windows that match twice are reported as intervals, which hold for all places of
+the stretch.  An anchor with very many distinct stretches is parted: of its
+windows those whose hash occurs twice go to the index one by one.
 """
 
 from __future__ import annotations
@@ -18,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.common import Work, hash_words, mix, slices, texts_of
+from tessera.llm.common import Work, hashes_of, mix, slices_of, texts_of, words_of
+from tessera.llm.exact import with_locators
 
 WINDOW, GRAM = 35, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
 SHARD_WORDS = 200_000
-HOT = 4000  # distinct stretches of one anchor from which they are parted into single windows
+HOT = 4000  # distinct stretches of an anchor beyond which it is parted into single windows
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,42 +80,66 @@ def stretches(h: np.ndarray, ends: np.ndarray):
     return text[first], s[first] - starts[text[first]], count, low[first], whole, again.astype(np.int64)
 
 
-def _hashed(texts: list[bytes]):
-    for i, j in slices(texts):
-        lists = [t.split() for t in texts[i:j]]
-        yield i, j, hash_words([w for ws in lists for w in ws]), np.cumsum([len(ws) for ws in lists])
+def _hashed(texts: pa.Array):
+    """Of slices of the texts: how many come before, word hashes of all end to end, and where each text ends."""
+    at = 0
+    for part in slices_of(texts):
+        lens, ids, words = words_of(part, lower=False)
+        yield at, hashes_of(words)[ids], np.cumsum(lens)
+        at += len(part)
+
+
+STRETCH = "file long, row long, start long, n long, anchor long, whole long, again long"
 
 
 def _find(batches):
     for batch in batches:
-        key = batch.column("key").to_numpy()
-        for i, j, h, ends in _hashed(texts_of(batch)):
+        file, row = (batch.column(c).to_numpy() for c in ("file", "row"))
+        for i, h, ends in _hashed(batch.column("text")):
             text, start, count, anchor, whole, again = stretches(h, ends)
-            cols = (key[i:j][text], start, count, anchor.view(np.int64), whole.view(np.int64), again)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "start", "n", "anchor", "whole", "again"])
+            cols = (file[i + text], row[i + text], start, count, anchor.view(np.int64), whole.view(np.int64), again)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in STRETCH.split(", ")])
 
 
-def _cut_out(batches):
-    """Words (kind 0) or windows (kind 1) of the wanted stretches of each text."""
-    kinds = [("kind", pa.int32()), ("key", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("shard", pa.int64()), ("once", pa.int64()), ("words", pa.binary())]
+def _per_text(batches, schema: str, rows_of, most: int = 20_000):
+    """Rows that rows_of gives for each text's file, row, word hashes and wanted stretches."""
+    kinds = [(c.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]]) for c in schema.split(", ")]
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
     for batch in batches:
-        wanted = batch.column("wanted").to_pylist()
-        texts = texts_of(batch)
-        rows: list[tuple] = []
-        for key, text, want in zip(batch.column("key").to_pylist(), texts, wanted):
-            h = hash_words(text.split())
-            w = window_hashes(h)[1].view(np.int64) if any(x["hot"] for x in want) else None
-            for x in want:
-                a, n = x["start"], x["n"]
-                if x["hot"]:
-                    rows += [(1, key, a + i, 1, int(w[a + i]), x["c"], None) for i in range(n)]
-                else:
-                    rows.append((0, key, a, n, x["shard"], int(x["c"] == 1), h[a : a + n + WINDOW - 1].tobytes()))
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
-                rows = []
+        rows, where = [], list(zip(batch.column("file").to_pylist(), batch.column("row").to_pylist()))
+        for i, h, ends in _hashed(batch.column("text")):
+            for k, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())):
+                rows += rows_of(*where[i + k], h[a:b], batch.column("wanted")[i + k].as_py())
+                if len(rows) > most:
+                    yield out(rows)
+                    rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[k for k, _ in kinds])
+            yield out(rows)
+
+
+WINDOWS = "anchor long, whole long, lead boolean, w long, file long, row long, start long, inner long"
+
+
+def _windows(batches):
+    """All windows of the wanted stretches with their hashes."""
+
+    def rows(file, row, h, wanted):
+        w = window_hashes(h)[1].view(np.int64)
+        return [(x["anchor"], x["whole"], x["lead"], int(w[x["start"] + i]), file, row, x["start"] + i, i) for x in wanted for i in range(x["n"])]
+
+    yield from _per_text(batches, WINDOWS, rows)
+
+
+WORDS = "shard long, anchor long, whole long, lead boolean, hot boolean, words binary"
+
+
+def _cut_out(batches):
+    """The words of the wanted stretches."""
+
+    def rows(file, row, h, wanted):
+        return [(x["shard"], x["anchor"], x["whole"], x["lead"], x["hot"], h[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in wanted]
+
+    yield from _per_text(batches, WORDS, rows)
 
 
 class FMIndex:
@@ -182,17 +207,20 @@ def matching(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int, leas
     return length
 
 
+FOUND = "anchor long, whole long, hot boolean, a long, b long"
+
+
 def _search(table: pa.Table) -> pa.Table:
-    """Indexes one shard's stretches and searches those that occur once, window by window.
+    """Indexes one shard's stretches and searches the leading one of each kind, window by window:
+    (a, b) are the words of a stretch, b excluded, that windows cover which stand in two places.
     All windows are ended at a word of their own stretch, and separators never match."""
     seqs = [np.frombuffer(b, "<u8") for b in table.column("words").to_pylist()]
-    key, start, once = (table.column(c).to_numpy() for c in ("key", "start", "once"))
     lens = np.array([len(s) for s in seqs])
     symbols = np.unique(np.concatenate(seqs), return_inverse=True)[1] + 1
     at = np.cumsum(lens + 1) - lens - 1  # a separator, 0, ends each stretch
     text = np.zeros(int((lens + 1).sum()), np.int64)
     text[np.arange(len(symbols)) + np.repeat(np.arange(len(seqs)), lens)] = symbols
-    ask = np.flatnonzero(once)
+    ask = np.flatnonzero(table.column("lead").to_numpy())
     windows = lens[ask] - WINDOW + 1
     inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     owner = np.repeat(ask, windows)
@@ -200,46 +228,49 @@ def _search(table: pa.Table) -> pa.Table:
     o, i = owner[found], inner[found]
     new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (i[1:] != i[:-1] + 1)])) if len(o) else np.empty(0, np.int64)
     last = np.append(new[1:], len(o)) - 1 if len(o) else new
-    cols = {"key": key[o[new]], "a": start[o[new]] + i[new], "b": start[o[last]] + i[last] + WINDOW} if len(o) else {k: np.empty(0, np.int64) for k in ("key", "a", "b")}
-    return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()})
+    out = table.select(["anchor", "whole", "hot"]).take(pa.array(o[new]))
+    return out.append_column("a", pa.array(i[new], pa.int64())).append_column("b", pa.array(i[last] + WINDOW if len(o) else i, pa.int64()))
 
 
-def keyed(work: Work, df: DataFrame, id_col: str, text_col: str, carry: tuple = ()) -> DataFrame:
-    """doc_id, text and a row number that a second reading gives again: a file scan is numbered
-    by its splits, anything else is written first."""
-    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in carry))
-    try:
-        df.select("_metadata.row_index")
-    except AnalysisException:
-        rows = work.cut(rows, "input")
-    return rows.withColumn("key", F.monotonically_increasing_id())
+def _fetch(docs: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
+    """What `run` takes from the texts that hold the wanted stretches; a text's are gathered with it."""
+    columns = [c for c in wanted.columns if c not in ("file", "row")]
+    lists = wanted.groupBy("file", "row").agg(F.collect_list(F.struct(*columns)).alias("wanted"))
+    return docs.select("file", "row", "text").join(lists, ["file", "row"]).mapInArrow(run, schema)
 
 
 def repeated_spans(work: Work, docs: DataFrame) -> DataFrame:
-    """(key, a, b): words a to b (b excluded) of a document are covered by windows that occur elsewhere.
-    docs: key, text."""
-    seen = docs.select("key", "text").mapInArrow(_find, "key long, start long, n long, anchor long, whole long, again long")
-    seen = work.cut(seen, "seen")
+    """(file, row, a, b): words a to b (b excluded) of a document are covered by windows that occur elsewhere.
+    docs: file, row, text."""
+    seen = work.cut(docs.select("file", "row", "text").mapInArrow(_find, STRETCH), "seen")
     often = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("total"), F.max("again").alias("loops")).where("total > 1 OR loops > 0").select("anchor")
-    again = work.cut(seen.join(often, "anchor", "left_semi"), "again")
+    again = work.cut(seen.drop("again").join(often, "anchor", "left_semi"), "again")
     work.drop("seen")
-    kinds = again.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"), F.min(F.struct("key", "start", "n")).alias("at"))
-    kinds = work.cut(kinds, "kinds")
+    at = F.struct("file", "row", "start", "n")
+    kinds = work.cut(again.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("lo"), F.max(at).alias("hi")), "kinds")
     kinds_of = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = kinds.join(kinds_of, "anchor").where("kinds > 1 OR (again > 0 AND c = 1)")
-    wanted = work.cut(wanted.select("at.*", "anchor", "c", (F.col("kinds") > HOT).alias("hot")), "wanted")
-    words = wanted.where("NOT hot").agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0)).alias("w")).first()["w"]
+    # a stretch that occurs more than once goes to the index from two places: it has to be found there, like any other
+    lead, twin = (F.struct(F.lit(x).alias("lead"), F.col(c).alias("at")) for x, c in ((True, "lo"), (False, "hi")))
+    copies = kinds.join(kinds_of, "anchor").select("anchor", "whole", (F.col("kinds") > HOT).alias("hot"), F.explode(F.when(F.col("c") > 1, F.array(lead, twin)).otherwise(F.array(lead))).alias("x"))
+    copies = work.cut(copies.select("x.at.*", "anchor", "whole", "x.lead", "hot"), "copies")
+    wanted, windows = copies.where("NOT hot").withColumn("deal", F.xxhash64("anchor")), None
+    if copies.where("hot").head(1):
+        windows = work.cut(_fetch(docs, copies.where("hot").drop("hot"), _windows, WINDOWS), "windows")
+        place = F.struct("file", "row", "start")
+        twice = windows.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1")
+        twice = twice.select("anchor", F.col("w").alias("whole"), F.explode(F.array(lead, twin)).alias("x"))
+        wanted = wanted.unionByName(twice.select("x.at.*", F.lit(1).cast("long").alias("n"), "anchor", "whole", "x.lead", F.lit(True).alias("hot"), F.xxhash64("anchor", "whole").alias("deal")))
+    wanted = work.cut(wanted, "wanted")
+    words = wanted.agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0)).alias("w")).first()["w"]
     shards = max(1, -(-words // SHARD_WORDS))
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "c", "hot")).alias("wanted"))
-    cut = docs.select("key", "text").join(lists, "key").mapInArrow(_cut_out, "kind int, key long, start long, n long, shard long, once long, words binary")
-    cut = work.cut(cut, "cut")
-    found = cut.where("kind = 0").groupBy("shard").applyInArrow(_search, "key long, a long, b long")
-    single = cut.where("kind = 1")
-    twice = single.groupBy("shard").agg(F.sum("once").alias("c"), F.min(F.struct("key", "start")).alias("at"))
-    # of a hot anchor's windows the sole one has c = 1; the others are joined back by their hash
-    hot = single.join(twice.where("c > 1").select("shard"), "shard", "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
-    same = again.join(kinds.where("c > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
-    return same.union(found).union(hot)
+    cut = work.cut(_fetch(docs, wanted.withColumn("shard", F.pmod("deal", F.lit(shards))).drop("deal"), _cut_out, WORDS), "cut")
+    found = work.cut(cut.groupBy("shard").applyInArrow(_search, FOUND), "found")
+    inside = found.where("NOT hot").select("anchor", "whole", "a", "b")
+    if windows is not None:
+        told = found.where("hot").select("anchor", F.col("whole").alias("w"))
+        hot = windows.where("lead").join(told, ["anchor", "w"]).select("anchor", "whole", F.col("inner").alias("a"), (F.col("inner") + WINDOW).alias("b"))
+        inside = inside.union(hot)
+    return again.join(inside, ["anchor", "whole"]).select("file", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
 def _keep(text: bytes, spans) -> tuple[int, int, list[bytes]]:
@@ -279,17 +310,19 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     anywhere else, the same text included, is removed.  `kept` is the SHA-256
     of the kept words joined by one space, or with with_text the text itself
     (unchanged if nothing was removed, else those words; null stays null).
-    Columns named in `carry` go along.  Null, empty and short texts lose nothing; repeated rows repeat each other and lose all
-    windows; a null id stays null.  Other columns are not read; an empty table
-    gives no rows.
+    Columns named in `carry` go along.  Null, empty and short texts lose nothing;
+    repeated rows repeat each other and lose all windows; a null id stays null.
+    Rows are told by file and row, so ids needn't be unique.  Other columns are
+    not read; an empty table gives no rows.
     """
     work = Work(spark, "substrings")
-    docs = keyed(work, df, id_col, text_col, carry)
+    rows = with_locators(work, df)
+    docs = rows.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`").alias(f"carry_{c}") for c in carry), F.xxhash64("__file").alias("file"), F.col("__row").alias("row"))
     spans = repeated_spans(work, docs)
-    spans = work.cut(spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
-    work.drop("again")
-    work.drop("cut")
-    joined = docs.join(spans, "key", "left").select("doc_id", *carry, "text", "spans")
+    spans = work.cut(spans.groupBy("file", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    for name in ("again", "kinds", "copies", "wanted", "cut", "found"):
+        work.drop(name)
+    joined = docs.join(spans, ["file", "row"], "left").select("doc_id", *(F.col(f"carry_{c}").alias(c) for c in carry), "text", "spans")
     schema = joined.drop("text", "spans").schema
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept", "string")):
         schema = schema.add(name, kind)

@@ -197,6 +197,22 @@ def test_substrings(spark, docs, empty, hot, monkeypatch):
     assert substrings.dedup_substrings(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4000, 1])
+def test_substrings_all_by_the_index(spark, docs, hot, monkeypatch):
+    """Nothing is removed that the index didn't find, of copies and hot anchors too."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "_search", lambda table: table.select(["anchor", "whole", "hot"]).slice(0, 0).append_column("a", table.column("anchor").slice(0, 0)).append_column("b", table.column("anchor").slice(0, 0)))
+    assert all(r["n_removed"] == 0 for r in substrings.dedup_substrings(spark, docs).collect())
+
+
+def test_substrings_repeats(spark):
+    """Rows with the same id keep their own texts."""
+    passage = phrase(40)
+    rows = [(1, "a b " + passage), (1, passage + " c"), (1, "x y"), (None, "z " + passage), (2, None), (2, "")]
+    got = substrings.dedup_substrings(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("file", F.lit("clash")), with_text=True, carry=("file",))
+    assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, [(1, "clash", 42, 40, "a b"), (1, "clash", 41, 40, "c"), (1, "clash", 2, 0, "x y"), (None, "clash", 41, 40, "z"), (2, "clash", 0, 0, None), (2, "clash", 0, 0, "")]))
+
+
 def test_fm_index():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 4, 300), 0)
