@@ -25,7 +25,8 @@ from tessera.llm.exact import with_locators
 
 WINDOW, GRAM = 35, 8
 SPAN = WINDOW - GRAM + 1  # grams in a window
-SHARD_WORDS = 200_000
+SHARD_WORDS = 500_000
+DEPTH = 64  # words of a pattern at the most: a stretch has hardly more
 HOT = 4000  # distinct stretches of an anchor beyond which it is parted into single windows
 
 
@@ -130,14 +131,14 @@ def _windows(batches):
     yield from _per_text(batches, WINDOWS, rows)
 
 
-WORDS = "shard long, anchor long, whole long, lead boolean, hot boolean, words binary"
+WORDS = "shard long, anchor long, whole long, lead boolean, twice boolean, hot boolean, words binary"
 
 
 def _cut_out(batches):
     """The words of the wanted stretches."""
 
     def rows(file, row, h, wanted):
-        return [(x["shard"], x["anchor"], x["whole"], x["lead"], x["hot"], h[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in wanted]
+        return [(x["shard"], x["anchor"], x["whole"], x["lead"], x["twice"], x["hot"], h[x["start"] : x["start"] + x["n"] + WINDOW - 1].tobytes()) for x in wanted]
 
     yield from _per_text(batches, WORDS, rows)
 
@@ -163,7 +164,7 @@ class FMIndex:
         self.n, self.bits = n, max(1, int(text.max(initial=0)).bit_length())
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=1 << self.bits))])
         seq = text[order - 1]
-        self.levels = []
+        self.levels: list[tuple] = []
         for b in reversed(range(self.bits)):
             bit = (seq >> b) & 1
             packed = np.packbits(bit.astype(np.uint8), bitorder="little")
@@ -171,6 +172,8 @@ class FMIndex:
             counts = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)])
             self.levels.append((packed, counts, n - int(bit.sum())))
             seq = np.concatenate([seq[bit == 0], seq[bit == 1]])
+        symbols = np.arange(1 << self.bits)
+        self.base = self.before[symbols] - self.rank(symbols, np.zeros_like(symbols))
 
     def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
         packed, counts, _ = self.levels[level]
@@ -188,32 +191,60 @@ class FMIndex:
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix intervals after putting a symbol before each pattern."""
-        zero = self.rank(symbol, np.zeros_like(lo))
-        return self.before[symbol] + self.rank(symbol, lo) - zero, self.before[symbol] + self.rank(symbol, hi) - zero
+        both = self.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        base = self.base[symbol]
+        return base + both[: len(lo)], base + both[len(lo) :]
 
 
-def matching(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int, least_places: int = 2) -> np.ndarray:
-    """Matching statistics: the length, up to `most`, of the longest pattern that ends at each
-    position of `ends` and stands in `least_places` places of the indexed text."""
-    length = np.zeros(len(ends), np.int64)
+def matching(index: FMIndex, text: np.ndarray, ends: np.ndarray, most, least_places: int = 2) -> np.ndarray:
+    """Matching statistics: the length, up to `most` (one for all or one each), of the longest pattern that
+    ends at each position of `ends` and stands in `least_places` places of the indexed text."""
+    length, most = np.zeros(len(ends), np.int64), np.broadcast_to(most, len(ends))
     alive, lo, hi = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.full(len(ends), index.n, np.int64)
-    for i in range(most):
+    for i in range(int(most.max(initial=0))):
         lo, hi = index.step(text[ends[alive] - i], lo, hi)
         ok = hi - lo >= least_places
+        length[alive[ok]] += 1
+        ok &= most[alive] > i + 1
         alive, lo, hi = alive[ok], lo[ok], hi[ok]
         if not len(alive):
             break
-        length[alive] += 1
     return length
 
 
+def repeated_windows(index: FMIndex, text: np.ndarray, at: np.ndarray, windows: np.ndarray, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first, last): runs of windows that stand in two places, of stretches that begin at `at`
+    and have so many windows. `likely` stretches are first tried as far as the index's depth goes.
+
+    Windows are decided from the left, all stretches at once.  Where a window's match ends after L
+    words, no window that holds these words and the one before them can match: the next one starts
+    behind that word.  After a match several windows are tried as one pattern, more each time.
+    """
+    who, s, runs = np.arange(len(at)), np.zeros(len(at), np.int64), []
+    more = np.where(likely, DEPTH, 0)  # windows to try beyond the next
+    while len(who):
+        g = np.minimum(np.minimum(more, windows[who] - 1 - s), DEPTH - WINDOW)
+        length = matching(index, text, at[who] + s + g + WINDOW - 1, g + WINDOW)
+        full = length == g + WINDOW
+        runs.append((who[full], s[full], s[full] + g[full]))
+        s = np.where(full, s + g + 1, np.where(g == 0, s + WINDOW - length, s))
+        more = np.where(full, 2 * g + 2, 0)
+        left = s < windows[who]
+        who, s, more = who[left], s[left], more[left]
+    who, first, last = (np.concatenate(c) for c in zip(*runs)) if runs else (np.empty(0, np.int64),) * 3
+    order = np.lexsort((first, who))
+    who, first, last = who[order], first[order], last[order]
+    new = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (first[1:] != last[:-1] + 1)])) if len(who) else np.empty(0, np.int64)
+    return who[new], first[new], last[np.append(new[1:], len(who)) - 1] if len(who) else last
+
+
 FOUND = "anchor long, whole long, hot boolean, a long, b long"
 
 
 def _search(table: pa.Table) -> pa.Table:
-    """Indexes one shard's stretches and searches the leading one of each kind, window by window:
-    (a, b) are the words of a stretch, b excluded, that windows cover which stand in two places.
-    All windows are ended at a word of their own stretch, and separators never match."""
+    """Indexes one shard's stretches and searches the leading one of each kind: (a, b) are the words of
+    a stretch, b excluded, that windows cover which stand in two places.  All windows lie within
+    their own stretch, and separators never match."""
     seqs = [np.frombuffer(b, "<u8") for b in table.column("words").to_pylist()]
     lens = np.array([len(s) for s in seqs])
     symbols = np.unique(np.concatenate(seqs), return_inverse=True)[1] + 1
@@ -221,15 +252,9 @@ def _search(table: pa.Table) -> pa.Table:
     text = np.zeros(int((lens + 1).sum()), np.int64)
     text[np.arange(len(symbols)) + np.repeat(np.arange(len(seqs)), lens)] = symbols
     ask = np.flatnonzero(table.column("lead").to_numpy())
-    windows = lens[ask] - WINDOW + 1
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    owner = np.repeat(ask, windows)
-    found = matching(FMIndex(text, WINDOW + 1), text, at[owner] + inner + WINDOW - 1, WINDOW) >= WINDOW if len(owner) else np.zeros(0, bool)
-    o, i = owner[found], inner[found]
-    new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (i[1:] != i[:-1] + 1)])) if len(o) else np.empty(0, np.int64)
-    last = np.append(new[1:], len(o)) - 1 if len(o) else new
-    out = table.select(["anchor", "whole", "hot"]).take(pa.array(o[new]))
-    return out.append_column("a", pa.array(i[new], pa.int64())).append_column("b", pa.array(i[last] + WINDOW if len(o) else i, pa.int64()))
+    o, first, last = repeated_windows(FMIndex(text, DEPTH), text, at[ask], lens[ask] - WINDOW + 1, table.column("twice").to_numpy()[ask])
+    out = table.select(["anchor", "whole", "hot"]).take(pa.array(ask[o]))
+    return out.append_column("a", pa.array(first, pa.int64())).append_column("b", pa.array(last + WINDOW, pa.int64()))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, run, schema: str) -> DataFrame:
@@ -251,15 +276,15 @@ def repeated_spans(work: Work, docs: DataFrame) -> DataFrame:
     kinds_of = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     # a stretch that occurs more than once goes to the index from two places: it has to be found there, like any other
     lead, twin = (F.struct(F.lit(x).alias("lead"), F.col(c).alias("at")) for x, c in ((True, "lo"), (False, "hi")))
-    copies = kinds.join(kinds_of, "anchor").select("anchor", "whole", (F.col("kinds") > HOT).alias("hot"), F.explode(F.when(F.col("c") > 1, F.array(lead, twin)).otherwise(F.array(lead))).alias("x"))
-    copies = work.cut(copies.select("x.at.*", "anchor", "whole", "x.lead", "hot"), "copies")
+    copies = kinds.join(kinds_of, "anchor").select("anchor", "whole", (F.col("kinds") > HOT).alias("hot"), (F.col("c") > 1).alias("twice"), F.explode(F.when(F.col("c") > 1, F.array(lead, twin)).otherwise(F.array(lead))).alias("x"))
+    copies = work.cut(copies.select("x.at.*", "anchor", "whole", "x.lead", "twice", "hot"), "copies")
     wanted, windows = copies.where("NOT hot").withColumn("deal", F.xxhash64("anchor")), None
     if copies.where("hot").head(1):
-        windows = work.cut(_fetch(docs, copies.where("hot").drop("hot"), _windows, WINDOWS), "windows")
+        windows = work.cut(_fetch(docs, copies.where("hot").drop("hot", "twice"), _windows, WINDOWS), "windows")
         place = F.struct("file", "row", "start")
         twice = windows.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("c > 1")
         twice = twice.select("anchor", F.col("w").alias("whole"), F.explode(F.array(lead, twin)).alias("x"))
-        wanted = wanted.unionByName(twice.select("x.at.*", F.lit(1).cast("long").alias("n"), "anchor", "whole", "x.lead", F.lit(True).alias("hot"), F.xxhash64("anchor", "whole").alias("deal")))
+        wanted = wanted.unionByName(twice.select("x.at.*", F.lit(1).cast("long").alias("n"), "anchor", "whole", "x.lead", F.lit(True).alias("twice"), F.lit(True).alias("hot"), F.xxhash64("anchor", "whole").alias("deal")))
     wanted = work.cut(wanted, "wanted")
     words = wanted.agg(F.coalesce(F.sum(F.col("n") + WINDOW), F.lit(0)).alias("w")).first()["w"]
     shards = max(1, -(-words // SHARD_WORDS))

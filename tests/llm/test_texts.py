@@ -224,6 +224,25 @@ def test_fm_index():
         assert g == best
 
 
+def test_repeated_windows(monkeypatch):
+    """Runs of windows that stand in two places, by brute force, for any guess of what is likely."""
+    monkeypatch.setattr(substrings, "WINDOW", 4)
+    monkeypatch.setattr(substrings, "DEPTH", 8)
+    rng = np.random.default_rng(8)
+    lens = rng.integers(4, 30, 60)
+    parts = [rng.integers(1, 4, n) for n in lens]
+    for i in range(0, 60, 3):
+        parts[i] = np.where(rng.random(lens[i]) < 0.1, 5, parts[i - 1][np.arange(lens[i]) % lens[i - 1]])
+    text = np.concatenate([np.append(p, 0) for p in parts])
+    at = np.cumsum(lens + 1) - lens - 1
+    seen = Counter(tuple(p[j : j + 4]) for p in parts for j in range(len(p) - 3))
+    want = {(i, j) for i, p in enumerate(parts) for j in range(len(p) - 3) if seen[tuple(p[j : j + 4])] > 1}
+    for likely in (np.ones(60, bool), np.zeros(60, bool), rng.random(60) < 0.5):
+        got = list(zip(*substrings.repeated_windows(substrings.FMIndex(text, 8), text, at, lens - 3, likely)))
+        assert {(i, j) for i, a, b in got for j in range(a, b + 1)} == want
+        assert all(x[0] != y[0] or x[2] + 1 < y[1] for x, y in zip(got, got[1:]))
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
