@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import minus_log10
+from tessera.operators.presence import bits_of
 
 
 def kmer_score(n, n1, y1, s, least):
@@ -20,41 +21,62 @@ def kmer_score(n, n1, y1, s, least):
 def kmer_scores(rows: DataFrame, pheno: DataFrame, columns: list[str], least: int) -> DataFrame:
     """(kmer, n1, phenotype, y1, score) of the k-mers with `least` samples or more on either side.
 
-    rows: (kmer, accession).  pheno: (accession, one column per phenotype), as
-    many rows as samples, which is small and broadcast.  One shuffle serves all
-    phenotypes: their sums are columns of one aggregate over the k-mer.
+    rows: (kmer, accession).  pheno: (accession, one column per phenotype).  One
+    shuffle by k-mer serves all phenotypes: their sums are columns of one aggregate.
     """
     totals = pheno.agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(c).cast("double")).alias(f"s_{c}") for c in columns)).first()
     n = totals["n"]
-    sums = rows.join(F.broadcast(pheno.select("accession", *columns)), "accession").groupBy("kmer")
+    sums = rows.join(pheno.select("accession", *columns), "accession").groupBy("kmer")
     agg = sums.agg(F.count(F.lit(1)).alias("n1"), *(F.sum(F.col(c).cast("double")).alias(c) for c in columns)).where(F.col("n1").between(least, n - least))
     long = agg.unpivot(["kmer", "n1"], columns, "phenotype", "y1")
     s = F.coalesce(*[F.when(F.col("phenotype") == c, F.lit(float(totals[f"s_{c}"] or 0))) for c in columns])
     return long.withColumn("score", kmer_score(F.lit(float(n)), F.col("n1").cast("double"), F.col("y1"), s, least))
 
 
+class Best:
+    """The best rows of one phenotype that a task has seen: greatest score, then least k-mer."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.held, self.least = most, [], 0, -np.inf
+
+    def add(self, kmers: np.ndarray, n1: np.ndarray, score: np.ndarray) -> None:
+        ok = score >= self.least
+        self.parts.append((kmers[ok], n1[ok], score[ok]))
+        self.held += int(ok.sum())
+        if self.held > 2 * self.most + 10_000:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, ...]:
+        kmers, n1, score = (np.concatenate(c) for c in zip(*self.parts))
+        at = np.lexsort((kmers, -score))[: self.most]
+        self.parts, self.held = [(kmers[at], n1[at], score[at])], len(at)
+        if len(at) == self.most:
+            self.least = score[at[-1]]
+        return self.parts[0]
+
+
 def packed_scores(packed: DataFrame, y: np.ndarray, names: list[str], least: int, best: int) -> DataFrame:
     """(phenotype, kmer, n1, score): the same for many phenotypes at once, on packed presence.
 
     packed: (kmer, pa).  y: samples x phenotypes.  Each task multiplies unpacked
-    presence with y and passes on its own best rows of each phenotype only.
+    presence with y and passes on the `best` rows of each phenotype of all that it reads.
     """
     n, total = y.shape[0], y.sum(axis=0)
 
     def run(batches):
+        held = [Best(best) for _ in names]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            pa_ = batch.column("pa")
-            words = pa_.flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            x = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(np.float64)
+            x = bits_of(batch.column("pa"), n).astype(np.float64)
             kmers, n1 = batch.column("kmer").to_numpy(), x.sum(axis=1)
             ok = (n1 >= least) & (n - n1 >= least) & (n1 > 0) & (n1 < n)
             kmers, n1, x = kmers[ok], n1[ok], x[ok]
             score = (n * (x @ y) - n1[:, None] * total) ** 2 / (n * n1 - n1**2)[:, None]
-            for p, name in enumerate(names):
-                at = np.lexsort((kmers, -score[:, p]))[:best]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(kmers[at]), pa.array(n1[at].astype(np.int64)), pa.array(score[at, p])], names=["phenotype", "kmer", "n1", "score"])
+            for p, of in enumerate(held):
+                of.add(kmers, n1.astype(np.int64), score[:, p])
+        for name, of in zip(names, held):
+            if of.held:
+                kmers, n1, score = of.cut()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(kmers), pa.string()), pa.array(kmers), pa.array(n1), pa.array(score)], names=["phenotype", "kmer", "n1", "score"])
 
     return packed.select("kmer", "pa").mapInArrow(run, "phenotype string, kmer long, n1 long, score double")
 
@@ -74,7 +96,7 @@ def top(scores: DataFrame, best: int, first: str | None = None, first_best: int
 
 def tested(rows: DataFrame, selected: DataFrame, n: int, least: int) -> DataFrame:
     """(tested): k-mers with enough samples on either side."""
-    counts = rows.join(F.broadcast(selected.select("accession").distinct()), "accession", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n1"))
+    counts = rows.join(selected.select("accession").distinct(), "accession", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n1"))
     return counts.where(F.col("n1").between(least, n - least)).agg(F.count(F.lit(1)).alias("tested"))
 
 
@@ -89,10 +111,19 @@ def snp_stats(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("snp_idx").agg(F.count("dosage").alias("n"), F.coalesce(F.sum(g), F.lit(0.0)).alias("g"), F.coalesce(F.sum(g * g), F.lit(0.0)).alias("g2"))
 
 
+def snp_quality(genotypes: DataFrame, n: int, maf: float = 0.0, most_missing: float = 0.5) -> DataFrame:
+    """Rows of the SNPs whose rarer allele has a frequency of `maf` or more among the calls, and
+    whose share of missing calls is `most_missing` or less. genotypes: (snp_idx, accession, dosage) of n samples."""
+    calls, frequency = F.count("dosage"), F.avg("dosage")
+    kept = genotypes.groupBy("snp_idx").agg(calls.alias("calls"), frequency.alias("af"))
+    kept = kept.where((F.least(F.col("af"), 1 - F.col("af")) >= maf) & (n - F.col("calls") <= most_missing * n) & (F.col("calls") > 0))
+    return genotypes.join(kept.select("snp_idx"), "snp_idx", "left_semi")
+
+
 def snp_scores(genotypes: DataFrame, pheno: DataFrame, columns: list[str], mac: float) -> DataFrame:
     """(snp_idx, n, g, phenotype, score); 0 where dosage is less than mac on either side or doesn't vary."""
     g = F.col("dosage")
-    joined = genotypes.where("dosage IS NOT NULL").join(F.broadcast(pheno.select("accession", *columns)), "accession")
+    joined = genotypes.where("dosage IS NOT NULL").join(pheno.select("accession", *columns), "accession")
     sums = [f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("y", F.sum), ("gy", lambda v: F.sum(g * v)))]
     agg = joined.groupBy("snp_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(g).alias("g"), F.sum(g * g).alias("g2"), *sums)
     parts = F.array(*[F.struct(F.lit(c).alias("phenotype"), F.col(f"y_{c}").alias("y"), F.col(f"gy_{c}").alias("gy")) for c in columns])

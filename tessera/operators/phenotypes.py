@@ -55,4 +55,4 @@ def to_long(wide: DataFrame, accession: str = "accession_id") -> DataFrame:
 def centre(df: DataFrame, value: str = "value", by: str = "phenotype") -> DataFrame:
     """Values less their phenotype's mean. The means are aggregated and joined, so no phenotype is held by one task."""
     means = df.groupBy(by).agg(F.avg(value).alias("__mean"))
-    return df.join(F.broadcast(means), by).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")
+    return df.join(means, by).withColumn(value, F.col(value) - F.col("__mean")).drop("__mean")

@@ -2,15 +2,35 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import bit_at, bit_text, canonical, pack_kmer, popcount, sample_mask
+from tessera.functions.sequences import bit_at, bit_text, canonical, pack_kmer, popcount
+from tessera.operators.cohort import passing
+
+
+def numbered(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """df with `place`, 0 and up in order of a key without repeats, a null first.
+
+    Rows are dealt to ranges whose bounds are the keys of least hash, numbered
+    within each range, and moved by the sizes of the ranges before; only bounds
+    and sizes, `ranges` of each, reach the driver.
+    """
+    kind = df.schema[key].dataType
+    bounds = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(ranges - 1).collect())
+    at = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ranged = df.withColumn("__range", at)
+    sizes = {r["__range"]: r["count"] for r in ranged.groupBy("__range").count().collect()}
+    before = [sum(n for k, n in sizes.items() if k < r) for r in range(len(bounds) + 1)]
+    inner = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranged.withColumn("place", inner + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("__range") + 1)).drop("__range")
 
 
 def sample_index(accessions: DataFrame) -> DataFrame:
-    """(accession, col_idx): samples numbered from 0 in order of their names. As many rows as samples, which is small."""
-    return accessions.select("accession").distinct().withColumn("col_idx", F.row_number().over(Window.orderBy("accession")) - 1)
+    """(accession, col_idx): samples numbered from 0 in order of their names, a null first."""
+    return numbered(accessions.select("accession").distinct(), "accession").select("accession", F.col("place").cast("int").alias("col_idx"))
 
 
 def presence_rows(cohort: DataFrame, samples: DataFrame) -> DataFrame:
@@ -18,32 +38,71 @@ def presence_rows(cohort: DataFrame, samples: DataFrame) -> DataFrame:
     return cohort.select("kmer").join(samples.select("kmer", "accession").distinct(), "kmer", "left")
 
 
+def _bit():
+    return F.expr("shiftleft(1L, cast(col_idx % 64 as int))")
+
+
+def _word():
+    return F.expr("col_idx div 64").cast("int").alias("word")
+
+
 def presence_words(rows: DataFrame, index: DataFrame) -> DataFrame:
     """(kmer, word, bits): the non-zero 64-bit words of each k-mer; sample i is bit i % 64 of word i // 64."""
-    placed = rows.join(F.broadcast(index), "accession")
-    return placed.groupBy("kmer", F.expr("col_idx div 64").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(col_idx % 64 as int))")).alias("bits"))
+    return rows.join(index, "accession").groupBy("kmer", _word()).agg(F.bit_or(_bit()).alias("bits"))
+
+
+def _array(n: int, m: str = "m"):
+    """The words of n samples from a map of those that aren't zero."""
+    return F.transform(F.sequence(F.lit(0), F.lit(max(-(-n // 64), 1) - 1)), lambda w: F.coalesce(F.element_at(m, w), F.lit(0).cast("long")))
 
 
 def pack_presence(rows: DataFrame, index: DataFrame, n: int) -> DataFrame:
-    """(kmer, pa, n1): presence words of every k-mer of `rows` as an array, and the number of samples."""
-    words = presence_words(rows.where("accession IS NOT NULL"), index)
-    held = words.groupBy("kmer").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
-    held = rows.select("kmer").distinct().join(held, "kmer", "left")
-    pa = F.transform(F.sequence(F.lit(0), F.lit(max(-(-n // 64), 1) - 1)), lambda w: F.coalesce(F.element_at("m", w), F.lit(0).cast("long")))
-    return held.select("kmer", pa.alias("pa")).withColumn("n1", popcount(F.col("pa")).cast("long"))
+    """(kmer, pa, n1): presence words of every k-mer of `rows` as an array, and the number of samples.
+    K-mers whose samples are none of the index's have words of zeros."""
+    placed = rows.join(index, "accession", "left").groupBy("kmer", _word()).agg(F.bit_or(_bit()).alias("bits"))
+    held = placed.groupBy("kmer").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("word", "bits")), lambda x: x["word"].isNotNull())).alias("m"))
+    return held.select("kmer", _array(n).alias("pa")).withColumn("n1", popcount(F.col("pa")).cast("long"))
+
+
+def cohort_table(flags: DataFrame, index: DataFrame, n: int, mac: int, min_strand_percent: float) -> DataFrame:
+    """(kmer, pa, n1) of the k-mers of the cohort list: packed presence and the counts that the list's filters
+    ask come from the same aggregate, so samples are counted once. flags: (accession, kmer, flag), one row each."""
+    of = lambda f: F.count_if(F.col("flag") == f)
+    counts = {"canonical": of(1), "non_canonical": of(2), "both": of(3), "count_all": F.count(F.lit(1))}
+    words = flags.join(index, "accession").groupBy("kmer", _word()).agg(F.bit_or(_bit()).alias("bits"), *(c.alias(k) for k, c in counts.items()))
+    rows = words.groupBy("kmer").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), *(F.sum(k).alias(k) for k in counts))
+    return passing(rows, mac, min_strand_percent).select("kmer", _array(n).alias("pa"), F.col("count_all").alias("n1"))
 
 
 def unpack_presence(packed: DataFrame, index: DataFrame) -> DataFrame:
     """(kmer, accession) rows of a packed table."""
     cells = F.explode(F.filter(F.sequence(F.lit(0), F.size("pa") * 64 - 1), lambda i: bit_at(F.col("pa"), i) == 1)).alias("col_idx")
-    return packed.select("kmer", cells).join(F.broadcast(index), "col_idx").select("kmer", "accession")
+    return packed.select("kmer", cells).join(index, "col_idx").select("kmer", "accession")
+
+
+def bits_of(column, n: int) -> np.ndarray:
+    """Rows x n of 0 and 1 of an Arrow array of presence words."""
+    words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint8)
+    return np.unpackbits(words.reshape(len(column), -1), axis=1, bitorder="little")[:, :n] if len(column) else np.empty((0, n), np.uint8)
+
+
+def words_of(bits: np.ndarray) -> pa.ListArray:
+    """The same back to words, a list of longs for each row."""
+    packed = np.ascontiguousarray(np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1, bitorder="little")).view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1, dtype=np.int32) * packed.shape[1]), pa.array(packed.ravel()))
 
 
 def select_samples(packed: DataFrame, positions: list[int], n: int) -> DataFrame:
     """The packed table for some of its n samples, in the order given, with n1 counted on these."""
-    bits = [f"shiftleft(cast(getbit(pa[{p // 64}], {p % 64}) as bigint), {i % 64})" for i, p in enumerate(positions)]
-    words = [" | ".join(bits[i : i + 64]) for i in range(0, len(bits), 64)]
-    return packed.select("kmer", F.expr(f"array({', '.join(words)})").alias("pa"), popcount(F.col("pa"), sample_mask(positions, n)).cast("long").alias("n1"))
+    at = np.array(positions, np.int64)
+
+    def run(batches):
+        for batch in batches:
+            bits = bits_of(batch.column("pa"), n)[:, at]
+            n1 = bits.sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("kmer"), words_of(bits), pa.array(n1)], names=["kmer", "pa", "n1"])
+
+    return packed.select("kmer", "pa").mapInArrow(run, f"kmer {packed.schema['kmer'].dataType.simpleString()}, pa array<long>, n1 long")
 
 
 def both_sides(df: DataFrame, n: int, least: int, n1: str = "n1") -> DataFrame:
@@ -53,7 +112,7 @@ def both_sides(df: DataFrame, n: int, least: int, n1: str = "n1") -> DataFrame:
 
 def allele_counts(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """(kmer, n1) over the selected samples."""
-    return rows.join(F.broadcast(selected.select("accession").distinct()), "accession", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n1"))
+    return rows.join(selected.select("accession").distinct(), "accession", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("n1"))
 
 
 def kmer_list(text_kmers: DataFrame, column: str = "kmer") -> DataFrame:
@@ -82,7 +141,7 @@ def presence_text(packed: DataFrame, n: int) -> DataFrame:
 
 def pattern_count(packed: DataFrame) -> DataFrame:
     """(patterns): exact number of different presence patterns."""
-    return packed.agg(F.count_distinct("pa").alias("patterns"))
+    return packed.select("pa").distinct().agg(F.count(F.lit(1)).alias("patterns"))
 
 
 def pattern_rows(packed: DataFrame) -> DataFrame:

@@ -50,6 +50,13 @@ def test_counts_and_flags(spark, k):
     sp = kmers.count_spellings(spark.createDataFrame(seqs, "who long, seq string"), "who", "seq", k)
     got = {(r["accession"], r["s"], r["flag"]): r["n"] for r in sp.withColumn("s", S.unpack_kmer(F.col("kmer"), k)).collect()}
     assert got == brute(seqs, k)
+    stranded = kmers.count_stranded(spark.createDataFrame(seqs, "who long, seq string"), "who", "seq", k)
+    both = {}
+    for (who, word, flag), n in brute(seqs, k).items():
+        f, m = both.get((who, word), (0, 0))
+        both[who, word] = (f | flag, m + n)
+    assert {(r["accession"], r["s"]): (r["flag"], r["n"]) for r in stranded.withColumn("s", S.unpack_kmer(F.col("kmer"), k)).collect()} == both
+    assert tuple(kmers.strand_totals(stranded, 2).first()) == (len(both), sum(m >= 2 for _, m in both.values()))
     counted = kmers.count_kmers(sp, 2)
     flags = {(r[0], r[1]): r[2] for r in kmers.strand_flags(counted, sp).collect()}
     assert set(flags.values()) <= {1, 2, 3} and len(flags) == counted.count()
@@ -60,6 +67,23 @@ def test_counts_and_flags(spark, k):
         kmers.strand_flags(sp, sp.where("false")).collect()
 
 
+def test_long_sequences(monkeypatch):
+    """Pieces of a sequence give the counts of the whole."""
+    rng = random.Random(4)
+    seq = "".join(rng.choice("ACGTN") if i % 50 == 0 else rng.choice("AC") for i in range(5000)).encode()
+    whole = kmers.sequence_counts(seq, 11)
+    monkeypatch.setattr(kmers, "PIECE", 37)
+    for a, b in zip(whole, kmers.sequence_counts(seq, 11)):
+        assert (a == b).all()
+
+
+def test_sample_index(spark):
+    for ids in ([f"n{i:03}" for i in range(300)], [None, "b", "a", "b"], []):
+        df = spark.createDataFrame([(i,) for i in ids], "accession string").repartition(5)
+        want = sorted(set(ids), key=lambda x: (x is not None, x or ""))
+        assert {r["accession"]: r["col_idx"] for r in presence.sample_index(df).collect()} == {x: i for i, x in enumerate(want)}
+
+
 def test_cohort(spark):
     # k-mer 1: five samples, flags 1 1 1 1 3; 2: below the count; 3: balanced exactly
     rows = [(1, a, f) for a, f in enumerate([1, 1, 1, 1, 3])] + [(2, 0, 1)] + [(3, a, f) for a, f in enumerate([1, 2, 2, 2, 2])]
@@ -73,7 +97,7 @@ def test_cohort(spark):
 
 
 @pytest.mark.parametrize("n", [3, 64, 65, 128, 129])
-def test_presence(spark, n):
+def test_presence(spark, n, monkeypatch):
     rng = np.random.default_rng(n)
     x = rng.random((30, n)) < 0.4
     x[:, 0] = True
@@ -96,12 +120,18 @@ def test_presence(spark, n):
     kept = x[[r["kmer"] for r in sub.collect()]]
     full = kinship.full_matrix(kinship.kmer_kinship(packed, n, 0.2), n)
     assert np.allclose(full, [[(kept[:, i] == kept[:, j]).mean() for j in range(n)] for i in range(n)])
-    dense, kinship.MOST_DENSE = kinship.MOST_DENSE, 0
-    try:
-        by_pairs = {(r["i"], r["j"]): r["c"] for r in kinship.co_occurrence(sub, n).collect()}
-    finally:
-        kinship.MOST_DENSE = dense
-    assert all(by_pairs.get((i, j), 0) == (kept[:, i] & kept[:, j]).sum() for i in range(n) for j in range(i))
+    whole = sorted(map(tuple, kinship.co_occurrence(sub, n).collect()))
+    assert whole == sorted((i, j, int((kept[:, i] & kept[:, j]).sum()), int(kept[:, i].sum()), int(kept[:, j].sum()), len(kept)) for i in range(n) for j in range(i))
+    near = sorted(map(tuple, kinship.relatedness(packed, n).collect()))
+    p = x[(x.sum(axis=1) < n)].mean(axis=1, keepdims=True)
+    g = (x[x.sum(axis=1) < n] - p) / np.sqrt(n * p * (1 - p))
+    assert np.allclose([r for *_, r in near], [(g[:, i] * g[:, j]).mean() for i, j, _ in near]) and len(near) == n * (n + 1) // 2
+    assert math.isclose(kinship.gamma(packed, np.ones((n, n)) + np.eye(n)), np.einsum("vi,ij,vj->", g, np.ones((n, n)) + np.eye(n), g) / len(g), rel_tol=1e-9, abs_tol=1e-9)
+    monkeypatch.setattr(kinship, "MOST_DENSE", 0)
+    monkeypatch.setattr(kinship, "BLOCK", 64)
+    assert sorted(map(tuple, kinship.co_occurrence(sub, n).collect())) == whole
+    again = sorted(map(tuple, kinship.relatedness(packed, n).collect()))
+    assert [r[:2] for r in again] == [r[:2] for r in near] and np.allclose([r[2] for r in again], [r[2] for r in near])
 
 
 def score(x, y, least):
@@ -130,7 +160,14 @@ def test_scores(spark):
     assert associate.tested(rows, pheno, n, 5).first()[0] == len(want) // 3
 
 
-def test_snps(spark):
+def dense_of(cells, n):
+    out = np.eye(n)
+    for r in cells.collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["k"]
+    return out
+
+
+def test_snps(spark, monkeypatch):
     rng = np.random.default_rng(6)
     n = 30
     g = rng.choice([0, 0.5, 1, np.nan], size=(8, n))
@@ -148,6 +185,24 @@ def test_snps(spark):
         assert math.isclose(got[s], want, rel_tol=1e-9, abs_tol=1e-12)
     assert math.isclose(score(g[2].astype(int), y, 5), n * got[2], rel_tol=1e-9)  # the two scales
     k = kinship.full_matrix(kinship.snp_kinship(geno.withColumnRenamed("accession", "i"), n), n)
+    monkeypatch.setattr(kinship, "MOST_DENSE", 0)
+    monkeypatch.setattr(kinship, "BLOCK", 8)
+    assert np.allclose(dense_of(kinship.snp_kinship(geno.withColumnRenamed("accession", "i"), n), n), k)
+    for method in ("dominant", "recessive"):
+        for use in ("all", "complete.obs"):
+            total, m = np.zeros((n, n)), 0
+            for s in range(1, 8):
+                mean = np.nanmean(g[s])
+                x = np.where(g[s] == 0.5, float(mean > 0.5 if method == "dominant" else mean < 0.5), g[s])
+                if use == "all" or not np.isnan(x).any():
+                    x = np.where(np.isnan(x), np.nanmean(x), x)
+                    total, m = total + np.outer(x, x) + np.outer(1 - x, 1 - x), m + 1
+            np.fill_diagonal(total, m)
+            assert 0 < m <= 7 and np.allclose(dense_of(kinship.snp_kinship(geno.withColumnRenamed("accession", "i"), n, method, use), n), total / m)
+    with pytest.raises(ValueError):
+        kinship.snp_kinship(geno.withColumnRenamed("accession", "i"), n, "other")
+    kept = {r["snp_idx"] for r in associate.snp_quality(geno, n, 0.2, 0.25).collect()}
+    assert kept == {s for s in range(1, 8) if np.isnan(g[s]).mean() <= 0.25 and min(np.nanmean(g[s]), 1 - np.nanmean(g[s])) >= 0.2}
     total = np.zeros((n, n))
     for s in range(1, 8):
         for het in (0.0, 1.0):
@@ -195,6 +250,11 @@ def test_mixed_model():
     # the likelihood at the optimum is no less than on a fine grid
     lam, u = mixedmodel.residual_spectrum(k, np.ones((n, 1)))
     assert fit.likelihood >= max(mixedmodel._reml(t, lam, (u.T @ y) ** 2)[0] for t in np.linspace(-10, 10, 2001)) - 1e-9
+    flat = mixedmodel.ml_no_x(y, k)
+    own, basis = np.linalg.eigh(k)
+    assert flat.likelihood >= max(mixedmodel._ml(t, own, (basis.T @ y) ** 2, own)[0] for t in np.linspace(-10, 10, 2001)) - 1e-9
+    cov = flat.vg * k + flat.ve * np.eye(n)  # it is the normal density at these components
+    assert math.isclose(flat.likelihood, -0.5 * (n * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1] + y @ np.linalg.solve(cov, y)), rel_tol=1e-9)
     moved = mixedmodel.transform_and_permute(y, k, 30, seed=1)
     again = mixedmodel.transform_and_permute(y, k, 30, seed=1)
     assert (moved["permuted"] == again["permuted"]).all() and moved["permuted"].shape == (n, 31)
