@@ -6,14 +6,19 @@ paths are opened with pyarrow's file systems (local paths and URIs).
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+
+from tessera.functions.sequences import unpack_kmer, variant_name
+from tessera.operators.presence import bits_of, numbered, pattern_rows, words_of
 
 # Fixed values of the file formats.
 TABLE_MAGIC = 0xDDCCBBAA
@@ -37,6 +42,13 @@ def read_bytes(path: str, start: int = 0, length: int | None = None) -> bytes:
         return f.read_at(f.size() - start if length is None else length, start)
 
 
+def files_in(path: str) -> list[str]:
+    """Paths of the data files that a folder holds, in order."""
+    fs, inner = _open(path)
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(inner)) if f.is_file and f.size and f.base_name[:1] not in "._")
+    return [path.rstrip("/") + "/" + f.rpartition("/")[2] for f in found]
+
+
 def size_of(path: str) -> int:
     fs, inner = _open(path)
     return fs.get_file_info(inner).size or 0
@@ -52,8 +64,47 @@ class Rows(InputPartition):
         self.first, self.count = first, count
 
 
-def _ranges(total: int) -> list[Rows]:
-    return [Rows(i, min(ROWS_A_TASK, total - i)) for i in range(0, total, ROWS_A_TASK)] or [Rows(0, 0)]
+def _ranges(total: int, first: int = 0) -> list[Rows]:
+    """Row ranges of the rows from `first` up to `total`."""
+    return [Rows(i, min(ROWS_A_TASK, total - i)) for i in range(first, total, ROWS_A_TASK)] or [Rows(0, 0)]
+
+
+class KmerRange:
+    """Which k-mers a reader of sorted rows has to give: options least and most (both included), and
+    filters on the column that Spark hands over. Rows outside are never read: where they end is searched in the file.
+
+    Filters stay with Spark too, which applies them again.
+    """
+
+    def __init__(self, options):
+        self.least, self.most = int(options.get("least", 0)), int(options.get("most", KMER_MASK))
+
+    def take(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("kmer",):
+                if isinstance(f, EqualTo):
+                    self.least, self.most = max(self.least, f.value), min(self.most, f.value)
+                elif isinstance(f, In) and f.value:
+                    self.least, self.most = max(self.least, min(f.value)), min(self.most, max(f.value))
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.least = max(self.least, f.value + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.most = min(self.most, f.value - isinstance(f, LessThan))
+            yield f
+
+    def rows(self, path: str, start: int, width: int, total: int) -> tuple[int, int]:
+        """First row and end of the rows within, of a file whose rows of `width` bytes begin with their k-mer."""
+
+        def first_from(kmer: int) -> int:
+            lo, hi = 0, total
+            while lo < hi:
+                mid = (lo + hi) // 2
+                at = int.from_bytes(read_bytes(path, start + mid * width, 8), "little") & KMER_MASK
+                lo, hi = (mid + 1, hi) if at < kmer else (lo, mid)
+            return lo
+
+        lo = first_from(self.least) if self.least > 0 else 0
+        return lo, max(lo, first_from(self.most + 1) if self.most < KMER_MASK else total)
 
 
 def table_header(path: str, n: int | None = None, k: int | None = None) -> tuple[int, int, int]:
@@ -71,7 +122,12 @@ def table_header(path: str, n: int | None = None, k: int | None = None) -> tuple
 
 
 class KmersTable(DataSource):
-    """(kmer, pa): options path, and n and k to check."""
+    """(kmer, pa): options path, and n and k to check.
+
+    least and most give a range of k-mers.  columns, a JSON list of sample numbers,
+    squeezes rows to these samples in the order given; min_count keeps rows with
+    so many of them on either side.  All of it is done where rows are read.
+    """
 
     @classmethod
     def name(cls):
@@ -88,19 +144,34 @@ class KmersTableReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
         self.n, self.k, self.rows = table_header(self.path, int(options["n"]) if "n" in options else None, int(options["k"]) if "k" in options else None)
+        self.range = KmerRange(options)
+        self.columns = np.array(json.loads(options["columns"]), np.int64) if "columns" in options else None
+        self.least = int(options.get("min_count", 0))
+
+    def pushFilters(self, filters):
+        return self.range.take(filters)
 
     def partitions(self):
-        return _ranges(self.rows)
+        first, end = self.range.rows(self.path, 16, 8 * (1 + -(-self.n // 64)), self.rows)
+        return _ranges(end, first)
 
     def read(self, part):
         words = -(-self.n // 64)
         data = read_bytes(self.path, 16 + part.first * 8 * (1 + words), part.count * 8 * (1 + words))
         m = np.frombuffer(data, "<i8").reshape(-1, 1 + words)
-        yield pa.RecordBatch.from_arrays([pa.array(m[:, 0].copy()), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * words), pa.array(m[:, 1:].ravel()))], names=["kmer", "pa"])
+        kmer, pa_ = pa.array(m[:, 0].copy()), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * words), pa.array(m[:, 1:].ravel()))
+        if self.columns is not None or self.least:
+            bits = bits_of(pa_, self.n)
+            bits = bits if self.columns is None else bits[:, self.columns]
+            n1 = bits.sum(axis=1, dtype=np.int64)
+            ok = (n1 >= self.least) & (bits.shape[1] - n1 >= self.least)
+            kmer, pa_ = kmer.filter(pa.array(ok)), words_of(bits[ok])
+        yield pa.RecordBatch.from_arrays([kmer, pa_], names=["kmer", "pa"])
 
 
 class SortedKmers(DataSource):
-    """(kmer, flag): the flag is in the two top bits; an empty file is an error. With scores, pairs of k-mer and double."""
+    """(kmer, flag): the flag is in the two top bits; an empty file is an error. least and most give a range of k-mers.
+    With scores, pairs of k-mer and double, which come in any order of k-mers."""
 
     @classmethod
     def name(cls):
@@ -120,9 +191,16 @@ class SortedKmersReader(DataSourceReader):
         if not size or size % (16 if self.scores else 8):
             raise ValueError(f"{self.path} is empty or ends within a row")
         self.rows = size // (16 if self.scores else 8)
+        self.range = KmerRange(options)
+
+    def pushFilters(self, filters):
+        return filters if self.scores else self.range.take(filters)
 
     def partitions(self):
-        return _ranges(self.rows)
+        if self.scores:
+            return _ranges(self.rows)
+        first, end = self.range.rows(self.path, 0, 8, self.rows)
+        return _ranges(end, first)
 
     def read(self, part):
         if self.scores:
@@ -189,11 +267,14 @@ class RawRows(DataSource):
 
 
 class Part(WriterCommitMessage):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, name: str):
+        self.number, self.name = number, name
 
 
 class RawRowsWriter(DataSourceArrowWriter):
+    """Every attempt of a task writes a part of its own; the commit joins the parts of the attempts that
+    Spark reports, one a task, so that attempts that were repeated or lost do no harm."""
+
     def __init__(self, options):
         self.path, self.header = options["path"], bytes.fromhex(options.get("header", ""))
 
@@ -201,19 +282,21 @@ class RawRowsWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId()
-        fs, inner = _open(f"{self.path}.parts/{number:08d}")
+        name = f"{number:08d}-{uuid.uuid4().hex}"
+        fs, inner = _open(f"{self.path}.parts/{name}")
         fs.create_dir(inner.rpartition("/")[0])
         with fs.open_output_stream(inner) as f:
             for batch in batches:
                 f.write(b"".join(batch.column(0).to_pylist()))
-        return Part(number)
+        return Part(number, name)
 
     def commit(self, messages):
         fs, inner = _open(self.path)
+        fs.create_dir(inner.rpartition("/")[0])
         with fs.open_output_stream(inner) as out:
             out.write(self.header)
             for m in sorted((m for m in messages if m), key=lambda m: m.number):
-                with fs.open_input_stream(f"{inner}.parts/{m.number:08d}") as f:
+                with fs.open_input_stream(f"{inner}.parts/{m.name}") as f:
                     while block := f.read(1 << 24):
                         out.write(block)
         self.abort(messages)
@@ -225,6 +308,8 @@ class RawRowsWriter(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the sources known; filters are handed to Python sources only where the session says so."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (KmersTable, SortedKmers, PlinkBed, RawRows):
         spark.dataSource.register(source)
 
@@ -282,24 +367,89 @@ def write_scores(df: DataFrame, path: str) -> None:
     _save(_binary(df.select("kmer", "score").orderBy("score", "kmer"), pack), path)
 
 
+def _bed_rows(codes: np.ndarray) -> list[bytes]:
+    """Rows of two-bit codes, four samples a byte from the low bits."""
+    x = np.pad(codes.astype(np.uint8), ((0, 0), (0, -codes.shape[1] % 4))).reshape(len(codes), -(-codes.shape[1] // 4), 4)
+    return [r.tobytes() for r in x[:, :, 0] | x[:, :, 1] << 2 | x[:, :, 2] << 4 | x[:, :, 3] << 6]
+
+
+def _bim(ordered: DataFrame, label: str) -> DataFrame:
+    return ordered.select(F.concat(F.lit("0\t"), F.col(label).cast("string"), F.lit("\t0\t0\t0\t1\n")).cast("binary").alias("row"))
+
+
+def write_fam(base: str, names: list[str], phenotype: dict[str, float] | None = None) -> None:
+    """A line for each sample in the order given; samples without a value get -9."""
+    write_lines(base + ".fam", [f"{a} {a} 0 0 0 {(phenotype or {}).get(a, -9):g}" for a in names])
+
+
 def write_bed(packed: DataFrame, base: str, names: list[str], label: str = "name", phenotype: dict[str, float] | None = None) -> None:
     """bed, bim and fam of presence rows (kmer, pa, and `label`, the variant's name): present is code 3, absent 0."""
     n = len(names)
-
-    def pack(batch):
-        words = batch.column("pa").flatten().to_numpy().view(np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 8), np.uint8)
-        x = np.unpackbits(words, axis=1, bitorder="little")[:, :n] * np.uint8(3)
-        x = np.concatenate([x, np.zeros((len(x), -n % 4), np.uint8)], axis=1).reshape(len(x), -1, 4)
-        return [r.tobytes() for r in (x[:, :, 0] | x[:, :, 1] << 2 | x[:, :, 2] << 4 | x[:, :, 3] << 6).astype(np.uint8)]
-
-    ordered = packed.orderBy("kmer")
-    _save(_binary(ordered.select("pa"), pack), base + ".bed", BED_MAGIC)
-    line = F.concat(F.lit("0\t"), F.col(label).cast("string"), F.lit("\t0\t0\t0\t1\n"))
-    _save(ordered.select(line.cast("binary").alias("row")), base + ".bim")
-    write_lines(base + ".fam", [f"{a} {a} 0 0 0 {(phenotype or {}).get(a, -9):g}" for a in names])
+    ordered = packed.orderBy("kmer", label)
+    _save(_binary(ordered.select("pa"), lambda batch: _bed_rows(bits_of(batch.column("pa"), n) * np.uint8(3))), base + ".bed", BED_MAGIC)
+    _save(_bim(ordered, label), base + ".bim")
+    write_fam(base, names, phenotype)
+
+
+def write_bed_top(packed: DataFrame, best: DataFrame, base: str, names: list[str], k: int, phenotypes: dict[str, dict[str, float]]) -> list[str]:
+    """A set for each phenotype with its best k-mers, named <kmer>_<rank>: best (phenotype, kmer, rank), packed
+    (kmer, pa). phenotypes: for each one the samples' values. Returns the base names."""
+    held = best.select("phenotype", "kmer", variant_name(unpack_kmer(F.col("kmer"), k), F.col("rank")).alias("name")).join(packed.select("kmer", "pa"), "kmer").persist()
+    out = []
+    for phenotype, values in phenotypes.items():
+        out.append(f"{base}.{phenotype}")
+        write_bed(held.where(F.col("phenotype") == phenotype), out[-1], names, phenotype=values)
+    held.unpersist()
+    return out
+
+
+def write_bed_batches(packed: DataFrame, base: str, names: list[str], k: int, rows: int, phenotype: dict[str, float] | None = None, unique_patterns: bool = False) -> list[str]:
+    """Sets base.0, base.1 and so on with at most `rows` k-mers each, in order of k-mers, each with its fam;
+    with unique_patterns one k-mer of each presence pattern. Returns the base names."""
+    packed = pattern_rows(packed) if unique_patterns else packed
+    named = packed.select("kmer", "pa", unpack_kmer(F.col("kmer"), k).alias("name"))
+    placed = numbered(named, "kmer").withColumn("batch", F.expr(f"place div {rows}")).persist()
+    out = [f"{base}.{r['batch']}" for r in placed.select("batch").distinct().orderBy("batch").collect()]  # as many as files
+    for i, path in enumerate(out):
+        write_bed(placed.where(F.col("batch") == i), path, names, phenotype=phenotype)
+    placed.unpersist()
+    return out
+
+
+def write_genotypes(genotypes: DataFrame, base: str, names: list[str], phenotype: dict[str, float] | None = None) -> None:
+    """bed, bim and fam of rows (snp_idx, name, codes), codes as PLINK has them: 0, 1 missing, 2 heterozygous, 3."""
+    n, ordered = len(names), genotypes.orderBy("snp_idx")
+    pack = lambda batch: _bed_rows(np.asarray(batch.column("codes").flatten()).reshape(-1, n)) if batch.num_rows else []
+    _save(_binary(ordered.select("codes"), pack), base + ".bed", BED_MAGIC)
+    _save(_bim(ordered, "name"), base + ".bim")
+    write_fam(base, names, phenotype)
+
+
+def write_snp_subsets(spark: SparkSession, base: str, wanted: DataFrame, out: str) -> list[str]:
+    """A bed and bim for each list of SNPs, out.<list>: wanted (list, snp_idx). The genotypes of base are read once,
+    and codes stay as they are; the fam is copied to each. Returns the base names."""
+    register(spark)
+    names = fam_names(base + ".fam")
+    chosen = spark.read.format("plink_bed").option("path", base).load().join(wanted.select("list", F.col("snp_idx").cast("long").alias("snp_idx")).distinct(), "snp_idx").persist()
+    paths = []
+    for r in wanted.select("list").distinct().orderBy("list").collect():  # as many as files
+        paths.append(f"{out}.{r['list']}")
+        write_genotypes(chosen.where(F.col("list") == r["list"]), paths[-1], names)
+        write_lines(paths[-1] + ".fam", read_bytes(base + ".fam").decode().splitlines())
+    chosen.unpersist()
+    return paths
+
+
+def read_raw_kmers(spark: SparkSession, path: str, with_scores: bool = False) -> DataFrame:
+    """(kmer) of a file of k-mers, with or without scores, each once; no file, or an empty one, gives no rows."""
+    register(spark)
+    if not exists(path) or not size_of(path):
+        return spark.createDataFrame([], "kmer long")
+    return spark.read.format("sorted_kmers").option("path", path).option("scores", str(with_scores).lower()).load().select("kmer").distinct()
 
 
 def write_lines(path: str, lines: list[str]) -> None:
     fs, inner = _open(path)
+    fs.create_dir(inner.rpartition("/")[0])
     with fs.open_output_stream(inner) as f:
         f.write("".join(f"{x}\n" for x in lines).encode())

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.sequences import unpack_kmer
 from tessera.operators.presence import kmer_list
 from tessera.sources.binary import read_bytes, write_lines
 
@@ -25,17 +26,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("path"), parts[1].alias("accession"))
 
 
-def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
-    """Wide table: accession_id as text, each phenotype as a double. Tab-separated with a header;
-    a line with more or fewer fields is an error, a missing final newline isn't."""
+def _tsv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns of a tab-separated table with a header as text; a line with more or fewer fields is an error."""
     header = spark.read.text(path).first()
     if header is None:
         raise ValueError(f"{path} is empty")
     names = header[0].split("\t")
-    lines = spark.read.text(path).where(F.trim("value") != "").where(F.col("value") != header[0])
-    cells = F.split("value", "\t")
-    right = F.when(F.size(cells) != len(names), F.raise_error(F.concat(F.lit("ragged line: "), "value")).cast("boolean")).otherwise(True)
-    return lines.where(right).select(cells[0].alias(names[0]), *(cells[i].cast("float").cast("double").alias(c) for i, c in enumerate(names) if i))
+    # a line is one field here: the reader leaves out the header line, and only that one
+    lines = spark.read.schema("line string").csv(path, sep="\0", header=True, enforceSchema=True, quote="", escape="")
+    cells = F.split("line", "\t")
+    right = F.when(F.size(cells) != len(names), F.raise_error(F.concat(F.lit("ragged line: "), "line")).cast("boolean")).otherwise(True)
+    return lines.where(right).select(*(cells[i].alias(c) for i, c in enumerate(names)))
+
+
+def read_phenotypes(spark: SparkSession, path: str) -> DataFrame:
+    """Wide table: accession_id as text, each phenotype as a double. Tab-separated with a header; a line with more
+    or fewer fields, or a value that is no number, is an error, a missing final newline isn't."""
+    df = _tsv(spark, path)
+    return df.select(df.columns[0], *(F.col(f"`{c}`").cast("float").cast("double").alias(c) for c in df.columns[1:]))
 
 
 def write_phenotypes(df: DataFrame, path: str) -> None:
@@ -63,10 +71,20 @@ def write_matrix(m: np.ndarray, path: str) -> None:
 
 
 def read_tests(spark: SparkSession, path: str, column: int = 9) -> DataFrame:
-    """(variant, p) of a tab-separated result table with a header; `column` counts from 1."""
-    cells = F.split("value", "\t")
-    p = cells[column - 1].try_cast("double")
-    return spark.read.text(path).select(cells[1].alias("variant"), p.alias("p")).where("p IS NOT NULL")
+    """(variant, p) of a tab-separated result table with a header; `column` counts from 1. A p that is no number is an error."""
+    df = _tsv(spark, path)
+    return df.select(F.col(f"`{df.columns[1]}`").alias("variant"), F.col(f"`{df.columns[column - 1]}`").cast("double").alias("p"))
+
+
+def write_no_pass(not_passed: DataFrame, path: str, k: int) -> None:
+    """Tab-separated kmer (as text), count_all, canonical, non_canonical, both, with a header: a folder of parts."""
+    columns = ["count_all", "canonical", "non_canonical", "both"]
+    not_passed.select(unpack_kmer(F.col("kmer"), k).alias("kmer"), *columns).write.mode("overwrite").csv(path, sep="\t", header=True)
+
+
+def read_no_pass(spark: SparkSession, path: str) -> DataFrame:
+    """The same back, k-mers as text."""
+    return spark.read.schema("kmer string, count_all long, canonical long, non_canonical long, both long").csv(path, sep="\t", header=True, mode="FAILFAST")
 
 
 def write_presence_matrix(matrix: DataFrame, path: str) -> None:
