@@ -1,36 +1,60 @@
-"""Queries over the driver's tables, each with SQL that gives the same rows.
+"""Queries over the driver's tables, each with SQL that gives the same rows where SQL can.
 
 Samples are documents, their letters folded to A, C, G, T; phenotypes come from
 labels; genotypes from embeddings; a relational presence table from orders.
+Queries named *_file write the formats of the study to the shared folder and
+give what is read back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import sequences as S
 from tessera.operators import associate, cohort, kinship, kmers, phenotypes, presence
 from tessera.plans import gwas
+from tessera.sources import binary, fastq, text
+from tessera.sources.shared import Scratch
 
 K = 10
 MAC, STRAND = 5, 0.2
-COMMON = 50  # of the SQL alone: its presence rows still leave out k-mers of fewer documents, see README
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: one file may be one split, and what follows is expensive."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def sequences(spark, sf, name="documents", key="doc_id", text="text", only: DataFrame | None = None) -> DataFrame:
+    """(key, seq), of the samples in `only` (accession) if it is given."""
+    rows = table(spark, sf, name).select(key, text)
+    if only is not None:
+        rows = rows.join(only.select(F.col("accession").alias(key)), key, "left_semi")
+    return spread(rows).select(key, S.fold_to_dna(F.coalesce(text, F.lit(""))).alias("seq"))
+
+
 def spellings(spark, sf, name="documents", key="doc_id", text="text") -> DataFrame:
-    # the scan is dealt out before the expensive part: one file may be one split
-    docs = table(spark, sf, name).select(key, S.fold_to_dna(F.coalesce(text, F.lit(""))).alias("seq"))
-    return kmers.count_spellings(docs.repartition(spark.sparkContext.defaultParallelism, key), key, "seq", K)
+    """(accession, kmer, flag, n) of each row: what reads it adds these up by k-mer."""
+    return kmers.count_spellings(sequences(spark, sf, name, key, text), key, "seq", K, rows_are_samples=True)
 
 
-def samples(spark, sf) -> DataFrame:
-    """(kmer, accession) of all documents."""
-    return spellings(spark, sf).select("kmer", "accession").distinct()
+def stranded(spark, sf) -> DataFrame:
+    """(accession, kmer, flag, n) of all documents, both counting passes in one aggregate."""
+    return kmers.count_stranded(sequences(spark, sf), "doc_id", "seq", K)
+
+
+def samples(spark, sf, only: DataFrame | None = None) -> DataFrame:
+    """(kmer, accession) of all documents, or of the samples in `only`."""
+    return kmers.count_stranded(sequences(spark, sf, only=only), "doc_id", "seq", K, rows_are_samples=True).select("kmer", "accession").distinct()
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -43,7 +67,7 @@ def labels(spark, sf) -> DataFrame:
 
 def sample_flags(spark, sf) -> DataFrame:
     """(accession, kmer, flag) of all documents."""
-    return spellings(spark, sf).groupBy("accession", "kmer").agg(F.bit_or("flag").alias("flag"))
+    return stranded(spark, sf).select("accession", "kmer", "flag")
 
 
 def sample_counts(spark, sf) -> DataFrame:
@@ -59,8 +83,7 @@ def kmer_count_histogram(spark, sf):
 
 
 def _flags(spark, sf):
-    sp = spellings(spark, sf)
-    return kmers.strand_flags(kmers.count_kmers(sp, 2), sp)
+    return kmers.two_pass(sequences(spark, sf), "doc_id", "seq", K, 2)
 
 
 def strand_flags(spark, sf):
@@ -72,8 +95,7 @@ def flag_distribution(spark, sf):
 
 
 def strand_match(spark, sf):
-    sp = spellings(spark, sf)
-    return kmers.strand_match(kmers.count_kmers(sp, 2), sp)
+    return kmers.strand_totals(stranded(spark, sf), 2)
 
 
 def cohort_kmers(spark, sf):
@@ -104,25 +126,25 @@ def hist_both(spark, sf):
     return cohort.strand_histogram(sample_counts(spark, sf), "both")
 
 
-def cohort_rows(spark, sf) -> DataFrame:
-    """(kmer, accession) of all k-mers of the cohort list."""
-    flags = sample_flags(spark, sf)
-    return presence.presence_rows(cohort.passing(cohort.sample_counts(flags), MAC, STRAND), flags)
+def _index(spark, sf):
+    return presence.sample_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "accession"))
 
 
 def _packed(spark, sf):
-    index = presence.sample_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "accession"))
+    """The presence table of the cohort list, the samples' numbers, and how many there are."""
+    index = _index(spark, sf)
     n = index.count()
-    return presence.pack_presence(cohort_rows(spark, sf), index, n), index, n
+    return presence.cohort_table(sample_flags(spark, sf), index, n, MAC, STRAND), index, n
 
 
 def presence_long(spark, sf):
-    return as_text(cohort_rows(spark, sf))
+    flags = sample_flags(spark, sf)
+    return as_text(presence.presence_rows(cohort.passing(cohort.sample_counts(flags), MAC, STRAND), flags))
 
 
 def presence_packed(spark, sf):
-    index = presence.sample_index(table(spark, sf, "documents").withColumnRenamed("doc_id", "accession"))
-    return as_text(presence.presence_words(cohort_rows(spark, sf), index))
+    words = _packed(spark, sf)[0].select("kmer", F.posexplode("pa").alias("word", "bits"))
+    return as_text(words.where("bits <> 0"))
 
 
 def presence_text(spark, sf):
@@ -148,16 +170,144 @@ def unique_pattern_rows(spark, sf):
     return as_text(presence.pattern_rows(_packed(spark, sf)[0]).select("kmer", "n1", "n_kmers"))
 
 
+def _chosen(spark, sf, index) -> list[int]:
+    """Numbers of the labelled documents: as many as samples at the most."""
+    return [r["col_idx"] for r in index.join(labels(spark, sf), "accession", "left_semi").orderBy("col_idx").collect()]
+
+
 def mac_filter(spark, sf):
     """Squeezed to the labelled documents, then filtered on both sides."""
     packed, index, n = _packed(spark, sf)
-    chosen = [r["col_idx"] for r in index.join(labels(spark, sf), "accession", "left_semi").orderBy("col_idx").collect()]  # as many as samples
+    chosen = _chosen(spark, sf, index)
     return as_text(presence.both_sides(presence.select_samples(packed, chosen, n), len(chosen), S.minimum_count(len(chosen), 0.1, MAC)).select("kmer", "n1"))
 
 
+def _wanted(spark, sf) -> DataFrame:
+    """(kmer, length) of the benchmark's k-mers, a list of k-mers as text."""
+    wanted = spellings(spark, sf, "benchmark", "item_id").select("kmer").distinct()
+    return presence.kmer_list(wanted.select(S.unpack_kmer(F.col("kmer"), K).alias("kmer")))
+
+
 def lookup_kmers(spark, sf):
-    wanted = spellings(spark, sf, "benchmark", "item_id").select(S.unpack_kmer(F.col("kmer"), K).alias("kmer"))
-    return as_text(presence.lookup(cohort_rows(spark, sf), presence.kmer_list(wanted)))
+    """Rows of the table, which holds the cohort list, with the benchmark's k-mers."""
+    packed, index, _ = _packed(spark, sf)
+    return as_text(presence.unpack_presence(presence.lookup(packed, _wanted(spark, sf)), index))
+
+
+def lookup_counts(spark, sf):
+    """Counts of the benchmark's k-mers in every document, whether or not they are in the cohort list."""
+    return as_text(presence.lookup(stranded(spark, sf), _wanted(spark, sf)).select("kmer", "accession", "n"))
+
+
+def _table_file(spark, sf) -> tuple[str, DataFrame]:
+    packed, index, _ = _packed(spark, sf)
+    names = [str(r["accession"]) for r in index.orderBy("col_idx").collect()]  # as many as samples
+    base = Scratch(spark, "table").path("t")
+    binary.write_kmers_table(packed, base, names, K)
+    binary.register(spark)
+    return base, index
+
+
+def table_file(spark, sf):
+    """The cohort's table written, and its rows in a range of k-mers read back: a slice of the file."""
+    base, _ = _table_file(spark, sf)
+    rows = spark.read.format("kmers_table").option("path", base + ".table").option("k", K).load()
+    names = text.names_frame(spark, base + ".names")
+    rows = rows.where(F.col("kmer").between(4 ** (K - 1), 2 * 4 ** (K - 1) - 1))
+    return as_text(presence.unpack_presence(rows, names).select("kmer", F.col("accession").cast("long").alias("accession")))
+
+
+def table_file_mac(spark, sf):
+    """The same table squeezed to the labelled documents and filtered on both sides by its reader."""
+    base, index = _table_file(spark, sf)
+    chosen = _chosen(spark, sf, index)
+    least = S.minimum_count(len(chosen), 0.1, MAC)
+    rows = spark.read.format("kmers_table").option("path", base + ".table").option("columns", json.dumps(chosen)).option("min_count", least).load()
+    return as_text(rows.select("kmer", S.popcount(F.col("pa")).cast("long").alias("n1")))
+
+
+def sorted_file(spark, sf):
+    """Sorted k-mers with their strands over all documents written, and those up to a k-mer read back."""
+    path = Scratch(spark, "sorted").path("k")
+    binary.write_sorted_kmers(sample_flags(spark, sf).groupBy("kmer").agg(F.bit_or("flag").alias("flag")), path)
+    binary.register(spark)
+    return as_text(spark.read.format("sorted_kmers").option("path", path).load().where(F.col("kmer") < 4 ** (K - 1)))
+
+
+def scores_file(spark, sf):
+    """K-mers and scores of the best of either phenotype written, and the k-mers read back."""
+    path = Scratch(spark, "scores").path("s")
+    binary.write_scores(_best(spark, sf), path)
+    return as_text(binary.read_raw_kmers(spark, path, with_scores=True))
+
+
+def _cells(beds: DataFrame, *keep: str) -> DataFrame:
+    return beds.select(*keep, F.posexplode("codes").alias("sample", "code"))
+
+
+def _beds(spark, path: str) -> DataFrame:
+    return spark.read.format("plink_bed").option("path", path).load()
+
+
+def bed_file(spark, sf):
+    """bed, bim and fam of the cohort's table written, and the samples that hold each k-mer read back."""
+    packed, index, _ = _packed(spark, sf)
+    names = [str(r["accession"]) for r in index.orderBy("col_idx").collect()]
+    base = Scratch(spark, "bed").path("b")
+    binary.write_bed(packed.select("kmer", "pa", S.unpack_kmer(F.col("kmer"), K).alias("name")), base, names)
+    cells = _cells(_beds(spark, base), "name").where("code = 3")
+    held = spark.createDataFrame(list(enumerate(binary.fam_names(base + ".fam"))), "sample int, accession string")
+    return cells.join(held, "sample").select(F.col("name").alias("kmer"), F.col("accession").cast("long").alias("accession"))
+
+
+def bed_top_file(spark, sf):
+    """A set of each phenotype's best k-mers, named by k-mer and rank, written and read back: how many samples hold each."""
+    packed, index, _ = _labelled_packed(spark, sf)
+    names = [str(r["accession"]) for r in index.orderBy("col_idx").collect()]
+    best = _best(spark, sf).select("phenotype", "kmer", "rank")
+    paths = binary.write_bed_top(packed, best, Scratch(spark, "top").path("t"), names, K, {"quality": {}, "toxic": {}})
+    cells = [_cells(_beds(spark, p), F.lit(p.rpartition(".")[2]).alias("phenotype"), "name") for p in paths]
+    return cells[0].union(cells[1]).groupBy("phenotype", "name").agg(F.count_if(F.col("code") == 3).alias("n1"))
+
+
+def bed_batches_file(spark, sf):
+    """The cohort's table in sets of at most 10,000 k-mers, and what each holds."""
+    packed, index, _ = _packed(spark, sf)
+    names = [str(r["accession"]) for r in index.orderBy("col_idx").collect()]
+    paths = binary.write_bed_batches(packed, Scratch(spark, "batches").path("b"), names, K, 10_000)
+    none = spark.createDataFrame([], "batch int, name string")
+    rows = [_beds(spark, p).select(F.lit(i).alias("batch"), "name") for i, p in enumerate(paths)]
+    return reduce(DataFrame.union, rows, none).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"), F.max("name").alias("last"))
+
+
+def fastq_file(spark, sf):
+    """The benchmark's texts written as FASTQ, read back, and counted in two passes: k-mers seen twice, with their strands."""
+    path = Scratch(spark, "fastq").path("f")
+    seqs = sequences(spark, sf, "benchmark", "item_id").where("length(seq) > 0")
+    seqs.select(F.concat_ws("\n", F.concat(F.lit("@"), "item_id"), "seq", F.lit("+"), F.repeat(F.lit("@"), F.length("seq")))).write.text(path)
+    reads = fastq.read_fastq(spark, [(f, "all") for f in binary.files_in(path)])
+    return as_text(kmers.two_pass(reads, "accession", "seq", K, 2))
+
+
+def phenotypes_file(spark, sf):
+    """Phenotypes written tab-separated and read back."""
+    path = Scratch(spark, "phenotypes").path("p")
+    text.write_phenotypes(table(spark, sf, "labels").select(F.col("doc_id").alias("accession_id"), "quality", "toxic"), path)
+    return text.read_phenotypes(spark, path)
+
+
+def no_pass_file(spark, sf):
+    """The list of k-mers that fail the strand filter written tab-separated and read back."""
+    path = Scratch(spark, "no_pass").path("n")
+    text.write_no_pass(cohort.not_passing(sample_counts(spark, sf), MAC, STRAND), path, K)
+    return text.read_no_pass(spark, path)
+
+
+def kmer_list_file(spark, sf):
+    """The benchmark's k-mers written as text and read back as a list."""
+    path = Scratch(spark, "list").path("k")
+    _wanted(spark, sf).select(S.unpack_kmer(F.col("kmer"), K)).write.text(path)
+    return as_text(text.read_kmer_list(spark, path).select("kmer"))
 
 
 def kmer_roundtrip(spark, sf):
@@ -197,10 +347,14 @@ def _labelled(spark, sf):
     return pheno, pheno.count()
 
 
-def assoc_kmers_top(spark, sf, best=20, first=None, first_best=None):
+def _best(spark, sf, best=20, first=None, first_best=None):
     pheno, n = _labelled(spark, sf)
-    scores = associate.kmer_scores(samples(spark, sf), pheno, ["quality", "toxic"], S.minimum_count(n, 0.05, MAC))
-    return as_text(associate.top(scores, best, first, first_best).select("phenotype", "kmer", "n1", F.col("y1").cast("long").alias("y1"), "score", "rank"))
+    scores = associate.kmer_scores(samples(spark, sf, pheno), pheno, ["quality", "toxic"], S.minimum_count(n, 0.05, MAC))
+    return associate.top(scores, best, first, first_best)
+
+
+def assoc_kmers_top(spark, sf, best=20, first=None, first_best=None):
+    return as_text(_best(spark, sf, best, first, first_best).select("phenotype", "kmer", "n1", F.col("y1").cast("long").alias("y1"), "score", "rank"))
 
 
 def assoc_kmers_first_best(spark, sf):
@@ -209,7 +363,7 @@ def assoc_kmers_first_best(spark, sf):
 
 def tested_kmers(spark, sf):
     pheno, n = _labelled(spark, sf)
-    return associate.tested(samples(spark, sf), pheno, n, S.minimum_count(n, 0.05, MAC))
+    return associate.tested(samples(spark, sf, pheno), pheno, n, S.minimum_count(n, 0.05, MAC))
 
 
 def assoc_relational(spark, sf):
@@ -238,16 +392,53 @@ def assoc_snps_top(spark, sf):
     return associate.top(associate.snp_scores(genotypes(spark, sf), pheno, ["label", "odd"], float(MAC)), 20, key="snp_idx").select("phenotype", "snp_idx", "n", "g", F.round("score", 9).alias("score"), "rank")
 
 
+def snp_filter(spark, sf):
+    """Genotypes of the SNPs with enough calls and a common enough rarer allele, summed."""
+    calls = genotypes(spark, sf)
+    return associate.snp_stats(associate.snp_quality(calls, table(spark, sf, "embeddings").count(), 0.48, 0.05))
+
+
+def _genotype_file(spark, sf) -> str:
+    """bed, bim and fam of the genotypes; samples in order of their numbers."""
+    calls = genotypes(spark, sf)
+    names = [str(r["vec_id"]) for r in table(spark, sf, "embeddings").select("vec_id").orderBy("vec_id").collect()]  # as many as samples
+    rows = calls.groupBy(F.col("snp_idx").cast("long").alias("snp_idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("accession", "code"))), lambda x: x["code"]).alias("codes"))
+    base = Scratch(spark, "genotypes").path("g")
+    binary.write_genotypes(rows.select("snp_idx", F.concat(F.lit("snp"), F.col("snp_idx").cast("string")).alias("name"), "codes"), base, names)
+    binary.register(spark)
+    return base
+
+
+def _called(spark, beds: DataFrame, base: str, *keep: str) -> DataFrame:
+    names = spark.createDataFrame(list(enumerate(map(int, binary.fam_names(base + ".fam")))), "sample int, accession long")
+    return _cells(beds, *keep).join(names, "sample").select(*keep, "accession", "code")
+
+
+def genotype_file(spark, sf):
+    """Genotypes of all codes written and read back."""
+    base = _genotype_file(spark, sf)
+    return _called(spark, _beds(spark, base), base, "name")
+
+
+def snp_subsets_file(spark, sf):
+    """Two lists of SNPs cut out of the genotypes' files in one pass, and read back."""
+    base = _genotype_file(spark, sf)
+    wanted = spark.range(1000).where("id % 3 = 0").selectExpr("'three' AS list", "id AS snp_idx").union(spark.range(1000).where("id % 7 = 1").selectExpr("'seven'", "id"))
+    paths = binary.write_snp_subsets(spark, base, wanted, Scratch(spark, "subsets").path("s"))
+    rows = [_called(spark, _beds(spark, p).withColumn("list", F.lit(p.rpartition(".")[2])), p, "list", "name") for p in paths]
+    return rows[0].union(rows[1])
+
+
 def _labelled_packed(spark, sf):
-    index = presence.sample_index(_labelled(spark, sf)[0])
+    pheno = _labelled(spark, sf)[0]
+    index = presence.sample_index(pheno)
     n = index.count()
-    rows = samples(spark, sf).join(F.broadcast(index.select("accession")), "accession", "left_semi")
-    return presence.pack_presence(rows, index, n), index, n
+    return presence.pack_presence(samples(spark, sf, pheno), index, n), index, n
 
 
 def _names(df, index):
     i, j = index.toDF("accession_i", "i"), index.toDF("accession_j", "j")
-    return df.join(F.broadcast(i), "i").join(F.broadcast(j), "j").select("accession_i", "accession_j", *[c for c in df.columns if c not in ("i", "j")])
+    return df.join(i, "i").join(j, "j").select("accession_i", "accession_j", *[c for c in df.columns if c not in ("i", "j")])
 
 
 def kinship_kmers(spark, sf):
@@ -259,14 +450,26 @@ def kinship_sub(spark, sf):
     """The kinship of the labelled documents, for those of good quality alone, renumbered."""
     packed, index, n = _labelled_packed(spark, sf)
     good = index.join(labels(spark, sf).where("quality = 1"), "accession", "left_semi")
-    renumbered = good.select(F.col("col_idx").alias("old"), (F.row_number().over(Window.orderBy("col_idx")) - 1).alias("new"))
+    renumbered = presence.numbered(good, "col_idx").select(F.col("col_idx").alias("old"), F.col("place").cast("int").alias("new"))
     return kinship.submatrix(kinship.kmer_kinship(packed, n, 0.1), renumbered)
 
 
-def kinship_snps(spark, sf):
+def _kinship_snps(spark, sf, method):
     index = presence.sample_index(table(spark, sf, "embeddings").select(F.col("vec_id").alias("accession")))
-    calls = genotypes(spark, sf).join(F.broadcast(index), "accession").select("snp_idx", F.col("col_idx").alias("i"), "dosage")
-    return _names(kinship.snp_kinship(calls, index.count()), index).withColumn("k", F.round(F.col("k") + 1e-9, 6))  # off the halves, where sums in another order would round apart
+    calls = genotypes(spark, sf).join(index, "accession").select("snp_idx", F.col("col_idx").alias("i"), "dosage")
+    return _names(kinship.snp_kinship(calls, index.count(), method), index).withColumn("k", F.round(F.col("k") + 1e-9, 6))  # off the halves, where sums in another order would round apart
+
+
+def kinship_snps(spark, sf):
+    return _kinship_snps(spark, sf, "additive")
+
+
+def kinship_dominant(spark, sf):
+    return _kinship_snps(spark, sf, "dominant")
+
+
+def kinship_recessive(spark, sf):
+    return _kinship_snps(spark, sf, "recessive")
 
 
 def gamma_matrix(spark, sf):
@@ -279,7 +482,9 @@ def gamma_matrix(spark, sf):
 
 
 def _tests(spark, sf):
-    p = (F.col("l_orderkey") % 9973 + 1) / F.lit(9974.0)
+    """Tests of 101 phenotypes; those of P0, the real one, are a thousand times stronger."""
+    real = F.col("l_partkey") % 101 == 0
+    p = (F.col("l_orderkey") % 9973 + 1) / F.lit(9974.0) / F.when(real, 1000.0).otherwise(1.0)
     return table(spark, sf, "lineitem").select(F.concat(F.lit("P"), (F.col("l_partkey") % 101).cast("string")).alias("phenotype"), F.col("l_suppkey").alias("variant"), F.col("l_linenumber").alias("line"), p.alias("p"))
 
 
@@ -307,7 +512,7 @@ def gwas_two_stage(spark, sf):
     Each test has the study's two thresholds and whether it passes them, which only the phenotype's own can.
     """
     pheno = labels(spark, sf).select("accession", F.col("quality").cast("double").alias("phenotype_value"))
-    study = gwas.kmers_gwas(samples(spark, sf), pheno)
+    study = gwas.kmers_gwas(samples(spark, sf, pheno), pheno)
     out = study.tests.join(study.scores.select("phenotype", "kmer", "score", "rank"), ["phenotype", "kmer"])
     at = {round(r["level"] * 100): r["threshold"] for r in study.thresholds.collect()}  # two rows
     for level, passed in study.passing.items():
@@ -330,7 +535,7 @@ fl AS (SELECT accession, kmer, CAST(bit_or(flag) AS INTEGER) AS flag, count(*) A
 _COUNTS = f"""{_KM}, counts AS (SELECT kmer, count(*) AS count_all, count(*) FILTER (flag = 1) AS canonical, count(*) FILTER (flag = 2) AS non_canonical, count(*) FILTER (flag = 3) AS "both" FROM fl GROUP BY kmer)"""
 _LEAST = f"ceil(CAST({STRAND} AS DOUBLE) * count_all)"
 _OK = f'(canonical + "both" >= {_LEAST} AND non_canonical + "both" >= {_LEAST})'
-_COMMON = f"{_KM}, common AS (SELECT kmer, accession FROM fl WHERE kmer IN (SELECT kmer FROM fl GROUP BY kmer HAVING count(*) >= {COMMON}))"
+_COMMON = f"{_COUNTS}, cohort AS (SELECT kmer FROM counts WHERE count_all >= {MAC} AND {_OK}), common AS (SELECT kmer, accession FROM fl SEMI JOIN cohort USING (kmer))"
 _INDEX = "idx AS (SELECT doc_id AS accession, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM (SELECT DISTINCT doc_id FROM documents))"
 _PATTERNS = f"{_COMMON}, pats AS (SELECT kmer, string_agg(CAST(accession AS VARCHAR), ',' ORDER BY accession) AS pat, count(*) AS n1 FROM common GROUP BY kmer)"
 _LAB = "lab AS (SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)), size AS (SELECT count(*) AS n, CAST(count(*) AS DOUBLE) AS d FROM lab)"
@@ -347,7 +552,8 @@ pairs AS (SELECT x.accession AS a, y.accession AS b, count(*) AS c FROM kept x J
 kin AS (SELECT x.a AS accession_i, y.a AS accession_j, CAST(m - x.c - y.c + 2 * coalesce(p.c, 0) AS DOUBLE) / m AS k FROM own x JOIN own y ON x.a > y.a CROSS JOIN m LEFT JOIN pairs p ON p.a = x.a AND p.b = y.a)"""
 _GENO = """geno AS (SELECT snp_idx, vec_id AS accession, CASE WHEN abs(x) < CAST(0.005 AS DOUBLE) THEN NULL WHEN x <= CAST(-0.085 AS DOUBLE) THEN CAST(0 AS DOUBLE) WHEN x >= CAST(0.085 AS DOUBLE) THEN 1 ELSE 0.5 END AS dosage
 FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS snp_idx FROM embeddings))"""
-_TESTS = "tests AS (SELECT 'P' || CAST(l_partkey % 101 AS VARCHAR) AS phenotype, l_suppkey AS variant, l_linenumber AS line, CAST(l_orderkey % 9973 + 1 AS DOUBLE) / CAST(9974 AS DOUBLE) AS p FROM lineitem)"
+_CODE = "CASE WHEN dosage IS NULL THEN 1 WHEN dosage = 0 THEN 0 WHEN dosage = 1 THEN 3 ELSE 2 END"
+_TESTS = "tests AS (SELECT 'P' || CAST(l_partkey % 101 AS VARCHAR) AS phenotype, l_suppkey AS variant, l_linenumber AS line, CAST(l_orderkey % 9973 + 1 AS DOUBLE) / CAST(9974 AS DOUBLE) / CASE WHEN l_partkey % 101 = 0 THEN CAST(1000 AS DOUBLE) ELSE 1 END AS p FROM lineitem)"
 _BEST = f"{_TESTS}, best AS (SELECT phenotype, abs(log10(least(min(p), 1))) AS best FROM tests GROUP BY phenotype), perms AS (SELECT best, row_number() OVER (ORDER BY best DESC) AS rn, count(*) OVER () AS n FROM best WHERE phenotype <> 'P0')"
 _BOUGHT = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 
@@ -355,9 +561,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         kmer_count, kmer_count_histogram, strand_flags, flag_distribution, strand_match, cohort_kmers, cohort_no_pass, cohort_totals, shareness, hist_canonical, hist_noncanonical, hist_both,
-        presence_long, presence_packed, presence_text, presence_unpacked, plink_codes, distinct_patterns, unique_pattern_rows, mac_filter, lookup_kmers, kmer_roundtrip,
+        presence_long, presence_packed, presence_text, presence_unpacked, plink_codes, distinct_patterns, unique_pattern_rows, mac_filter, lookup_kmers, lookup_counts, kmer_roundtrip,
+        table_file, table_file_mac, sorted_file, scores_file, bed_file, bed_top_file, bed_batches_file, fastq_file, phenotypes_file, no_pass_file, kmer_list_file, snp_filter, genotype_file, snp_subsets_file,
         pheno_average, pheno_replicated, pheno_align, pheno_centre, full_fam, assoc_kmers_top, assoc_kmers_first_best, tested_kmers, assoc_relational, snp_stats, assoc_snps_top,
-        kinship_kmers, kinship_sub, kinship_snps, gamma_matrix, best_pvals, perm_threshold, pass_threshold, gwas_two_stage,
+        kinship_kmers, kinship_sub, kinship_snps, kinship_dominant, kinship_recessive, gamma_matrix, best_pvals, perm_threshold, pass_threshold, gwas_two_stage,
     )
 }
 
@@ -376,10 +583,21 @@ ORACLES = {
     "presence_packed": f"WITH {_COMMON}, {_INDEX} SELECT kmer, CAST(i // 64 AS INTEGER) AS word, CAST(sum(CASE WHEN i % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << CAST(i % 64 AS INTEGER) END) AS BIGINT) AS bits FROM common JOIN idx USING (accession) GROUP BY ALL",
     "presence_text": f"WITH {_COMMON}, {_INDEX}, k AS (SELECT DISTINCT kmer FROM common) SELECT k.kmer, string_agg(CASE WHEN c.kmer IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS presence FROM k CROSS JOIN idx LEFT JOIN common c ON c.kmer = k.kmer AND c.accession = idx.accession GROUP BY k.kmer",
     "presence_unpacked": f"WITH {_COMMON} SELECT kmer, accession FROM common",
-    "plink_codes": f"WITH {_COMMON}, {_INDEX}, k AS (SELECT DISTINCT kmer FROM common) SELECT k.kmer, CAST(i // 4 AS INTEGER) AS byte_idx, CAST(sum(CASE WHEN c.kmer IS NULL THEN 0 ELSE 3 << CAST(2 * (i % 4) AS INTEGER) END) AS INTEGER) AS byte FROM k CROSS JOIN idx LEFT JOIN common c ON c.kmer = k.kmer AND c.accession = idx.accession GROUP BY ALL",
     "distinct_patterns": f"WITH {_PATTERNS} SELECT count(DISTINCT pat) AS patterns FROM pats",
     "unique_pattern_rows": f"WITH {_PATTERNS} SELECT min(kmer) AS kmer, n1, count(*) AS n_kmers FROM pats GROUP BY pat, n1",
     "mac_filter": f"WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c, size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))",
+    "table_file_mac": f"WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c, size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))",
+    "lookup_counts": f"WITH {_KM}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession, n FROM fl WHERE kmer IN (SELECT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) FROM bs)",
+    "table_file": f"WITH {_COMMON} SELECT kmer, accession FROM common WHERE kmer BETWEEN 'C' AND 'D'",
+    "sorted_file": f"WITH {_KM} SELECT kmer, CAST(bit_or(flag) AS INTEGER) AS flag FROM fl WHERE kmer < 'C' GROUP BY kmer",
+    "scores_file": f"WITH {_SCORES} SELECT DISTINCT kmer FROM ranked WHERE rank <= 20",
+    "bed_file": f"WITH {_COMMON} SELECT kmer, accession FROM common",
+    "bed_top_file": f"WITH {_SCORES} SELECT phenotype, kmer || '_' || rank AS name, n1 FROM ranked WHERE rank <= 20",
+    "bed_batches_file": f"WITH {_COMMON}, k AS (SELECT kmer, CAST((row_number() OVER (ORDER BY kmer) - 1) // 10000 AS INTEGER) AS batch FROM cohort) SELECT batch, count(*) AS n, min(kmer) AS first, max(kmer) AS last FROM k GROUP BY batch",
+    "fastq_file": f"WITH {_spelled('benchmark', 'item_id', 'bs')}, c AS (SELECT least(s, r) AS kmer, CASE WHEN s < r THEN 1 ELSE 2 END AS flag FROM (SELECT s, reverse(translate(s, 'ACGT', 'TGCA')) AS r FROM bs)) SELECT 'all' AS accession, kmer, CAST(bit_or(flag) AS INTEGER) AS flag FROM c GROUP BY kmer HAVING count(*) >= 2",
+    "phenotypes_file": "SELECT CAST(doc_id AS VARCHAR) AS accession_id, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels",
+    "no_pass_file": f"WITH {_COUNTS} SELECT * FROM counts WHERE count_all >= {MAC} AND NOT {_OK}",
+    "kmer_list_file": f"WITH {_spelled('benchmark', 'item_id', 'bs')} SELECT DISTINCT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM bs",
     "lookup_kmers": f"WITH {_COMMON}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession FROM common WHERE kmer IN (SELECT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) FROM bs)",
     "kmer_roundtrip": f"WITH {_spelled('benchmark', 'item_id', 'bs')}, d AS (SELECT DISTINCT s AS kmer, reverse(translate(s, 'ACGT', 'TGCA')) AS reverse FROM bs), c AS (SELECT *, least(kmer, reverse) AS canonical FROM d) SELECT kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: (strpos('ACGT', substr(canonical, CAST(i AS INTEGER), 1)) - 1) * CAST(pow(4, {K} - i) AS BIGINT))) AS BIGINT) AS packed, canonical, reverse, CASE WHEN kmer < reverse THEN 1 ELSE 2 END AS flag FROM c",
     "pheno_average": "SELECT user_id AS accession_id, round(avg(value), 6) AS phenotype_value FROM events GROUP BY user_id",
@@ -392,10 +610,17 @@ ORACLES = {
     "tested_kmers": f"WITH {_SCORES} SELECT count(*) AS tested FROM sums",
     "assoc_relational": f"WITH rows AS (SELECT DISTINCT p_brand AS brand, o_custkey FROM {_BOUGHT} JOIN part ON l_partkey = p_partkey), pheno AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS y FROM customer), size AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM pheno), sums AS (SELECT brand, count(*) AS n1, CAST(sum(y) AS BIGINT) AS y1 FROM rows JOIN pheno ON o_custkey = c_custkey GROUP BY brand) SELECT brand, n1, y1, round(pow(n * y1 - CAST(n1 AS DOUBLE) * s, 2) / (n * n1 - CAST(n1 AS DOUBLE) * n1) / 1e6, 4) AS score FROM sums, size WHERE n1 BETWEEN {MAC} AND n - {MAC}",
     "snp_stats": f"WITH {_GENO} SELECT snp_idx, count(dosage) AS n, coalesce(sum(dosage), 0) AS g, coalesce(sum(dosage * dosage), 0) AS g2 FROM geno GROUP BY snp_idx",
+    "snp_filter": f"WITH {_GENO}, q AS (SELECT snp_idx FROM geno GROUP BY snp_idx HAVING count(dosage) > 0 AND least(avg(dosage), 1 - avg(dosage)) >= CAST(0.48 AS DOUBLE) AND count(*) - count(dosage) <= CAST(0.05 AS DOUBLE) * count(*)) SELECT snp_idx, count(dosage) AS n, sum(dosage) AS g, sum(dosage * dosage) AS g2 FROM geno SEMI JOIN q USING (snp_idx) GROUP BY snp_idx",
+    "genotype_file": f"WITH {_GENO} SELECT 'snp' || snp_idx AS name, accession, {_CODE} AS code FROM geno",
+    "snp_subsets_file": f"WITH {_GENO}, lists AS (SELECT 'three' AS list, unnest(range(0, 1000, 3)) AS snp_idx UNION ALL SELECT 'seven', unnest(range(1, 1000, 7))) SELECT list, 'snp' || snp_idx AS name, accession, {_CODE} AS code FROM geno JOIN lists USING (snp_idx)",
     "assoc_snps_top": f"WITH {_GENO}, j AS (SELECT snp_idx, dosage AS g, label, label % 2 AS odd FROM geno JOIN embeddings ON vec_id = accession WHERE dosage IS NOT NULL), l AS (SELECT snp_idx, g, 'label' AS phenotype, CAST(label AS DOUBLE) AS y FROM j UNION ALL SELECT snp_idx, g, 'odd', CAST(odd AS DOUBLE) FROM j), a AS (SELECT phenotype, snp_idx, count(*) AS n, sum(g) AS g, sum(g * g) AS g2, sum(y) AS y, sum(g * y) AS gy FROM l GROUP BY ALL), s AS (SELECT phenotype, snp_idx, n, g, CASE WHEN g >= {MAC} AND n - g >= {MAC} AND n * (n * g2 - g * g) > 0 THEN pow(n * gy - g * y, 2) / (n * (n * g2 - g * g)) ELSE CAST(0 AS DOUBLE) END AS score FROM a), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY phenotype ORDER BY score DESC, snp_idx) AS INTEGER) AS rank FROM s) SELECT phenotype, snp_idx, n, g, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
     "kinship_kmers": f"WITH {_KINSHIP} SELECT * FROM kin",
     "kinship_sub": f"WITH {_KINSHIP}, good AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS new FROM lab WHERE quality = 1) SELECT greatest(x.new, y.new) AS i, least(x.new, y.new) AS j, k FROM kin JOIN good x ON x.doc_id = accession_i JOIN good y ON y.doc_id = accession_j",
     "kinship_snps": f"WITH {_GENO}, c AS (SELECT snp_idx, accession, CASE WHEN dosage >= 1 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS lo, CASE WHEN dosage > 0 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS hi FROM geno), f AS (SELECT snp_idx, accession, coalesce(lo, avg(lo) OVER w) AS lo, coalesce(hi, avg(hi) OVER w) AS hi FROM c WINDOW w AS (PARTITION BY snp_idx)) SELECT x.accession AS accession_i, y.accession AS accession_j, round(1e-9 + sum(x.lo * y.lo + (1 - x.lo) * (1 - y.lo) + x.hi * y.hi + (1 - x.hi) * (1 - y.hi)) / (2 * count(*)), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.lo IS NOT NULL GROUP BY ALL",
+    **{
+        f"kinship_{m}": f"WITH {_GENO}, means AS (SELECT snp_idx, avg(dosage) AS mean FROM geno GROUP BY snp_idx), c AS (SELECT snp_idx, accession, CASE WHEN dosage = 0.5 THEN CASE WHEN mean {o} 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END ELSE dosage END AS a FROM geno JOIN means USING (snp_idx)), f AS (SELECT snp_idx, accession, coalesce(a, avg(a) OVER (PARTITION BY snp_idx)) AS a FROM c) SELECT x.accession AS accession_i, y.accession AS accession_j, round(1e-9 + sum(x.a * y.a + (1 - x.a) * (1 - y.a)) / count(*), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.a IS NOT NULL GROUP BY ALL"
+        for m, o in (("dominant", ">"), ("recessive", "<"))
+    },
     "gamma_matrix": f"WITH rows AS (SELECT DISTINCT l_partkey AS v, c_nationkey AS a FROM {_BOUGHT} JOIN customer ON o_custkey = c_custkey), idx AS (SELECT n_nationkey AS a, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nation), f AS (SELECT v, count(*) / n AS p, n FROM rows, size GROUP BY v, n HAVING count(*) < n), g AS (SELECT f.v, i, (CASE WHEN r.v IS NULL THEN 0 ELSE 1 END - p) / sqrt(n * p * (1 - p)) AS g FROM f CROSS JOIN idx LEFT JOIN rows r ON r.v = f.v AND r.a = idx.a) SELECT x.i, y.i AS j, round(avg(x.g * y.g), 9) AS r FROM g x JOIN g y ON x.v = y.v AND x.i >= y.i GROUP BY x.i, y.i",
     "best_pvals": f"WITH {_BEST} SELECT phenotype, round(best, 9) AS best FROM best",
     "perm_threshold": f"WITH {_BEST} SELECT CAST(level AS DOUBLE) AS level, round(min(best), 9) AS threshold FROM perms, (VALUES (0.05), (0.10)) AS t(level) WHERE rn <= CAST(floor(n * CAST(level AS DOUBLE)) AS BIGINT) GROUP BY level",
