@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,22 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    A folder of our own is made only where the session names none (tests on
-    one machine).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
-    return _own_dir[0]
-
+from tessera.sources.shared import shared_dir
 
 class Work:
     """Written tables of one operator run, under the shared folder.
@@ -75,7 +60,17 @@ def held(key, make):
 def release() -> None:
     if _held:
         _held.clear()
-        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Hands memory that nothing uses any more back to the machine: workers live on from operator to operator."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -11,6 +11,7 @@ bytes, and texts that only share a digest are told apart.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ ROW = "doc_id long, file string, row long"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store reserves about 4 MB of disk before it holds a row
 }
@@ -114,25 +115,48 @@ def stream_groups(work: Work, rows_path: str, schema, state: str, out: str) -> D
     return changes.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("s")).select("digest", "s.keep", "s.n")
 
 
-def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_bits: int) -> DataFrame:
-    """doc_id, file, row, keep, n, sha256 of each row."""
+def _earlier(work: Work, rows: DataFrame, text_col: str) -> DataFrame:
+    """doc_id, file, row, text of rows of earlier calls, from the files that their locators name."""
+    files = [r["file"] for r in rows.select("file").distinct().collect()]  # as many as files
+    if not files:
+        return rows.select("doc_id", "file", "row", F.lit(None).cast("string").alias("text"))
+    found = work.spark.read.parquet(*files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    return rows.select("doc_id", "file", "row").join(found, ["file", "row"]).select("doc_id", "file", "row", "text")
+
+
+def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_bits: int, kept: str | None = None) -> DataFrame:
+    """doc_id, file, row, keep, n, sha256 of each row. `kept` names the folder of a state that goes on from call to call."""
     source = located.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("__file").alias("file"), F.col("__row").alias("row"))
-    rows_schema = f"{ROW}, digest binary, sha256 string"
-    rows = work.cut(source.mapInArrow(_digests(digest_bits, False), rows_schema), "rows")
+    root, call = kept or work.root, uuid.uuid4().hex
+    schema = f"{ROW}, digest binary, sha256 string, call string"
+    digested = source.mapInArrow(_digests(digest_bits, False), schema.removesuffix(", call string")).withColumn("call", F.lit(call))
+    digested.write.mode("append").partitionBy("call").option("compression", "zstd").parquet(f"{root}/rows")
+    every = work.spark.read.schema(schema).parquet(f"{root}/rows")
+    rows = every.where(F.col("call") == call).drop("call")
     if not rows.head(1):
         return rows.selectExpr("doc_id", "file", "row", "struct(doc_id, file, row) AS keep", "0L AS n", "sha256")
-    groups = work.cut(stream_groups(work, work.path("rows"), rows.schema, work.path("state"), work.path("changes")), "groups")
-    work.drop("state")
+    groups = stream_groups(work, f"{root}/rows", every.schema, f"{root}/state", f"{root}/changes")
+    if kept:  # of all groups those that this call's rows are in
+        groups = groups.join(rows.select("digest").distinct(), "digest", "left_semi")
+    groups = work.cut(groups, "groups")
+    if not kept:
+        work.drop("state")
     hits = groups.where("n > 1").select("digest")
     n_hits = hits.count()
     final, told = groups, None
     if n_hits:
-        bodies = source.mapInArrow(_digests(digest_bits, True, _bloom(hits, n_hits)), f"{ROW}, digest binary, body binary")
+        texts = source
+        if kept:
+            before = every.where(F.col("call") != call).join(hits, "digest", "left_semi")
+            texts = source.unionByName(_earlier(work, before, text_col))
+        bodies = texts.mapInArrow(_digests(digest_bits, True, _bloom(hits, n_hits)), f"{ROW}, digest binary, body binary")
         classes = bodies.groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
         count = work.cut(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("n")).join(hits, "digest", "left_semi"), "checked")
         mixed = count.where("classes > 1").select("digest")
         if mixed.head(1):
             told = bodies.join(mixed, "digest", "left_semi").join(classes, ["digest", "body"]).select("doc_id", "file", "row", "keep", "n", F.sha2("body", 256).alias("sha256"))
+            if kept:
+                told = told.join(rows.select("file", "row"), ["file", "row"], "left_semi").select("doc_id", "file", "row", "keep", "n", "sha256")
             rows, final = rows.join(mixed, "digest", "left_anti"), groups.join(mixed, "digest", "left_anti")
     out = rows.join(final, "digest").select("doc_id", "file", "row", "keep", "n", "sha256")
     if told is not None:
@@ -140,9 +164,14 @@ def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_b
     return out
 
 
-def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256) -> DataFrame:
+def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 256, state: str | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
+    `state` names a shared folder where state goes on: each call takes new rows,
+    judges them against all rows of the calls before and reports the new ones
+    alone.  df has to be read from Parquet files then, which must stay where they
+    are, because texts of earlier rows are found again by their locators.
+
     Texts are equal if identical after lower-casing A-Z; null equals empty.  Of
     equal texts the row with the largest id stays; a null id comes last; of rows
     repeated with the same id, the one with the last locator stays.  Other
@@ -150,7 +179,7 @@ def dedup(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col:
     under 256 makes digests collide and serves tests of the full-bytes check.
     """
     work = Work(spark, "exact")
-    out = _judged(work, with_locators(work, df), id_col, text_col, digest_bits)
+    out = _judged(work, with_locators(work, df), id_col, text_col, digest_bits, state)
     return out.select("doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), _stays().alias("kept"), F.col("sha256").alias("text_sha256"))
 
 

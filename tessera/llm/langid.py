@@ -9,7 +9,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +116,7 @@ class Scorer:
     kept; new ones are worked out together.  What is kept is emptied at `most` stretches, which
     bounds memory and changes no result."""
 
-    def __init__(self, model: Model, most: int = 400_000):
+    def __init__(self, model: Model, most: int = 150_000):
         self.model, self.most, self.width = model, most, len(model.langs)
         self.grams = [Grams(model.tables[n], n) for n in GRAMS]
         self._reset()
@@ -166,7 +165,7 @@ class Scorer:
 
     def predict(self, texts: list[bytes]):
         """(language, probability) of each text."""
-        for i, j in slices(texts, 2_000_000):
+        for i, j in slices(texts, 1_000_000):
             if len(self.at) > self.most:
                 self._reset()
             lists = [t.split() for t in texts[i:j]]
@@ -203,10 +202,11 @@ def predict(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc
 def accepted(sent, least_score: float):
     """Column function on a text: whether a language is told with `least_score` at least."""
 
-    @F.pandas_udf("boolean")
-    def judge(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
         scorer = shared_scorer(sent)
-        return pd.Series([lang != "und" and score >= least_score for lang, score in scorer.predict([(t or "").encode() for t in texts])], dtype=bool)
+        texts = [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+        return pa.array([lang != "und" and score >= least_score for lang, score in scorer.predict(texts)], pa.bool_())
 
     return judge
 

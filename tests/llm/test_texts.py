@@ -83,6 +83,18 @@ def test_exact_repeats(spark):
     assert sorted(map(repr, exact.distinct_rows(spark, df).collect())) == ["Row(doc_id=1, text='a')", "Row(doc_id=2, text='b')", "Row(doc_id=2, text='c')"]
 
 
+@pytest.mark.parametrize("bits", [256, 2])
+def test_exact_goes_on(spark, tmp_path, bits):
+    """Two calls with one state: the second's rows are judged against the first's too, on full bytes."""
+    first = [(1, "a b"), (5, "A B"), (2, "c"), (3, None)]
+    second = [(4, "a B"), (9, "C"), (6, "d"), (7, "")]
+    for k, rows in enumerate((first, second)):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / str(k)))
+    run = lambda k: sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.dedup(spark, spark.read.parquet(str(tmp_path / str(k))), digest_bits=bits, state=str(tmp_path / "state")).collect())
+    assert run(0) == [(1, 5, 2, False), (2, 2, 1, True), (3, 3, 1, True), (5, 5, 2, True)]
+    assert run(1) == [(4, 5, 3, False), (6, 6, 1, True), (7, 7, 2, True), (9, 9, 2, True)]
+
+
 def test_exact_stream_continues(spark, tmp_path):
     from tessera.llm.common import Work
 
