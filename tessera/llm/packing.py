@@ -11,6 +11,7 @@ which range, so a join of pieces to patterns by rank gives every place.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import unicodedata
@@ -36,9 +37,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """Ids of a text by a `tokenizers` file that drops white space and so never
+    """Ids of a text by a `tokenizers` file, packed, little-endian unsigned 32-bit.
+
+    A file with the normaliser and splitter of PARTED drops white space and so never
     joins what white space parts: each stretch between ASCII white space is
-    encoded once and its ids are kept packed, little-endian unsigned 32-bit.
+    encoded once and its ids are kept.  With any other file each text goes
+    through the whole encoder.
 
     Stretches of Latin-1 letters and closing punctuation go to the BPE model at
     once (the file's normaliser and splitter do no more to them than lower-case
@@ -46,6 +50,14 @@ class WordTokenizer:
     The cache is emptied when it has `most` entries; that bounds memory only.
     """
 
+    # The normaliser and splitter that the short ways below are right for.
+    PARTED = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    )
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
     def __init__(self, path: str, most: int = 500_000):
@@ -54,6 +66,9 @@ class WordTokenizer:
 
         self.whole, self.most, self.cache, self.letters = Tokenizer.from_file(path), most, {}, _byte_letters()
         self.model = self.whole.model
+        parts = json.loads(self.whole.to_str())
+        special = [t["content"] for t in parts["added_tokens"]]
+        self.parted = (parts["normalizer"], parts["pre_tokenizer"]) == self.PARTED and parts["model"]["type"] == "BPE" and not any(t.split() != [t] for t in special)
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -77,6 +92,8 @@ class WordTokenizer:
         return got
 
     def packed(self, text: bytes) -> bytes:
+        if not self.parted:
+            return self._pack(self.whole.encode(text.decode(), add_special_tokens=False).ids)
         words = text.split()
         found = list(map(self.cache.get, words))
         if None in found:
