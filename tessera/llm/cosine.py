@@ -25,9 +25,10 @@ CHUNK = 4096
 
 
 def tables_for(n: int, cosine: float, miss: float = 1e-4) -> tuple[int, int]:
-    """Bits of a key, and tables, for n classes: about one unrelated vector in a bucket,
-    and a pair at the cosine misses all tables with probability `miss`."""
-    bits = min(30, max(8, round(math.log2(max(n, 2))) + 1))
+    """Bits of a key, and tables, for n classes: an unrelated vector in about one of sixteen buckets,
+    because what shares a bucket is fetched with its vector, and a pair at the cosine misses all
+    tables with probability `miss`."""
+    bits = min(32, max(8, round(math.log2(max(n, 2))) + 4))
     agree = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - agree))
 
@@ -166,7 +167,7 @@ def similar_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.95, id
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
     rows = work.cut(source.mapInArrow(_vectors, "vec_id long, vec binary, digest binary"), "rows")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("vec").alias("vec"))
-    owners = work.cut(classes.withColumn("node", F.xxhash64("digest")), "classes")  # a class is told by its vector: ids may repeat
+    owners = work.cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # a class is told by its vector, as ids may repeat; its number is written with it
     bits, tables = tables_for(owners.count(), cosine, miss)
     keyed = work.cut(owners.select(F.col("node").alias("rep"), "size", "vec").mapInArrow(_keys(bits, tables, seed), "rep long, size long, vec binary, keys binary"), "keyed")
     filled = keyed.select("rep", "vec", "keys").mapInArrow(_buckets, "bucket long, table int, rep long")
