@@ -5,7 +5,8 @@ because no piece goes on after one.  Each distinct stretch is filtered forward
 once: the weight of all its prefixes, and for each position the distribution of
 the piece that ends there.  Every occurrence then samples its pieces backward,
 with random numbers that hash the row key, the stretch and the position, so a
-row's segmentation doesn't depend on partitions, batches or order.
+row's segmentation doesn't depend on partitions, batches or order.  Very long
+stretches are filtered and sampled window by window, with the same numbers.
 
 The model is a BPE one, whose scores are merge ranks and no probabilities:
 a piece of rank r weighs (r + 1) ** -alpha, as frequencies fall with rank.
@@ -30,7 +31,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class Lattice:
     """Vocabulary lookup, forward filtering and backward sampling."""
 
-    def __init__(self, path: str, alpha: float = 1.0, most_positions: int = 1_500_000, long: int = 48):
+    def __init__(self, path: str, alpha: float = 1.0, most_positions: int = 1_500_000, long: int = 20_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -90,6 +91,21 @@ class Lattice:
             slot[alive] = (slot[alive] + 1) % self.slots
         return out
 
+    def _pieces(self, code: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and log weights of the piece of each width that ends at each position. code: character + 1; inner: place within its stretch."""
+        ids = np.full((len(code), self.widest), -1, np.int32)
+        h = np.zeros(len(code), np.uint64)
+        for w in range(1, self.widest + 1):  # hash of the w characters that end at each position
+            ok = np.flatnonzero(inner >= w)
+            h[ok] = code[ok - w + 1] * self.power[w - 1] + h[ok]
+            ids[ok, w - 1] = self._lookup(h[ok])
+        logw = np.where(ids >= 0, self.logw[ids], -np.inf)
+        odd = np.flatnonzero((inner > 0) & (ids[:, 0] < 0))  # characters without a piece: their bytes stand for them, put in later if there are several
+        c = code[odd].astype(np.int64) - 1
+        ids[odd, 0] = np.where(c < 128, self.ascii[np.minimum(c, 127)], -2 - c)
+        logw[odd, 0] = self.unknown
+        return ids, logw
+
     def _filter(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Offsets, lengths, cumulative probabilities and ids of the piece of each width that ends at
         each position, for stretches laid end to end; position 0 of each is its start."""
@@ -102,17 +118,7 @@ class Lattice:
         code[where] = chars.astype(np.uint64) + np.uint64(1)
         inner = np.zeros(total, np.int64)  # place within the stretch
         inner[where] = np.arange(len(chars)) - np.repeat(np.cumsum(n) - n, n) + 1
-        ids = np.full((total, self.widest), -1, np.int32)
-        h = np.zeros(total, np.uint64)
-        for w in range(1, self.widest + 1):  # hash of the w characters that end at each position
-            ok = np.flatnonzero(inner >= w)
-            h[ok] = code[ok - w + 1] * self.power[w - 1] + h[ok]
-            ids[ok, w - 1] = self._lookup(h[ok])
-        logw = np.where(ids >= 0, self.logw[ids], -np.inf)
-        odd = where[ids[where, 0] < 0]  # characters without a piece: their bytes stand for them, put in later if there are several
-        c = code[odd].astype(np.int64) - 1
-        ids[odd, 0] = np.where(c < 128, self.ascii[np.minimum(c, 127)], -2 - c)
-        logw[odd, 0] = self.unknown
+        ids, logw = self._pieces(code, inner)
         cum = np.ones((total, self.widest), np.float32)
         alpha = np.zeros(total)
         order = np.argsort(inner, kind="stable")
@@ -128,6 +134,48 @@ class Lattice:
             cum[at, :k] = c / c[:, -1:]
         return off, n, cum, ids
 
+    def _sample_long(self, word: str, salt: np.uint64) -> np.ndarray:
+        """Sampled ids of one long stretch, window by window: the weights of its prefixes are kept, 8 bytes a
+        character; the tables of a window are made once going forward and again going backward."""
+        n, step = len(word), self.long
+        code = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)])
+        alpha = np.zeros(n + 1)
+
+        def window(a: int, b: int):
+            lo = max(a - self.widest, 0)
+            ids, logw = self._pieces(code[lo : b + 1], np.arange(lo, b + 1) if not lo else np.arange(b + 1 - lo))
+            # behind `lo` a place has fewer characters before it than it really has, but not so from `a` on
+            return ids[a - lo :], logw[a - lo :]
+
+        def shares(logw, e: int):
+            k = min(e, self.widest)
+            v = alpha[e - k : e][::-1] + logw[:k]
+            top = v.max()
+            c = np.cumsum(np.exp(v - top))
+            return c, top
+
+        for a in range(1, n + 1, step):
+            b = min(a + step - 1, n)
+            _, logw = window(a, b)
+            for e in range(a, b + 1):
+                c, top = shares(logw[e - a], e)
+                alpha[e] = top + np.log(c[-1])
+        out, e, a = [], n, n + 1
+        while e:
+            if e < a:
+                a = (e - 1) // step * step + 1
+                ids, logw = window(a, min(a + step - 1, n))
+            c, _ = shares(logw[e - a], e)
+            cum = np.ones(self.widest, np.float32)
+            cum[: len(c)] = c / c[-1]
+            u = np.float32((mix(np.array([salt]) + np.uint64(e)) >> np.uint64(11)).astype(np.float64)[0] * 2.0**-53)
+            w = min(int((cum <= u).sum()), self.widest - 1)
+            while ids[e - a, w] == -1:
+                w -= 1
+            out.append(ids[e - a, w])
+            e -= w + 1
+        return np.array(out[::-1], np.int32)
+
     def _add(self, words: list[str]) -> None:
         off, n, cum, ids = self._filter(words)
         while self.used + len(cum) > len(self.cum):
@@ -157,7 +205,32 @@ class Lattice:
         """Sampled ids of each text."""
         if self.used > self.most:
             self._reset()
-        lists = [self.stretches(t) if t else [] for t in texts]
+        rows = mix(np.array([k & (1 << 64) - 1 for k in keys], dtype=np.uint64) + np.uint64(seed & (1 << 64) - 1))
+        lists, firsts, owner, long_ones = [], [], [], []  # runs of stretches, each with its text's row and place in it
+        for doc, t in enumerate(texts):
+            run, first = self.stretches(t) if t else [], 0
+            while (at := next((i for i, w in enumerate(run) if len(w) > self.long), None)) is not None:
+                lists += [run[:at], []]
+                firsts += [first, first + at]
+                owner += [doc, doc]
+                long_ones.append((len(lists) - 1, run[at]))
+                run, first = run[at + 1 :], first + at + 1
+            lists.append(run)
+            firsts.append(first)
+            owner.append(doc)
+        row = rows[np.array(owner, np.int64)] if owner else rows
+        got = self._sampled(lists, np.array(firsts, np.uint64), row)
+        for i, word in long_ones:
+            got[i] = self._sample_long(word, mix(row[i : i + 1] + np.array(firsts[i : i + 1], np.uint64) * BASE)[0])
+        if long_ones:
+            parts: list[list] = [[] for _ in texts]
+            for doc, ids in zip(owner, got):
+                parts[doc].append(ids)
+            got = [np.concatenate(p) for p in parts]
+        return [self._expand(x) if (x < 0).any() else x for x in got]
+
+    def _sampled(self, lists: list[list[str]], firsts: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+        """Sampled ids of each run of stretches; `firsts` are the places of their first ones in the text, `row` the texts' hashes."""
         new = list(set().union(*lists).difference(self.at))
         new.sort(key=len)
         group, size = [], 0
@@ -171,8 +244,7 @@ class Lattice:
             self._add(group)
         lens = np.fromiter(map(len, lists), np.int64, len(lists))
         seg = np.fromiter(map(self.at.__getitem__, chain.from_iterable(lists)), np.int64, int(lens.sum()))
-        row = mix(np.array([k & (1 << 64) - 1 for k in keys], dtype=np.uint64) + np.uint64(seed & (1 << 64) - 1))
-        inner = (np.arange(len(seg)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.uint64)
+        inner = (np.arange(len(seg)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.uint64) + np.repeat(firsts, lens)
         salt = mix(np.repeat(row, lens) + inner * BASE)
         base, e, occ = self.start[seg], self.length[seg], np.arange(len(seg))
         got_occ, got_at, got_id = [], [], []
@@ -188,13 +260,12 @@ class Lattice:
             ok = e > 0
             occ, e = occ[ok], e[ok]
         if not got_occ:
-            return [np.empty(0, np.int32) for _ in texts]
+            return [np.empty(0, np.int32) for _ in lists]
         o, a, i = np.concatenate(got_occ), np.concatenate(got_at), np.concatenate(got_id)
         order = np.lexsort((a, o))
         o, i = o[order], i[order]
-        doc = np.repeat(np.arange(len(lists)), lens)[o]
-        cuts = np.searchsorted(doc, np.arange(1, len(lists)))
-        return [self._expand(x) if (x < 0).any() else x for x in np.split(i, cuts)]
+        run = np.repeat(np.arange(len(lists)), lens)[o]
+        return np.split(i, np.searchsorted(run, np.arange(1, len(lists))))
 
     def _possible(self, pos: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Rounding may end past the last piece or at a width without one: the nearest narrower one then."""
@@ -257,9 +328,13 @@ def decode(df: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def digests(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0) -> DataFrame:
-    """encode, then decode, of doc_id and text, without carrying the ids: doc_id, n_pieces,
-    ids_crc32 (of unsigned little-endian 32-bit ids), lossless."""
+def digests(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode, then decode, without carrying the ids. One row per input row: doc_id, n_pieces,
+    ids_crc32 (of unsigned little-endian 32-bit ids), lossless.
+
+    Null and empty texts have no pieces and are lossless.  Row keys, nulls, repeats
+    and other columns are as in encode; an empty table gives no rows.
+    """
 
     def run(batches):
         model = lattice(model_path, alpha)
@@ -272,7 +347,7 @@ def digests(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0) -
                 same.append(model.decode(ids) == (text or "").encode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
 
 
 def default_model() -> str:

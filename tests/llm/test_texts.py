@@ -337,6 +337,40 @@ def test_pieces_distribution():
     assert set(seen) <= set(weight) and all(abs(seen[c] / n - w / total) < 0.02 for c, w in weight.items())
 
 
+def test_pieces_of_long_stretches():
+    """A stretch has the same pieces whether it is sampled whole or window by window, and takes bounded time and memory."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeghilnorst") for _ in range(n)) for n in (5, 90, 301, 1000)] + ["aé日\u0301\U0001f600" * 60, "short words only", "one " + "x" * 250 + " two  " + "ab" * 90, "", "   "]
+    whole, parted = pieces.Lattice(pieces.default_model()), pieces.Lattice(pieces.default_model(), long=40)
+    keys = list(range(len(texts)))
+    for seed in (1, 2):
+        for a, b, t in zip(whole.encode(keys, texts, seed), parted.encode(keys, texts, seed), texts):
+            assert a.tolist() == b.tolist() and whole.decode(b).decode() == t
+    long = "".join(rng.choice("abcdeghilnorst") for _ in range(60_000))
+    assert whole.decode(whole.encode([1], [long], 1)[0]).decode() == long and whole.used < 50_000
+
+
+def test_pieces_query(spark, docs, empty):
+    """Each row's digest is that of its own segmentation."""
+    path = pieces.default_model()
+    ids = {r["doc_id"]: r["ids"] or [] for r in pieces.encode(docs, path).collect()}
+    for r in pieces.digests(docs.withColumn("lossless", F.lit("clash")), path).collect():
+        assert (r["n_pieces"], r["ids_crc32"], r["lossless"]) == (len(ids[r["doc_id"]]), zlib.crc32(np.array(ids[r["doc_id"]], "<u4").tobytes()), True)
+    assert pieces.digests(empty, path).count() == 0
+
+
+def test_packing_with_other_tokenizers(spark, docs, tmp_path):
+    """A tokenizer that doesn't part at white space is asked for whole texts."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(packing.default_tokenizer())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "t.json"))
+    assert packing.WordTokenizer(packing.default_tokenizer()).parted and not packing.WordTokenizer(str(tmp_path / "t.json")).parted
+    got = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(spark, docs, str(tmp_path / "t.json")).collect()}
+    assert got == {i: len(other.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in ROWS}
+
+
 def test_language(spark):
     rng = random.Random(2)
     say = {"xx": ["the", "thing", "with", "of", "and"], "yy": ["der", "und", "nicht", "über", "das"], "zz": ["que", "para", "niño", "los", "con"]}
