@@ -211,6 +211,56 @@ class SortedKmersReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array((w & np.uint64(KMER_MASK)).astype(np.int64)), pa.array((w >> np.uint64(FLAG_SHIFT)).astype(np.int32))], names=["kmer", "flag"])
 
 
+class SampleRows(Rows):
+    def __init__(self, rows: Rows, path: str, accession: str):
+        super().__init__(rows.first, rows.count)
+        self.path, self.accession = path, accession
+
+
+class SampleKmers(DataSource):
+    """(accession, kmer, flag) of many files of sorted k-mers: option files, a JSON list of [path, accession];
+    least and most give a range of k-mers. An empty file is an error."""
+
+    @classmethod
+    def name(cls):
+        return "sample_kmers"
+
+    def schema(self):
+        return "accession string, kmer long, flag int"
+
+    def reader(self, schema):
+        return SampleKmersReader(self.options)
+
+
+class SampleKmersReader(DataSourceReader):
+    def __init__(self, options):
+        self.files, self.range = json.loads(options["files"]), KmerRange(options)
+
+    def pushFilters(self, filters):
+        return self.range.take(filters)
+
+    def partitions(self):
+        out = []
+        for path, accession in self.files:
+            size = size_of(path)
+            if not size or size % 8:
+                raise ValueError(f"{path} is empty or ends within a row")
+            first, end = self.range.rows(path, 0, 8, size // 8)
+            out += [SampleRows(r, path, accession) for r in _ranges(end, first)]
+        return out or [SampleRows(Rows(0, 0), "", "")]
+
+    def read(self, part):
+        w = np.frombuffer(read_bytes(part.path, part.first * 8, part.count * 8), "<u8") if part.count else np.empty(0, np.uint64)
+        names = pa.array([part.accession], pa.string()).take(pa.array(np.zeros(len(w), np.int64)))
+        yield pa.RecordBatch.from_arrays([names, pa.array((w & np.uint64(KMER_MASK)).astype(np.int64)), pa.array((w >> np.uint64(FLAG_SHIFT)).astype(np.int32))], names=["accession", "kmer", "flag"])
+
+
+def read_samples(spark: SparkSession, files: list[tuple[str, str]]) -> DataFrame:
+    """(accession, kmer, flag) of samples' sorted k-mers, (path, accession) each."""
+    register(spark)
+    return spark.read.format("sample_kmers").option("files", json.dumps([list(f) for f in files])).load()
+
+
 class PlinkBed(DataSource):
     """(snp_idx, name, codes): two-bit genotype codes of the samples of a bed/bim/fam set. Option path is the base name."""
 
@@ -310,7 +360,7 @@ class RawRowsWriter(DataSourceArrowWriter):
 def register(spark: SparkSession) -> None:
     """Makes the sources known; filters are handed to Python sources only where the session says so."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (KmersTable, SortedKmers, PlinkBed, RawRows):
+    for source in (KmersTable, SortedKmers, SampleKmers, PlinkBed, RawRows):
         spark.dataSource.register(source)
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.sequences import unpack_kmer
 from tessera.operators.presence import kmer_list
-from tessera.sources.binary import read_bytes, write_lines
+from tessera.sources.binary import _save, read_bytes, size_of, write_lines
 
 
 def read_names(path: str) -> list[str]:
@@ -70,6 +71,64 @@ def write_matrix(m: np.ndarray, path: str) -> None:
     write_lines(path, ["\t".join(f"{x:.6g}" for x in row) for row in m])
 
 
+def write_cells(kinship: DataFrame, n: int, path: str) -> None:
+    """A symmetric matrix with a diagonal of 1 from its cells (i, j, k), i > j, as one tab-separated file of six significant
+    digits: each row is put together from its own cells, and rows are written in order by many tasks."""
+    mirrored = kinship.select("i", "j", "k").union(kinship.select("j", "i", "k"))
+    ones = kinship.sparkSession.range(n).select("id", "id", F.lit(1.0))
+    rows = mirrored.union(ones.toDF("i", "j", "k")).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "k"))), lambda x: x["k"]).alias("row"))  # n cells a row
+
+    def lines(batches):
+        for batch in batches:
+            out = ["\t".join(f"{x:.6g}" for x in row).encode() + b"\n" for row in batch.column("row").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["row"])
+
+    _save(rows.orderBy("i").select("row").mapInArrow(lines, "row binary"), path)
+
+
+def read_cells(spark: SparkSession, path: str, split: int = 64 << 20) -> DataFrame:
+    """(i, j, k) of all cells of a tab-separated matrix without header. The file is read in pieces: first the lines that begin
+    in each are counted, then each piece gives the cells of its lines."""
+    size = size_of(path)
+    pieces = spark.range(0, max(-(-size // split), 1), 1, max(-(-size // split), 1))
+
+    def own(piece: int) -> list[bytes]:
+        """Lines that begin within a piece."""
+        start, end = piece * split, min((piece + 1) * split, size)
+        begin = max(start - 1, 0)
+        data = read_bytes(path, begin, end - begin)
+        first = data.find(b"\n") + 1 if start else 0
+        if start and not first:
+            return []
+        while data[-1:] != b"\n" and end < size:  # up to the end of the last line
+            more = read_bytes(path, end, min(1 << 20, size - end))
+            cut = more.find(b"\n") + 1
+            data, end = data + (more[:cut] if cut else more), end + (cut or len(more))
+            if cut:
+                break
+        return [x for x in data[first:].split(b"\n") if x.strip()]
+
+    def count(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "n": pa.array([len(own(i)) for i in ids], pa.int64())})
+
+    counted = sorted((r["id"], r["n"]) for r in pieces.mapInArrow(count, "id long, n long").collect())  # one number a piece
+    before = dict(zip((i for i, _ in counted), np.cumsum([0, *(n for _, n in counted)]).tolist()))
+    total = sum(n for _, n in counted)
+
+    def cells(batches):
+        for batch in batches:
+            for piece in batch.column(0).to_pylist():
+                for at, line in enumerate(own(piece)):
+                    row = np.array(line.split(b"\t"), float)
+                    if len(row) != total:
+                        raise ValueError(f"{path} is not square")
+                    yield pa.RecordBatch.from_pydict({"i": pa.array(np.full(total, before[piece] + at)), "j": pa.array(np.arange(total)), "k": pa.array(row)})
+
+    return pieces.mapInArrow(cells, "i long, j long, k double")
+
+
 def read_tests(spark: SparkSession, path: str, column: int = 9) -> DataFrame:
     """(variant, p) of a tab-separated result table with a header; `column` counts from 1. A p that is no number is an error."""
     df = _tsv(spark, path)
