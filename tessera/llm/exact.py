@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tessera.llm.common import Work, release, texts_of
+from tessera.llm.common import Work, release, slices_of, texts_of
 
 ROW = "doc_id long, file string, row long"
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # state that no query uses any more is unloaded then
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each store reserves about 4 MB of disk before it holds a row
 }
@@ -40,21 +42,25 @@ def with_locators(work: Work, df: DataFrame) -> DataFrame:
 
 
 def _digests(bits: int, with_body: bool, bloom: np.ndarray | None = None):
+    """Rows with the digest of their text, its first `bits` bits, and with the SHA-256 that a shorter digest
+    lacks, or the text itself; a few megabytes of text at a time."""
+
     def run(batches):
         release()
         for batch in batches:
-            bodies = [t.lower() for t in texts_of(batch)]
-            keys = [hashlib.sha256(b).digest() for b in bodies]
-            full, keys = keys, [k if bits >= 256 else (int.from_bytes(k[:8], "big") >> (64 - bits)).to_bytes(8, "big") for k in keys]
-            cols = {"doc_id": batch.column("doc_id"), "file": batch.column("file"), "row": batch.column("row"), "digest": pa.array(keys, pa.binary())}
-            if with_body:
-                cols["body"] = pa.array(bodies, pa.binary())
-            else:
-                cols["sha256"] = pa.array([k.hex() for k in full], pa.string())
-            out = pa.RecordBatch.from_pydict(cols)
-            if bloom is not None:
-                out = out.filter(pa.array(_maybe(bloom, keys)))
-            yield out
+            at = 0
+            for texts in slices_of(batch.column("text")):
+                rows, at = batch.slice(at, len(texts)), at + len(texts)
+                bodies = [t.lower() for t in texts_of(rows)]
+                full = [hashlib.sha256(b).digest() for b in bodies]
+                keys = full if bits >= 256 else [(int.from_bytes(k[:8], "big") >> (64 - bits)).to_bytes(8, "big") for k in full]
+                cols = {c: rows.column(c) for c in ("doc_id", "file", "row")} | {"digest": pa.array(keys, pa.binary())}
+                if with_body:
+                    cols["body"] = pa.array(bodies, pa.binary())
+                elif bits < 256:
+                    cols["sha"] = pa.array(full, pa.binary())
+                out = pa.RecordBatch.from_pydict(cols)
+                yield out if bloom is None else out.filter(pa.array(_maybe(bloom, keys)))
 
     return run
 
@@ -128,13 +134,15 @@ def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_b
     """doc_id, file, row, keep, n, sha256 of each row. `kept` names the folder of a state that goes on from call to call."""
     source = located.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col("__file").alias("file"), F.col("__row").alias("row"))
     root, call = kept or work.root, uuid.uuid4().hex
-    schema = f"{ROW}, digest binary, sha256 string, call string"
+    whole = digest_bits >= 256
+    schema = f"{ROW}, digest binary{'' if whole else ', sha binary'}, call string"
     digested = source.mapInArrow(_digests(digest_bits, False), schema.removesuffix(", call string")).withColumn("call", F.lit(call))
     digested.write.mode("append").partitionBy("call").option("compression", "zstd").parquet(f"{root}/rows")
     every = work.spark.read.schema(schema).parquet(f"{root}/rows")
+    sha = F.lower(F.hex("digest" if whole else "sha")).alias("sha256")
     rows = every.where(F.col("call") == call).drop("call")
     if not rows.head(1):
-        return rows.selectExpr("doc_id", "file", "row", "struct(doc_id, file, row) AS keep", "0L AS n", "sha256")
+        return rows.select("doc_id", "file", "row", F.struct("doc_id", "file", "row").alias("keep"), F.lit(0).cast("long").alias("n"), sha)
     groups = stream_groups(work, f"{root}/rows", every.schema, f"{root}/state", f"{root}/changes")
     if kept:  # of all groups those that this call's rows are in
         groups = groups.join(rows.select("digest").distinct(), "digest", "left_semi")
@@ -158,7 +166,7 @@ def _judged(work: Work, located: DataFrame, id_col: str, text_col: str, digest_b
             if kept:
                 told = told.join(rows.select("file", "row"), ["file", "row"], "left_semi").select("doc_id", "file", "row", "keep", "n", "sha256")
             rows, final = rows.join(mixed, "digest", "left_anti"), groups.join(mixed, "digest", "left_anti")
-    out = rows.join(final, "digest").select("doc_id", "file", "row", "keep", "n", "sha256")
+    out = rows.join(final, "digest").select("doc_id", "file", "row", "keep", "n", sha)
     if told is not None:
         out = out.unionByName(told)
     return out
