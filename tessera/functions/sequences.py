@@ -21,6 +21,13 @@ def check_k(k: int) -> int:
     return k
 
 
+def check_positive(**values: float) -> None:
+    """An error for an argument that isn't above zero; None stands for an argument that wasn't given."""
+    for name, value in values.items():
+        if value is not None and not value > 0:
+            raise ValueError(f"{name} must be above zero, not {value}")
+
+
 def fold_to_dna(text: Column) -> Column:
     """Letters a-z in turn to A, C, G, T; everything else goes."""
     return F.regexp_replace(F.translate(F.lower(text), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), "[^ACGT]", "")

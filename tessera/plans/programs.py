@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.sequences import check_k, minimum_count, popcount, unpack_kmer
+from tessera.functions.sequences import check_k, check_positive, minimum_count, popcount, unpack_kmer
 from tessera.operators import associate, cohort, kinship, kmers, mixedmodel, phenotypes, presence
 from tessera.plans import gwas
 from tessera.sources import binary, text
@@ -103,6 +103,7 @@ def _phenotype(spark: SparkSession, path: str, names: list[str]) -> tuple[list[s
 
 def kmers_table_to_bed(spark: SparkSession, base: str, phenotype_file: str, out: str, k: int, maf: float = 0.05, mac: int = 5, batch_size: int = 10_000_000, unique_patterns: bool = False) -> list[str]:
     """The table's k-mers for the samples of a phenotype file as sets out.0, out.1 and so on; the fam holds its first phenotype."""
+    check_positive(batch_size=batch_size)
     names = text.read_names(base + ".names")
     order, values = _phenotype(spark, phenotype_file, names)
     rows = _table(spark, base, k, names, order, minimum_count(len(order), maf, mac))
@@ -115,6 +116,7 @@ def associate_kmers(
 ) -> list[str]:
     """The best k-mers of each phenotype of a wide file as sets out.<number>.<phenotype>, named <kmer>_<rank>, with
     out.tested_kmers and, on request, out.<number>.best_kmers.scores and out.pattern_counter."""
+    check_positive(best=best, first_phenotype_best=first_phenotype_best)
     names = text.read_names(base + ".names")
     order, values = _phenotype(spark, phenotype_file, names)
     least = minimum_count(len(order), maf, mac)
@@ -194,6 +196,8 @@ def kmers_gwas(
     than min_data_points the folder has NOT_ENOUGH_DATA and the log alone, and
     nothing is returned.  base.kinship is used where it is, else computed.
     """
+    check_positive(kmers_number=kmers_number, first_number=first_number, min_data_points=min_data_points)
+    check_k(k)
     if binary.exists(outdir):
         raise ValueError(f"{outdir} exists already")
     names = text.read_names(base + ".names")
@@ -241,6 +245,7 @@ def snps_gwas(
     """The study of one phenotype on a bed/bim/fam set: p-values of each phenotype under outdir/<phenotype>, best_pvals and
     thresholds. In one step every SNP is tested for every permutation, in two only their best. base.kinship is used where
     it is, else computed. Returns the tests (phenotype, snp_idx, p)."""
+    check_positive(snps_number=snps_number)
     names = binary.fam_names(base + ".fam")
     df = text.read_phenotypes(spark, phenotype_file)
     value = phenotypes.average(df, df.columns[0], df.columns[1]).withColumnRenamed("accession_id", "accession")

@@ -535,7 +535,10 @@ fl AS (SELECT accession, kmer, CAST(bit_or(flag) AS INTEGER) AS flag, count(*) A
 _COUNTS = f"""{_KM}, counts AS (SELECT kmer, count(*) AS count_all, count(*) FILTER (flag = 1) AS canonical, count(*) FILTER (flag = 2) AS non_canonical, count(*) FILTER (flag = 3) AS "both" FROM fl GROUP BY kmer)"""
 _LEAST = f"ceil(CAST({STRAND} AS DOUBLE) * count_all)"
 _OK = f'(canonical + "both" >= {_LEAST} AND non_canonical + "both" >= {_LEAST})'
-_COMMON = f"{_COUNTS}, cohort AS (SELECT kmer FROM counts WHERE count_all >= {MAC} AND {_OK}), common AS (SELECT kmer, accession FROM fl SEMI JOIN cohort USING (kmer))"
+_COMMON = f"""
+    {_COUNTS}, cohort AS (SELECT kmer FROM counts WHERE count_all >= {MAC} AND {_OK}), common AS (SELECT kmer, accession FROM fl SEMI JOIN cohort
+    USING (kmer))
+    """
 _INDEX = "idx AS (SELECT doc_id AS accession, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM (SELECT DISTINCT doc_id FROM documents))"
 _PATTERNS = f"{_COMMON}, pats AS (SELECT kmer, string_agg(CAST(accession AS VARCHAR), ',' ORDER BY accession) AS pat, count(*) AS n1 FROM common GROUP BY kmer)"
 _LAB = "lab AS (SELECT * FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)), size AS (SELECT count(*) AS n, CAST(count(*) AS DOUBLE) AS d FROM lab)"
@@ -553,8 +556,14 @@ kin AS (SELECT x.a AS accession_i, y.a AS accession_j, CAST(m - x.c - y.c + 2 *
 _GENO = """geno AS (SELECT snp_idx, vec_id AS accession, CASE WHEN abs(x) < CAST(0.005 AS DOUBLE) THEN NULL WHEN x <= CAST(-0.085 AS DOUBLE) THEN CAST(0 AS DOUBLE) WHEN x >= CAST(0.085 AS DOUBLE) THEN 1 ELSE 0.5 END AS dosage
 FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS snp_idx FROM embeddings))"""
 _CODE = "CASE WHEN dosage IS NULL THEN 1 WHEN dosage = 0 THEN 0 WHEN dosage = 1 THEN 3 ELSE 2 END"
-_TESTS = "tests AS (SELECT 'P' || CAST(l_partkey % 101 AS VARCHAR) AS phenotype, l_suppkey AS variant, l_linenumber AS line, CAST(l_orderkey % 9973 + 1 AS DOUBLE) / CAST(9974 AS DOUBLE) / CASE WHEN l_partkey % 101 = 0 THEN CAST(1000 AS DOUBLE) ELSE 1 END AS p FROM lineitem)"
-_BEST = f"{_TESTS}, best AS (SELECT phenotype, abs(log10(least(min(p), 1))) AS best FROM tests GROUP BY phenotype), perms AS (SELECT best, row_number() OVER (ORDER BY best DESC) AS rn, count(*) OVER () AS n FROM best WHERE phenotype <> 'P0')"
+_TESTS = """
+    tests AS (SELECT 'P' || CAST(l_partkey % 101 AS VARCHAR) AS phenotype, l_suppkey AS variant, l_linenumber AS line, CAST(l_orderkey % 9973 + 1 AS
+    DOUBLE) / CAST(9974 AS DOUBLE) / CASE WHEN l_partkey % 101 = 0 THEN CAST(1000 AS DOUBLE) ELSE 1 END AS p FROM lineitem)
+    """
+_BEST = f"""
+    {_TESTS}, best AS (SELECT phenotype, abs(log10(least(min(p), 1))) AS best FROM tests GROUP BY phenotype), perms AS (SELECT best, row_number() OVER
+    (ORDER BY best DESC) AS rn, count(*) OVER () AS n FROM best WHERE phenotype <> 'P0')
+    """
 _BOUGHT = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 QUERIES = {
@@ -570,59 +579,160 @@ QUERIES = {
 
 ORACLES = {
     "kmer_count": f'WITH {_KM} SELECT kmer, CAST(sum(n) AS BIGINT) AS "count" FROM fl GROUP BY kmer',
-    "kmer_count_histogram": f"WITH {_KM}, c AS (SELECT CAST(sum(n) AS BIGINT) AS c FROM fl GROUP BY kmer), h AS (SELECT c, count(*) AS n FROM c GROUP BY c) SELECT a AS appearance, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(c) FROM c) + 1)) AS a) LEFT JOIN h ON a = c",
+    "kmer_count_histogram": f"""
+        WITH {_KM}, c AS (SELECT CAST(sum(n) AS BIGINT) AS c FROM fl GROUP BY kmer), h AS (SELECT c, count(*) AS n FROM c GROUP BY c) SELECT a AS
+        appearance, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, (SELECT max(c) FROM c) + 1)) AS a) LEFT JOIN h ON a = c
+        """,
     "strand_flags": f"WITH {_KM} SELECT accession, kmer, flag FROM fl WHERE n >= 2",
-    "flag_distribution": f"WITH {_KM}, h AS (SELECT flag, count(*) AS n FROM fl WHERE n >= 2 GROUP BY flag) SELECT CAST(f AS INTEGER) AS flag, coalesce(n, 0) AS n FROM (SELECT unnest(range(0, 4)) AS f) LEFT JOIN h ON f = flag",
+    "flag_distribution": f"""
+        WITH {_KM}, h AS (SELECT flag, count(*) AS n FROM fl WHERE n >= 2 GROUP BY flag) SELECT CAST(f AS INTEGER) AS flag, coalesce(n, 0) AS n FROM
+        (SELECT unnest(range(0, 4)) AS f) LEFT JOIN h ON f = flag
+        """,
     "strand_match": f"WITH {_KM} SELECT count(*) AS total, count(*) FILTER (n >= 2) AS matched FROM fl",
     "cohort_kmers": f"WITH {_COUNTS} SELECT * FROM counts WHERE count_all >= {MAC} AND {_OK}",
     "cohort_no_pass": f"WITH {_COUNTS} SELECT * FROM counts WHERE count_all >= {MAC} AND NOT {_OK}",
-    "cohort_totals": f"WITH {_COUNTS} SELECT count(*) FILTER (count_all >= {MAC} AND {_OK}) AS pass, count(*) FILTER (count_all >= {MAC} AND NOT {_OK}) AS no_pass, count(*) FILTER (count_all < {MAC}) AS low_count FROM counts",
-    "shareness": f"WITH {_COUNTS}, h AS (SELECT count_all, count(*) AS n FROM counts WHERE count_all >= {MAC} AND {_OK} GROUP BY count_all) SELECT a AS count_all, coalesce(n, 0) AS n_kmers FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents) + 1)) AS a) LEFT JOIN h ON a = count_all",
+    "cohort_totals": f"""
+        WITH {_COUNTS} SELECT count(*) FILTER (count_all >= {MAC} AND {_OK}) AS pass, count(*) FILTER (count_all >= {MAC} AND NOT {_OK}) AS no_pass,
+        count(*) FILTER (count_all < {MAC}) AS low_count FROM counts
+        """,
+    "shareness": f"""
+        WITH {_COUNTS}, h AS (SELECT count_all, count(*) AS n FROM counts WHERE count_all >= {MAC} AND {_OK} GROUP BY count_all) SELECT a AS
+        count_all, coalesce(n, 0) AS n_kmers FROM (SELECT unnest(range(0, (SELECT count(*) FROM documents) + 1)) AS a) LEFT JOIN h ON a = count_all
+        """,
     **{f"hist_{k}": f'WITH {_COUNTS} SELECT count_all, "{c}" AS count_strand, count(*) AS n_kmers FROM counts GROUP BY ALL' for k, c in (("canonical", "canonical"), ("noncanonical", "non_canonical"), ("both", "both"))},
     "presence_long": f"WITH {_COMMON} SELECT kmer, accession FROM common",
-    "presence_packed": f"WITH {_COMMON}, {_INDEX} SELECT kmer, CAST(i // 64 AS INTEGER) AS word, CAST(sum(CASE WHEN i % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT) << CAST(i % 64 AS INTEGER) END) AS BIGINT) AS bits FROM common JOIN idx USING (accession) GROUP BY ALL",
-    "presence_text": f"WITH {_COMMON}, {_INDEX}, k AS (SELECT DISTINCT kmer FROM common) SELECT k.kmer, string_agg(CASE WHEN c.kmer IS NULL THEN '0' ELSE '1' END, '' ORDER BY i) AS presence FROM k CROSS JOIN idx LEFT JOIN common c ON c.kmer = k.kmer AND c.accession = idx.accession GROUP BY k.kmer",
+    "presence_packed": f"""
+        WITH {_COMMON}, {_INDEX} SELECT kmer, CAST(i // 64 AS INTEGER) AS word, CAST(sum(CASE WHEN i % 64 = 63 THEN -9223372036854775808 ELSE CAST(1
+        AS HUGEINT) << CAST(i % 64 AS INTEGER) END) AS BIGINT) AS bits FROM common JOIN idx USING (accession) GROUP BY ALL
+        """,
+    "presence_text": f"""
+        WITH {_COMMON}, {_INDEX}, k AS (SELECT DISTINCT kmer FROM common) SELECT k.kmer, string_agg(CASE WHEN c.kmer IS NULL THEN '0' ELSE '1' END, ''
+        ORDER BY i) AS presence FROM k CROSS JOIN idx LEFT JOIN common c ON c.kmer = k.kmer AND c.accession = idx.accession GROUP BY k.kmer
+        """,
     "presence_unpacked": f"WITH {_COMMON} SELECT kmer, accession FROM common",
     "distinct_patterns": f"WITH {_PATTERNS} SELECT count(DISTINCT pat) AS patterns FROM pats",
     "unique_pattern_rows": f"WITH {_PATTERNS} SELECT min(kmer) AS kmer, n1, count(*) AS n_kmers FROM pats GROUP BY pat, n1",
-    "mac_filter": f"WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c, size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))",
-    "table_file_mac": f"WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c, size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))",
-    "lookup_counts": f"WITH {_KM}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession, n FROM fl WHERE kmer IN (SELECT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) FROM bs)",
+    "mac_filter": f"""
+        WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c,
+        size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))
+        """,
+    "table_file_mac": f"""
+        WITH {_COMMON}, {_LAB}, c AS (SELECT kmer, count(*) AS n1 FROM common JOIN lab ON accession = doc_id GROUP BY kmer) SELECT kmer, n1 FROM c,
+        size WHERE n1 BETWEEN greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE))) AND n - greatest({MAC}, ceil(d * CAST(0.1 AS DOUBLE)))
+        """,
+    "lookup_counts": f"""
+        WITH {_KM}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession, n FROM fl WHERE kmer IN (SELECT least(s, reverse(translate(s,
+        'ACGT', 'TGCA'))) FROM bs)
+        """,
     "table_file": f"WITH {_COMMON} SELECT kmer, accession FROM common WHERE kmer BETWEEN 'C' AND 'D'",
     "sorted_file": f"WITH {_KM} SELECT kmer, CAST(bit_or(flag) AS INTEGER) AS flag FROM fl WHERE kmer < 'C' GROUP BY kmer",
     "scores_file": f"WITH {_SCORES} SELECT DISTINCT kmer FROM ranked WHERE rank <= 20",
     "bed_file": f"WITH {_COMMON} SELECT kmer, accession FROM common",
     "bed_top_file": f"WITH {_SCORES} SELECT phenotype, kmer || '_' || rank AS name, n1 FROM ranked WHERE rank <= 20",
-    "bed_batches_file": f"WITH {_COMMON}, k AS (SELECT kmer, CAST((row_number() OVER (ORDER BY kmer) - 1) // 10000 AS INTEGER) AS batch FROM cohort) SELECT batch, count(*) AS n, min(kmer) AS first, max(kmer) AS last FROM k GROUP BY batch",
-    "fastq_file": f"WITH {_spelled('benchmark', 'item_id', 'bs')}, c AS (SELECT least(s, r) AS kmer, CASE WHEN s < r THEN 1 ELSE 2 END AS flag FROM (SELECT s, reverse(translate(s, 'ACGT', 'TGCA')) AS r FROM bs)) SELECT 'all' AS accession, kmer, CAST(bit_or(flag) AS INTEGER) AS flag FROM c GROUP BY kmer HAVING count(*) >= 2",
+    "bed_batches_file": f"""
+        WITH {_COMMON}, k AS (SELECT kmer, CAST((row_number() OVER (ORDER BY kmer) - 1) // 10000 AS INTEGER) AS batch FROM cohort) SELECT batch,
+        count(*) AS n, min(kmer) AS first, max(kmer) AS last FROM k GROUP BY batch
+        """,
+    "fastq_file": f"""
+        WITH {_spelled('benchmark', 'item_id', 'bs')}, c AS (SELECT least(s, r) AS kmer, CASE WHEN s < r THEN 1 ELSE 2 END AS flag FROM (SELECT s,
+        reverse(translate(s, 'ACGT', 'TGCA')) AS r FROM bs)) SELECT 'all' AS accession, kmer, CAST(bit_or(flag) AS INTEGER) AS flag FROM c GROUP BY
+        kmer HAVING count(*) >= 2
+        """,
     "phenotypes_file": "SELECT CAST(doc_id AS VARCHAR) AS accession_id, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels",
     "no_pass_file": f"WITH {_COUNTS} SELECT * FROM counts WHERE count_all >= {MAC} AND NOT {_OK}",
     "kmer_list_file": f"WITH {_spelled('benchmark', 'item_id', 'bs')} SELECT DISTINCT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) AS kmer FROM bs",
-    "lookup_kmers": f"WITH {_COMMON}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession FROM common WHERE kmer IN (SELECT least(s, reverse(translate(s, 'ACGT', 'TGCA'))) FROM bs)",
-    "kmer_roundtrip": f"WITH {_spelled('benchmark', 'item_id', 'bs')}, d AS (SELECT DISTINCT s AS kmer, reverse(translate(s, 'ACGT', 'TGCA')) AS reverse FROM bs), c AS (SELECT *, least(kmer, reverse) AS canonical FROM d) SELECT kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: (strpos('ACGT', substr(canonical, CAST(i AS INTEGER), 1)) - 1) * CAST(pow(4, {K} - i) AS BIGINT))) AS BIGINT) AS packed, canonical, reverse, CASE WHEN kmer < reverse THEN 1 ELSE 2 END AS flag FROM c",
+    "lookup_kmers": f"""
+        WITH {_COMMON}, {_spelled('benchmark', 'item_id', 'bs')} SELECT kmer, accession FROM common WHERE kmer IN (SELECT least(s,
+        reverse(translate(s, 'ACGT', 'TGCA'))) FROM bs)
+        """,
+    "kmer_roundtrip": f"""
+        WITH {_spelled('benchmark', 'item_id', 'bs')}, d AS (SELECT DISTINCT s AS kmer, reverse(translate(s, 'ACGT', 'TGCA')) AS reverse FROM bs), c
+        AS (SELECT *, least(kmer, reverse) AS canonical FROM d) SELECT kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: (strpos('ACGT',
+        substr(canonical, CAST(i AS INTEGER), 1)) - 1) * CAST(pow(4, {K} - i) AS BIGINT))) AS BIGINT) AS packed, canonical, reverse, CASE WHEN kmer <
+        reverse THEN 1 ELSE 2 END AS flag FROM c
+        """,
     "pheno_average": "SELECT user_id AS accession_id, round(avg(value), 6) AS phenotype_value FROM events GROUP BY user_id",
     "pheno_replicated": "SELECT user_id AS accession_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 1",
-    "pheno_align": "SELECT doc_id AS accession, quality, toxic, doc_id AS pos FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 1000)",
-    "pheno_centre": "WITH l AS (SELECT doc_id AS accession, 'quality' AS phenotype, CAST(quality AS DOUBLE) AS value FROM labels UNION ALL SELECT doc_id, 'toxic', CAST(toxic AS DOUBLE) FROM labels) SELECT phenotype, accession, round(value - avg(value) OVER (PARTITION BY phenotype), 9) AS value FROM l",
-    "full_fam": "SELECT d.doc_id AS fid, d.doc_id AS iid, 0 AS father, 0 AS mother, 0 AS sex, coalesce(CAST(quality AS DOUBLE), -9) AS phenotype FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "pheno_align": """
+        SELECT doc_id AS accession, quality, toxic, doc_id AS pos FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND
+        doc_id IN (SELECT doc_id FROM documents WHERE n_chars >= 1000)
+        """,
+    "pheno_centre": """
+        WITH l AS (SELECT doc_id AS accession, 'quality' AS phenotype, CAST(quality AS DOUBLE) AS value FROM labels UNION ALL SELECT doc_id, 'toxic',
+        CAST(toxic AS DOUBLE) FROM labels) SELECT phenotype, accession, round(value - avg(value) OVER (PARTITION BY phenotype), 9) AS value FROM l
+        """,
+    "full_fam": """
+        SELECT d.doc_id AS fid, d.doc_id AS iid, 0 AS father, 0 AS mother, 0 AS sex, coalesce(CAST(quality AS DOUBLE), -9) AS phenotype FROM documents
+        d LEFT JOIN labels l ON l.doc_id = d.doc_id
+        """,
     "assoc_kmers_top": f"WITH {_SCORES} SELECT * FROM ranked WHERE rank <= 20",
     "assoc_kmers_first_best": f"WITH {_SCORES} SELECT * FROM ranked WHERE rank <= CASE WHEN phenotype = 'quality' THEN 40 ELSE 10 END",
     "tested_kmers": f"WITH {_SCORES} SELECT count(*) AS tested FROM sums",
-    "assoc_relational": f"WITH rows AS (SELECT DISTINCT p_brand AS brand, o_custkey FROM {_BOUGHT} JOIN part ON l_partkey = p_partkey), pheno AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS y FROM customer), size AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM pheno), sums AS (SELECT brand, count(*) AS n1, CAST(sum(y) AS BIGINT) AS y1 FROM rows JOIN pheno ON o_custkey = c_custkey GROUP BY brand) SELECT brand, n1, y1, round(pow(n * y1 - CAST(n1 AS DOUBLE) * s, 2) / (n * n1 - CAST(n1 AS DOUBLE) * n1) / 1e6, 4) AS score FROM sums, size WHERE n1 BETWEEN {MAC} AND n - {MAC}",
-    "snp_stats": f"WITH {_GENO} SELECT snp_idx, count(dosage) AS n, coalesce(sum(dosage), 0) AS g, coalesce(sum(dosage * dosage), 0) AS g2 FROM geno GROUP BY snp_idx",
-    "snp_filter": f"WITH {_GENO}, q AS (SELECT snp_idx FROM geno GROUP BY snp_idx HAVING count(dosage) > 0 AND least(avg(dosage), 1 - avg(dosage)) >= CAST(0.48 AS DOUBLE) AND count(*) - count(dosage) <= CAST(0.05 AS DOUBLE) * count(*)) SELECT snp_idx, count(dosage) AS n, sum(dosage) AS g, sum(dosage * dosage) AS g2 FROM geno SEMI JOIN q USING (snp_idx) GROUP BY snp_idx",
+    "assoc_relational": f"""
+        WITH rows AS (SELECT DISTINCT p_brand AS brand, o_custkey FROM {_BOUGHT} JOIN part ON l_partkey = p_partkey), pheno AS (SELECT c_custkey,
+        CAST(round(c_acctbal * 100) AS BIGINT) AS y FROM customer), size AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM
+        pheno), sums AS (SELECT brand, count(*) AS n1, CAST(sum(y) AS BIGINT) AS y1 FROM rows JOIN pheno ON o_custkey = c_custkey GROUP BY brand)
+        SELECT brand, n1, y1, round(pow(n * y1 - CAST(n1 AS DOUBLE) * s, 2) / (n * n1 - CAST(n1 AS DOUBLE) * n1) / 1e6, 4) AS score FROM sums, size
+        WHERE n1 BETWEEN {MAC} AND n - {MAC}
+        """,
+    "snp_stats": f"""
+        WITH {_GENO} SELECT snp_idx, count(dosage) AS n, coalesce(sum(dosage), 0) AS g, coalesce(sum(dosage * dosage), 0) AS g2 FROM geno GROUP BY
+        snp_idx
+        """,
+    "snp_filter": f"""
+        WITH {_GENO}, q AS (SELECT snp_idx FROM geno GROUP BY snp_idx HAVING count(dosage) > 0 AND least(avg(dosage), 1 - avg(dosage)) >= CAST(0.48 AS
+        DOUBLE) AND count(*) - count(dosage) <= CAST(0.05 AS DOUBLE) * count(*)) SELECT snp_idx, count(dosage) AS n, sum(dosage) AS g, sum(dosage *
+        dosage) AS g2 FROM geno SEMI JOIN q USING (snp_idx) GROUP BY snp_idx
+        """,
     "genotype_file": f"WITH {_GENO} SELECT 'snp' || snp_idx AS name, accession, {_CODE} AS code FROM geno",
-    "snp_subsets_file": f"WITH {_GENO}, lists AS (SELECT 'three' AS list, unnest(range(0, 1000, 3)) AS snp_idx UNION ALL SELECT 'seven', unnest(range(1, 1000, 7))) SELECT list, 'snp' || snp_idx AS name, accession, {_CODE} AS code FROM geno JOIN lists USING (snp_idx)",
-    "assoc_snps_top": f"WITH {_GENO}, j AS (SELECT snp_idx, dosage AS g, label, label % 2 AS odd FROM geno JOIN embeddings ON vec_id = accession WHERE dosage IS NOT NULL), l AS (SELECT snp_idx, g, 'label' AS phenotype, CAST(label AS DOUBLE) AS y FROM j UNION ALL SELECT snp_idx, g, 'odd', CAST(odd AS DOUBLE) FROM j), a AS (SELECT phenotype, snp_idx, count(*) AS n, sum(g) AS g, sum(g * g) AS g2, sum(y) AS y, sum(g * y) AS gy FROM l GROUP BY ALL), s AS (SELECT phenotype, snp_idx, n, g, CASE WHEN g >= {MAC} AND n - g >= {MAC} AND n * (n * g2 - g * g) > 0 THEN pow(n * gy - g * y, 2) / (n * (n * g2 - g * g)) ELSE CAST(0 AS DOUBLE) END AS score FROM a), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY phenotype ORDER BY score DESC, snp_idx) AS INTEGER) AS rank FROM s) SELECT phenotype, snp_idx, n, g, round(score, 9) AS score, rank FROM r WHERE rank <= 20",
+    "snp_subsets_file": f"""
+        WITH {_GENO}, lists AS (SELECT 'three' AS list, unnest(range(0, 1000, 3)) AS snp_idx UNION ALL SELECT 'seven', unnest(range(1, 1000, 7)))
+        SELECT list, 'snp' || snp_idx AS name, accession, {_CODE} AS code FROM geno JOIN lists USING (snp_idx)
+        """,
+    "assoc_snps_top": f"""
+        WITH {_GENO}, j AS (SELECT snp_idx, dosage AS g, label, label % 2 AS odd FROM geno JOIN embeddings ON vec_id = accession WHERE dosage IS NOT
+        NULL), l AS (SELECT snp_idx, g, 'label' AS phenotype, CAST(label AS DOUBLE) AS y FROM j UNION ALL SELECT snp_idx, g, 'odd', CAST(odd AS
+        DOUBLE) FROM j), a AS (SELECT phenotype, snp_idx, count(*) AS n, sum(g) AS g, sum(g * g) AS g2, sum(y) AS y, sum(g * y) AS gy FROM l GROUP BY
+        ALL), s AS (SELECT phenotype, snp_idx, n, g, CASE WHEN g >= {MAC} AND n - g >= {MAC} AND n * (n * g2 - g * g) > 0 THEN pow(n * gy - g * y, 2)
+        / (n * (n * g2 - g * g)) ELSE CAST(0 AS DOUBLE) END AS score FROM a), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY phenotype ORDER BY
+        score DESC, snp_idx) AS INTEGER) AS rank FROM s) SELECT phenotype, snp_idx, n, g, round(score, 9) AS score, rank FROM r WHERE rank <= 20
+        """,
     "kinship_kmers": f"WITH {_KINSHIP} SELECT * FROM kin",
-    "kinship_sub": f"WITH {_KINSHIP}, good AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS new FROM lab WHERE quality = 1) SELECT greatest(x.new, y.new) AS i, least(x.new, y.new) AS j, k FROM kin JOIN good x ON x.doc_id = accession_i JOIN good y ON y.doc_id = accession_j",
-    "kinship_snps": f"WITH {_GENO}, c AS (SELECT snp_idx, accession, CASE WHEN dosage >= 1 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS lo, CASE WHEN dosage > 0 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS hi FROM geno), f AS (SELECT snp_idx, accession, coalesce(lo, avg(lo) OVER w) AS lo, coalesce(hi, avg(hi) OVER w) AS hi FROM c WINDOW w AS (PARTITION BY snp_idx)) SELECT x.accession AS accession_i, y.accession AS accession_j, round(1e-9 + sum(x.lo * y.lo + (1 - x.lo) * (1 - y.lo) + x.hi * y.hi + (1 - x.hi) * (1 - y.hi)) / (2 * count(*)), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.lo IS NOT NULL GROUP BY ALL",
+    "kinship_sub": f"""
+        WITH {_KINSHIP}, good AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS INTEGER) AS new FROM lab WHERE quality = 1) SELECT
+        greatest(x.new, y.new) AS i, least(x.new, y.new) AS j, k FROM kin JOIN good x ON x.doc_id = accession_i JOIN good y ON y.doc_id = accession_j
+        """,
+    "kinship_snps": f"""
+        WITH {_GENO}, c AS (SELECT snp_idx, accession, CASE WHEN dosage >= 1 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS lo, CASE
+        WHEN dosage > 0 THEN CAST(1 AS DOUBLE) WHEN dosage IS NOT NULL THEN 0 END AS hi FROM geno), f AS (SELECT snp_idx, accession, coalesce(lo,
+        avg(lo) OVER w) AS lo, coalesce(hi, avg(hi) OVER w) AS hi FROM c WINDOW w AS (PARTITION BY snp_idx)) SELECT x.accession AS accession_i,
+        y.accession AS accession_j, round(1e-9 + sum(x.lo * y.lo + (1 - x.lo) * (1 - y.lo) + x.hi * y.hi + (1 - x.hi) * (1 - y.hi)) / (2 * count(*)),
+        6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.lo IS NOT NULL GROUP BY ALL
+        """,
     **{
-        f"kinship_{m}": f"WITH {_GENO}, means AS (SELECT snp_idx, avg(dosage) AS mean FROM geno GROUP BY snp_idx), c AS (SELECT snp_idx, accession, CASE WHEN dosage = 0.5 THEN CASE WHEN mean {o} 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END ELSE dosage END AS a FROM geno JOIN means USING (snp_idx)), f AS (SELECT snp_idx, accession, coalesce(a, avg(a) OVER (PARTITION BY snp_idx)) AS a FROM c) SELECT x.accession AS accession_i, y.accession AS accession_j, round(1e-9 + sum(x.a * y.a + (1 - x.a) * (1 - y.a)) / count(*), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND x.accession > y.accession WHERE x.a IS NOT NULL GROUP BY ALL"
+        f"kinship_{m}": f"""
+            WITH {_GENO}, means AS (SELECT snp_idx, avg(dosage) AS mean FROM geno GROUP BY snp_idx), c AS (SELECT snp_idx, accession, CASE WHEN dosage
+            = 0.5 THEN CASE WHEN mean {o} 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END ELSE dosage END AS a FROM geno JOIN means USING (snp_idx)), f AS
+            (SELECT snp_idx, accession, coalesce(a, avg(a) OVER (PARTITION BY snp_idx)) AS a FROM c) SELECT x.accession AS accession_i, y.accession AS
+            accession_j, round(1e-9 + sum(x.a * y.a + (1 - x.a) * (1 - y.a)) / count(*), 6) AS k FROM f x JOIN f y ON x.snp_idx = y.snp_idx AND
+            x.accession > y.accession WHERE x.a IS NOT NULL GROUP BY ALL
+            """
         for m, o in (("dominant", ">"), ("recessive", "<"))
     },
-    "gamma_matrix": f"WITH rows AS (SELECT DISTINCT l_partkey AS v, c_nationkey AS a FROM {_BOUGHT} JOIN customer ON o_custkey = c_custkey), idx AS (SELECT n_nationkey AS a, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nation), f AS (SELECT v, count(*) / n AS p, n FROM rows, size GROUP BY v, n HAVING count(*) < n), g AS (SELECT f.v, i, (CASE WHEN r.v IS NULL THEN 0 ELSE 1 END - p) / sqrt(n * p * (1 - p)) AS g FROM f CROSS JOIN idx LEFT JOIN rows r ON r.v = f.v AND r.a = idx.a) SELECT x.i, y.i AS j, round(avg(x.g * y.g), 9) AS r FROM g x JOIN g y ON x.v = y.v AND x.i >= y.i GROUP BY x.i, y.i",
+    "gamma_matrix": f"""
+        WITH rows AS (SELECT DISTINCT l_partkey AS v, c_nationkey AS a FROM {_BOUGHT} JOIN customer ON o_custkey = c_custkey), idx AS (SELECT
+        n_nationkey AS a, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation), size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM nation),
+        f AS (SELECT v, count(*) / n AS p, n FROM rows, size GROUP BY v, n HAVING count(*) < n), g AS (SELECT f.v, i, (CASE WHEN r.v IS NULL THEN 0
+        ELSE 1 END - p) / sqrt(n * p * (1 - p)) AS g FROM f CROSS JOIN idx LEFT JOIN rows r ON r.v = f.v AND r.a = idx.a) SELECT x.i, y.i AS j,
+        round(avg(x.g * y.g), 9) AS r FROM g x JOIN g y ON x.v = y.v AND x.i >= y.i GROUP BY x.i, y.i
+        """,
     "best_pvals": f"WITH {_BEST} SELECT phenotype, round(best, 9) AS best FROM best",
-    "perm_threshold": f"WITH {_BEST} SELECT CAST(level AS DOUBLE) AS level, round(min(best), 9) AS threshold FROM perms, (VALUES (0.05), (0.10)) AS t(level) WHERE rn <= CAST(floor(n * CAST(level AS DOUBLE)) AS BIGINT) GROUP BY level",
-    "pass_threshold": f"WITH {_BEST}, t AS (SELECT min(best) AS t FROM perms WHERE rn <= CAST(floor(n * CAST(0.10 AS DOUBLE)) AS BIGINT)) SELECT phenotype, variant, line, round(p, 12) AS p FROM tests, t WHERE phenotype = 'P0' AND abs(log10(p)) > t",
+    "perm_threshold": f"""
+        WITH {_BEST} SELECT CAST(level AS DOUBLE) AS level, round(min(best), 9) AS threshold FROM perms, (VALUES (0.05), (0.10)) AS t(level) WHERE rn
+        <= CAST(floor(n * CAST(level AS DOUBLE)) AS BIGINT) GROUP BY level
+        """,
+    "pass_threshold": f"""
+        WITH {_BEST}, t AS (SELECT min(best) AS t FROM perms WHERE rn <= CAST(floor(n * CAST(0.10 AS DOUBLE)) AS BIGINT)) SELECT phenotype, variant,
+        line, round(p, 12) AS p FROM tests, t WHERE phenotype = 'P0' AND abs(log10(p)) > t
+        """,
 }

@@ -127,6 +127,7 @@ def test_presence(spark, n, monkeypatch):
     g = (x[x.sum(axis=1) < n] - p) / np.sqrt(n * p * (1 - p))
     assert np.allclose([r for *_, r in near], [(g[:, i] * g[:, j]).mean() for i, j, _ in near]) and len(near) == n * (n + 1) // 2
     assert math.isclose(kinship.gamma(packed, np.ones((n, n)) + np.eye(n)), np.einsum("vi,ij,vj->", g, np.ones((n, n)) + np.eye(n), g) / len(g), rel_tol=1e-9, abs_tol=1e-9)
+    assert kinship.gamma(packed, np.eye(n), max_variants=0) == 0.0
     monkeypatch.setattr(kinship, "MOST_DENSE", 0)
     monkeypatch.setattr(kinship, "BLOCK", 64)
     assert sorted(map(tuple, kinship.co_occurrence(sub, n).collect())) == whole

@@ -5,10 +5,9 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from tessera.operators import kinship, mixedmodel
-from tessera.plans import gwas, programs
+from tessera.operators import mixedmodel
+from tessera.plans import programs
 from tessera.sources import binary, text
 
 K, N = 11, 40
@@ -154,6 +153,8 @@ def test_study_files(spark, made, tmp_path):
     study.release()
     with pytest.raises(ValueError, match="exists"):
         programs.kmers_gwas(spark, f"{base}/t", path, str(tmp_path / "out"), K)
+    with pytest.raises(ValueError, match="kmers_number"):
+        programs.kmers_gwas(spark, f"{base}/t", path, str(tmp_path / "none"), K, kmers_number=0)
     few, _ = phenotype(tmp_path, held, 12)
     assert programs.kmers_gwas(spark, f"{base}/t", few, str(tmp_path / "few"), K) is None and (tmp_path / "few/NOT_ENOUGH_DATA").exists()
 
@@ -209,4 +210,3 @@ def test_histogram(spark, tmp_path):
         for i in range(4):
             words[canonical(s[i : i + 10])] = words.get(canonical(s[i : i + 10]), 0) + 1
     assert rows == [(a, sum(c == a for c in words.values())) for a in range(max(words.values()) + 1)]
-    assert gwas.NotEnoughData and kinship.MOST_DENSE and F
