@@ -2,6 +2,11 @@
 
 Each stage takes all that its predecessor kept.  All but the last return the
 columns of documents; the last returns the packed pieces with their token ids.
+
+In every stage a null text counts as an empty one and an empty table gives no
+rows.  Rows are told apart by their place (file and row), so doc_ids may be null
+or repeat; further columns than those of documents are left out by substring
+dedup and packing.
 """
 
 from __future__ import annotations
