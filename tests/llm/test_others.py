@@ -69,6 +69,19 @@ def test_urls(spark):
     assert [got[i] for i in range(len(cases))] == list(cases.values())
 
 
+def test_clashing_columns(spark):
+    """Columns of the input that are named like those of the result are left out, and of no effect."""
+    from tessera.llm import langid
+
+    df = spark.createDataFrame([(1, "http://a.net/", "the thing and the cat", "en"), (1, None, None, None)], "page_id long, url string, text string, lang string")
+    for name in ("host", "path", "verdict", "weight", "lang_pred", "held_out", "score"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert sorted((r["host"], r["verdict"]) for r in urls.filter_urls(df).collect()) == [("", "allow"), ("a.net", "block")]
+    docs = df.withColumnRenamed("page_id", "doc_id")
+    model = langid.train(docs.select("doc_id", "text", "lang"), least_count=1)
+    assert sorted((r["lang_pred"], r["score"]) for r in langid.predict(spark, docs, model).collect()) == [("en", 1.0), ("und", 0.0)]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_urls_sql(spark):
     import duckdb
