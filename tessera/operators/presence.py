@@ -65,11 +65,17 @@ def pack_presence(rows: DataFrame, index: DataFrame, n: int) -> DataFrame:
 
 
 def cohort_table(flags: DataFrame, index: DataFrame, n: int, mac: int, min_strand_percent: float) -> DataFrame:
-    """(kmer, pa, n1) of the k-mers of the cohort list: packed presence and the counts that the list's filters
-    ask come from the same aggregate, so samples are counted once. flags: (accession, kmer, flag), one row each."""
-    of = lambda f: F.count_if(F.col("flag") == f)
-    counts = {"canonical": of(1), "non_canonical": of(2), "both": of(3), "count_all": F.count(F.lit(1))}
-    words = flags.join(index, "accession").groupBy("kmer", _word()).agg(F.bit_or(_bit()).alias("bits"), *(c.alias(k) for k, c in counts.items()))
+    """(kmer, pa, n1) of the k-mers of the cohort list, from flags (accession, kmer, flag).
+
+    A sample is a bit for either strand, so packed presence and the counts that the
+    list's filters ask come from one aggregate, and rows of one sample and k-mer
+    needn't be summed before: their strands are united by it.
+    """
+    strand = lambda f: F.bit_or(F.when(F.col("flag").bitwiseAND(f) != 0, _bit()).otherwise(F.lit(0).cast("long")))
+    words = flags.join(index, "accession").groupBy("kmer", _word()).agg(strand(1).alias("one"), strand(2).alias("two"))
+    one, two = F.col("one"), F.col("two")
+    counts = {"canonical": one.bitwiseAND(F.bitwise_not(two)), "non_canonical": two.bitwiseAND(F.bitwise_not(one)), "both": one.bitwiseAND(two), "count_all": one.bitwiseOR(two)}
+    words = words.select("kmer", "word", one.bitwiseOR(two).alias("bits"), *(F.bit_count(c).cast("long").alias(k) for k, c in counts.items()))
     rows = words.groupBy("kmer").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"), *(F.sum(k).alias(k) for k in counts))
     return passing(rows, mac, min_strand_percent).select("kmer", _array(n).alias("pa"), F.col("count_all").alias("n1"))
 

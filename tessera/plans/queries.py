@@ -47,14 +47,20 @@ def spellings(spark, sf, name="documents", key="doc_id", text="text") -> DataFra
     return kmers.count_spellings(sequences(spark, sf, name, key, text), key, "seq", K, rows_are_samples=True)
 
 
-def stranded(spark, sf) -> DataFrame:
-    """(accession, kmer, flag, n) of all documents, both counting passes in one aggregate."""
-    return kmers.count_stranded(sequences(spark, sf), "doc_id", "seq", K)
+def told_apart(df: DataFrame, key: str) -> bool:
+    """Whether no two rows share a key, so that each row is a sample of its own."""
+    return not df.groupBy(key).count().where("count > 1").head(1)
+
+
+def stranded(spark, sf, only: DataFrame | None = None) -> DataFrame:
+    """(accession, kmer, flag, n) of all documents, or of the samples in `only`: both counting passes at once."""
+    alone = told_apart(table(spark, sf, "documents"), "doc_id")
+    return kmers.count_stranded(sequences(spark, sf, only=only), "doc_id", "seq", K, rows_are_samples=alone)
 
 
 def samples(spark, sf, only: DataFrame | None = None) -> DataFrame:
-    """(kmer, accession) of all documents, or of the samples in `only`."""
-    return kmers.count_stranded(sequences(spark, sf, only=only), "doc_id", "seq", K, rows_are_samples=True).select("kmer", "accession").distinct()
+    """(kmer, accession) of all documents, or of the samples in `only`, each once."""
+    return stranded(spark, sf, only).select("kmer", "accession")
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -83,7 +89,7 @@ def kmer_count_histogram(spark, sf):
 
 
 def _flags(spark, sf):
-    return kmers.two_pass(sequences(spark, sf), "doc_id", "seq", K, 2)
+    return stranded(spark, sf).where("n >= 2").select("accession", "kmer", "flag")
 
 
 def strand_flags(spark, sf):
@@ -134,7 +140,8 @@ def _packed(spark, sf):
     """The presence table of the cohort list, the samples' numbers, and how many there are."""
     index = _index(spark, sf)
     n = index.count()
-    return presence.cohort_table(sample_flags(spark, sf), index, n, MAC, STRAND), index, n
+    rows = kmers.count_stranded(sequences(spark, sf), "doc_id", "seq", K, rows_are_samples=True)
+    return presence.cohort_table(rows, index, n, MAC, STRAND), index, n
 
 
 def presence_long(spark, sf):
