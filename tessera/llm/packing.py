@@ -44,7 +44,7 @@ class WordTokenizer:
     encoded once and its ids are kept.  With any other file each text goes
     through the whole encoder.
 
-    Stretches of Latin-1 letters and closing punctuation go to the BPE model at
+    Stretches of Latin-1 letters and ASCII punctuation after them go to the BPE model at
     once (the file's normaliser and splitter do no more to them than lower-case
     them and part the punctuation); all others go through the whole encoder.
     The cache is emptied when it has `most` entries; that bounds memory only.
@@ -58,7 +58,7 @@ class WordTokenizer:
             {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
         ]},
     )
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")  # an apostrophe may begin a contraction
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,7 +76,7 @@ class WordTokenizer:
     def _part(self, part: str) -> bytes:
         key = part.encode()
         if (got := self.cache.get(key)) is None:
-            byted = "".join(map(self.letters.__getitem__, unicodedata.normalize("NFC", part).lower().encode()))
+            byted = part.lower() if part.isascii() else "".join(map(self.letters.__getitem__, unicodedata.normalize("NFC", part).lower().encode()))
             got = self.cache[key] = self._pack([t.id for t in self.model.tokenize(byted)])
         return got
 
@@ -85,7 +85,9 @@ class WordTokenizer:
             self.cache.clear()
         text = word.decode()
         if m := self.PLAIN.fullmatch(text):
-            got = self._part(m[1]) + (self._part(m[2]) if m[2] else b"")
+            if not m[2]:
+                return self._part(text)
+            got = self._part(m[1]) + self._part(m[2])
         else:
             got = self._pack(self.whole.encode(text, add_special_tokens=False).ids)
         self.cache[word] = got
