@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.sources.shared import shared_dir
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 16 MB between Spark and Python, if the session says nothing of its own: texts are long."""
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's default
+        spark.conf.set(BATCH, "16m")
+
+
 class Work:
     """Written tables of one operator run, under the shared folder.
 
@@ -26,6 +35,7 @@ class Work:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        small_batches(spark)
         atexit.register(self.drop)
 
     def path(self, name: str) -> str:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches
+
 # Elements by kind, and words in class, id and role that mark what isn't main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -299,6 +301,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                 {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())}
             )
 
+    small_batches(df.sparkSession)
     source = df.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
     return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, mix, slices, texts_of
+from tessera.llm.common import held, mix, slices, small_batches, texts_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS = (4, 3, 2, 1)
@@ -62,6 +62,7 @@ def train(df: DataFrame, most_rows: int = 4000, least_count: int = 3) -> Model:
     in the picked rows stay unseen.  Rows with null text or lang teach nothing; with no
     labelled row the model has no languages.
     """
+    small_batches(df.sparkSession)
     rows = df.where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # as many rows as languages
     langs = sorted(sizes)
@@ -188,6 +189,7 @@ def predict(spark: SparkSession, df: DataFrame, model: Model, id_col: str = "doc
     when the model has no languages.  Ties go to the language that sorts first.
     Texts are scored whole; other columns are not read; repeats give repeats.
     """
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
