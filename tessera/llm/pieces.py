@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held, mix, slices
+from tessera.llm.common import held, mix, slices, small_batches
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -31,7 +31,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class Lattice:
     """Vocabulary lookup, forward filtering and backward sampling."""
 
-    def __init__(self, path: str, alpha: float = 1.0, most_positions: int = 1_500_000, long: int = 20_000):
+    def __init__(self, path: str, alpha: float = 1.0, most_positions: int = 2_200_000, long: int = 20_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -44,11 +44,15 @@ class Lattice:
         self.out = [name.replace(SPACE, " ").encode() for name in names]  # a text's own mark of space has no piece and becomes bytes
         for b, i in self.bytes.items():
             self.out[i] = bytes([b])
+        self.flat = np.frombuffer(b"".join(self.out), np.uint8)
+        self.wide = np.fromiter(map(len, self.out), np.int64, self.size)
+        self.from_ = np.cumsum(self.wide) - self.wide
         self.widest = max(len(names[i]) for i in usable)
         assert not any(SPACE in names[i].lstrip(SPACE) for i in usable), "a space stands within a piece"
         self.power = np.array([pow(int(BASE), k, 1 << 64) for k in range(self.widest + 1)], dtype=np.uint64)
         self.logw = np.full(self.size, -np.inf)
         self.logw[usable] = [-alpha * np.log(i - first + 2.0) for i in usable]
+        self.weights = np.append(self.logw, -np.inf)  # of no piece, number -1
         self.unknown = -alpha * np.log(self.size + 2.0)
         hashes = np.array([self._whole(names[i].replace(SPACE, " ")) for i in usable], dtype=np.uint64)
         assert len(np.unique(hashes)) == len(hashes)
@@ -75,8 +79,9 @@ class Lattice:
         self.at: dict[str, int] = {}
         self.used = 0
         self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
-        self.cum = np.empty((1024, self.widest), np.float32)
-        self.ids = np.empty((1024, self.widest), np.int32)
+        if not hasattr(self, "cum"):  # kept over resets; memory is only taken where it is written
+            self.cum = np.empty((self.most + 1_200_000, self.widest), np.float32)
+            self.ids = np.empty((self.most + 1_200_000, self.widest), np.int32)
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         out, alive = np.full(len(h), -1, np.int32), np.arange(len(h))
@@ -99,7 +104,7 @@ class Lattice:
             ok = np.flatnonzero(inner >= w)
             h[ok] = code[ok - w + 1] * self.power[w - 1] + h[ok]
             ids[ok, w - 1] = self._lookup(h[ok])
-        logw = np.where(ids >= 0, self.logw[ids], -np.inf)
+        logw = self.weights[ids]
         odd = np.flatnonzero((inner > 0) & (ids[:, 0] < 0))  # characters without a piece: their bytes stand for them, put in later if there are several
         c = code[odd].astype(np.int64) - 1
         ids[odd, 0] = np.where(c < 128, self.ascii[np.minimum(c, 127)], -2 - c)
@@ -209,7 +214,8 @@ class Lattice:
         lists, firsts, owner, long_ones = [], [], [], []  # runs of stretches, each with its text's row and place in it
         for doc, t in enumerate(texts):
             run, first = self.stretches(t) if t else [], 0
-            while (at := next((i for i, w in enumerate(run) if len(w) > self.long), None)) is not None:
+            while len(t) >= self.long and max(map(len, run), default=0) > self.long:
+                at = next(i for i, w in enumerate(run) if len(w) > self.long)
                 lists += [run[:at], []]
                 firsts += [first, first + at]
                 owner += [doc, doc]
@@ -284,7 +290,18 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text in UTF-8; the space put before each text goes."""
-        return b"".join(map(self.out.__getitem__, ids.tolist()))[1:]
+        return self.decode_all([ids])[0]
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[bytes]:
+        """Texts of many lists of ids together: the bytes of all pieces are fetched at once."""
+        if not lists:
+            return []
+        ids = np.concatenate(lists).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.wide[ids])])
+        where = np.repeat(self.from_[ids] - ends[:-1], self.wide[ids]) + np.arange(ends[-1])
+        body = self.flat[where].tobytes()
+        cuts = ends[np.cumsum([0, *map(len, lists)])].tolist()
+        return [body[a + 1 : b] for a, b in zip(cuts, cuts[1:])]
 
 
 def lattice(path: str, alpha: float) -> Lattice:
@@ -292,9 +309,10 @@ def lattice(path: str, alpha: float) -> Lattice:
 
 
 def _encoded(model: Lattice, keys: list, texts: list, seed: int):
+    """For slices of the texts: their UTF-8 bytes and their ids."""
     sized = [(t or "").encode() for t in texts]
     for i, j in slices(sized, 1_000_000):
-        yield from model.encode([k or 0 for k in keys[i:j]], [t or "" for t in texts[i:j]], seed)
+        yield sized[i:j], model.encode([k or 0 for k in keys[i:j]], [t or "" for t in texts[i:j]], seed)
 
 
 def encode(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,9 +328,11 @@ def encode(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0, id
         model = lattice(model_path, alpha)
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            ids = [None if t is None else x.tolist() for t, x in zip(texts, _encoded(model, keys, texts, seed))]
+            every = chain.from_iterable(ids for _, ids in _encoded(model, keys, texts, seed))
+            ids = [None if t is None else x.tolist() for t, x in zip(texts, every)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -341,12 +361,13 @@ def digests(df: DataFrame, model_path: str, seed: int = 1, alpha: float = 1.0, i
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             n, crc, same = [], [], []
-            for text, ids in zip(texts, _encoded(model, keys, texts, seed)):
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                same.append(model.decode(ids) == (text or "").encode())
+            for bodies, lists in _encoded(model, keys, texts, seed):
+                n += map(len, lists)
+                crc += (zlib.crc32(ids.astype("<u4").tobytes()) for ids in lists)
+                same += (a == b for a, b in zip(model.decode_all(lists), bodies))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
 
+    small_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
 
 
