@@ -20,12 +20,12 @@ from tessera.sources import binary, text
 Files = list[tuple[str, str]]  # (path, accession), in the order of the samples' bits
 
 
-def add_strand_information(reads: DataFrame, out: str, k: int, threshold: int = 2) -> None:
+def strand_file(reads: DataFrame, out: str, k: int, threshold: int = 2) -> None:
     """Sorted k-mers with their strands of one sample's reads (accession, seq): those seen `threshold` times or more."""
     binary.write_sorted_kmers(kmers.two_pass(reads, "accession", "seq", k, threshold), out)
 
 
-def list_kmers_found_in_multiple_samples(spark: SparkSession, files: Files, out: str, k: int, mac: int = 5, min_strand_percent: float = 0.2) -> dict[str, int]:
+def cohort_files(spark: SparkSession, files: Files, out: str, k: int, mac: int = 5, min_strand_percent: float = 0.2) -> dict[str, int]:
     """The cohort list of samples' sorted k-mers, out; what fails the strand filter alone, out.no_pass_kmers; and
     statistics: out.shareness and out.stats.{only_canonical,only_non_canonical,both}. Returns the overall numbers."""
     check_k(k)
@@ -40,7 +40,7 @@ def list_kmers_found_in_multiple_samples(spark: SparkSession, files: Files, out:
     return totals
 
 
-def build_kmers_table(spark: SparkSession, files: Files, all_kmers: str, out: str, k: int) -> None:
+def table_files(spark: SparkSession, files: Files, all_kmers: str, out: str, k: int) -> None:
     """The presence table of a cohort list over samples' sorted k-mers: out.table and out.names. K-mers of no sample have empty rows."""
     check_k(k)
     binary.register(spark)
@@ -60,13 +60,13 @@ def _table(spark: SparkSession, base: str, k: int, names: list[str], selected: l
     return reader.load().withColumn("n1", popcount(F.col("pa")).cast("long"))
 
 
-def emma_kinship_kmers(spark: SparkSession, base: str, k: int, maf: float = 0.05) -> None:
+def kmer_kinship_file(spark: SparkSession, base: str, k: int, maf: float = 0.05) -> None:
     """base.kinship: the matrix of the table's samples."""
     names = text.read_names(base + ".names")
     text.write_cells(kinship.kmer_kinship(_table(spark, base, k, names), len(names), maf), len(names), base + ".kinship")
 
 
-def emma_kinship(spark: SparkSession, base: str, out: str | None = None, method: str = "additive") -> None:
+def snp_kinship_file(spark: SparkSession, base: str, out: str | None = None, method: str = "additive") -> None:
     """The kinship matrix of a bed/bim/fam set."""
     binary.register(spark)
     n = len(binary.fam_names(base + ".fam"))
@@ -80,7 +80,7 @@ def dosages(spark: SparkSession, base: str) -> DataFrame:
     return cells.select("snp_idx", F.col("sample").cast("long").alias("sample"), associate.dosage(F.col("code")).alias("dosage"))
 
 
-def filter_kmers(spark: SparkSession, base: str, kmers_file: str, out: str) -> None:
+def presence_file(spark: SparkSession, base: str, kmers_file: str, out: str) -> None:
     """Presence of a list of k-mers in all samples of a table, tab-separated with a header."""
     wanted = text.read_kmer_list(spark, kmers_file).persist()
     width = wanted.agg(F.max("length").alias("k")).first()["k"]
@@ -101,7 +101,7 @@ def _phenotype(spark: SparkSession, path: str, names: list[str]) -> tuple[list[s
     return order, {c: dict(zip(rows["accession"], rows[c])) for c in rows.columns if c != "accession"}
 
 
-def kmers_table_to_bed(spark: SparkSession, base: str, phenotype_file: str, out: str, k: int, maf: float = 0.05, mac: int = 5, batch_size: int = 10_000_000, unique_patterns: bool = False) -> list[str]:
+def bed_files(spark: SparkSession, base: str, phenotype_file: str, out: str, k: int, maf: float = 0.05, mac: int = 5, batch_size: int = 10_000_000, unique_patterns: bool = False) -> list[str]:
     """The table's k-mers for the samples of a phenotype file as sets out.0, out.1 and so on; the fam holds its first phenotype."""
     check_positive(batch_size=batch_size)
     names = text.read_names(base + ".names")
@@ -110,7 +110,7 @@ def kmers_table_to_bed(spark: SparkSession, base: str, phenotype_file: str, out:
     return binary.write_bed_batches(rows, out, order, k, batch_size, next(iter(values.values())), unique_patterns)
 
 
-def associate_kmers(
+def best_kmers_files(
     spark: SparkSession, base: str, phenotype_file: str, out: str, k: int, best: int = 1_000_000, first_phenotype_best: int | None = None,
     maf: float = 0.05, mac: int = 5, kmers_scores: bool = False, pattern_counter: bool = False,
 ) -> list[str]:
@@ -138,7 +138,7 @@ def associate_kmers(
     return paths
 
 
-def associate_snps(spark: SparkSession, phenotype_file: str, base: str, out: str, best: int = 10_001, maf: float = 0.05, mac: int = 5) -> list[str]:
+def best_snps_files(spark: SparkSession, phenotype_file: str, base: str, out: str, best: int = 10_001, maf: float = 0.05, mac: int = 5) -> list[str]:
     """The best SNPs of each phenotype of a wide file as sets out.<phenotype>, cut out of the genotypes in one pass."""
     order, values = _phenotype(spark, phenotype_file, binary.fam_names(base + ".fam"))
     names = {a: i for i, a in enumerate(binary.fam_names(base + ".fam"))}
@@ -150,13 +150,13 @@ def associate_snps(spark: SparkSession, phenotype_file: str, base: str, out: str
     return paths
 
 
-def histogram_kmers_counts(reads: DataFrame, k: int, out: str) -> None:
+def histogram_file(reads: DataFrame, k: int, out: str) -> None:
     """How many k-mers of the reads (accession, seq) occur how often, dense from 0, tab-separated."""
     counts = kmers.corpus_counts(kmers.count_spellings(reads, "accession", "seq", k, rows_are_samples=True))
     _write(kmers.count_histogram(counts).orderBy("appearance"), out)
 
 
-def align_kinship_phenotype(spark: SparkSession, phenotype_file: str, names: list[str], kinship_file: str, out_phenotype: str, out_kinship: str, dbs: list[str]) -> list[str]:
+def aligned_files(spark: SparkSession, phenotype_file: str, names: list[str], kinship_file: str, out_phenotype: str, out_kinship: str, dbs: list[str]) -> list[str]:
     """Phenotypes and kinship of the samples that all of the phenotype file, the kinship's names and the tables' names hold, in
     the kinship's order; of repeated samples the first stays. Returns the samples."""
     df = text.read_phenotypes(spark, phenotype_file)
@@ -172,7 +172,7 @@ def align_kinship_phenotype(spark: SparkSession, phenotype_file: str, names: lis
     return order
 
 
-def transform_and_permute_phenotypes(spark: SparkSession, phenotype_file: str, kinship_file: str, permutations: int, out_permuted: str, out_transformed: str, log: str, seed: int = 0) -> mixedmodel.Fit:
+def permuted_files(spark: SparkSession, phenotype_file: str, kinship_file: str, permutations: int, out_permuted: str, out_transformed: str, log: str, seed: int = 0) -> mixedmodel.Fit:
     """A phenotype with its permutations, and both whitened, as wide files; the variance components as log."""
     rows = text.read_phenotypes(spark, phenotype_file)
     local = [(r[0], r[1]) for r in rows.withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()]  # as many as samples
@@ -185,13 +185,13 @@ def transform_and_permute_phenotypes(spark: SparkSession, phenotype_file: str, k
     return fit
 
 
-def kmers_gwas(
+def kmer_study(
     spark: SparkSession, base: str, phenotype_file: str, outdir: str, k: int, kmers_number: int = 10_001, first_number: int | None = None, permutations: int = 100,
     maf: float = 0.05, mac: int = 5, min_data_points: int = 30, pattern_counter: bool = False, seed: int = 0, compression: str = "gzip",
 ) -> gwas.Study | None:
     """The whole study of one phenotype on a table, its results in the folder outdir, which must not exist.
 
-    Written are log_file, EMMA_perm.log, best_kmers, tests, best_pvals, and for each level
+    Written are log_file, components.log, best_kmers, tests, best_pvals, and for each level
     threshold_<percent>per and pass_threshold_<percent>per.  With fewer samples
     than min_data_points the folder has NOT_ENOUGH_DATA and the log alone, and
     nothing is returned.  base.kinship is used where it is, else computed.
@@ -216,7 +216,7 @@ def kmers_gwas(
         given = given.union(spark.createDataFrame([(a, a, 1.0) for a in names], "accession_i string, accession_j string, k double"))
     rows = presence.unpack_presence(_table(spark, base, k, names), index)
     try:
-        study = gwas.kmers_gwas(rows, value, given, kmers_number, first_number, permutations, maf, mac, min_data_points, pattern_counter, seed)
+        study = gwas.kmer_study(rows, value, given, kmers_number, first_number, permutations, maf, mac, min_data_points, pattern_counter, seed)
     except gwas.NotEnoughData as error:
         binary.write_lines(f"{outdir}/NOT_ENOUGH_DATA", [])
         binary.write_lines(f"{outdir}/log_file", [*log, str(error)])
@@ -230,7 +230,7 @@ def kmers_gwas(
         binary.write_lines(f"{outdir}/threshold_{percent}per", [f"{r['threshold']:f}"])
         _write(study.passing[r["level"]].select("phenotype", word, "p").orderBy("p", "kmer"), f"{outdir}/pass_threshold_{percent}per")
     fit = study.fit
-    binary.write_lines(f"{outdir}/EMMA_perm.log", [f"vg\t{fit.vg:.9g}", f"ve\t{fit.ve:.9g}", f"herit\t{fit.heritability:.9g}"])
+    binary.write_lines(f"{outdir}/components.log", [f"vg\t{fit.vg:.9g}", f"ve\t{fit.ve:.9g}", f"herit\t{fit.heritability:.9g}"])
     log.append(f"effective maf {study.effective_maf:g}; {study.tested.first()['tested']} k-mers tested")
     if study.patterns is not None:
         log.append(f"{study.patterns.first()['patterns']} patterns")
@@ -238,7 +238,7 @@ def kmers_gwas(
     return study
 
 
-def snps_gwas(
+def snp_study(
     spark: SparkSession, base: str, phenotype_file: str, outdir: str, two_steps: bool = True, snps_number: int = 10_001, permutations: int = 100,
     maf: float = 0.05, mac: int = 5, most_missing: float = 0.5, seed: int = 0, compression: str = "gzip",
 ) -> DataFrame:
@@ -252,11 +252,11 @@ def snps_gwas(
     held = {r["accession"]: r["phenotype_value"] for r in value.collect()}  # as many as samples
     order = [i for i, a in enumerate(names) if a in held]
     if not binary.exists(base + ".kinship"):
-        emma_kinship(spark, base)
+        snp_kinship_file(spark, base)
     matrix = mixedmodel.mended(text.read_matrix(base + ".kinship")[np.ix_(order, order)])
     pheno = spark.createDataFrame([(i, float(held[names[i]])) for i in order], "accession long, phenotype_value double")
     calls = dosages(spark, base).withColumnRenamed("sample", "accession")
-    tests = gwas.snps_gwas(calls, pheno, matrix, order, snps_number if two_steps else None, permutations, minimum_count(len(order), maf, mac), seed, maf, most_missing).persist()
+    tests = gwas.snp_study(calls, pheno, matrix, order, snps_number if two_steps else None, permutations, minimum_count(len(order), maf, mac), seed, maf, most_missing).persist()
     for p in ["phenotype_value", *(f"P{i + 1}" for i in range(permutations))]:
         _write(tests.where(F.col("phenotype") == p).select("snp_idx", "p").orderBy("snp_idx"), f"{outdir}/{p}", compression)
     best = associate.best_pvals(tests).persist()

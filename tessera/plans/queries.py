@@ -519,7 +519,7 @@ def gwas_two_stage(spark, sf):
     Each test has the study's two thresholds and whether it passes them, which only the phenotype's own can.
     """
     pheno = labels(spark, sf).select("accession", F.col("quality").cast("double").alias("phenotype_value"))
-    study = gwas.kmers_gwas(samples(spark, sf, pheno), pheno)
+    study = gwas.kmer_study(samples(spark, sf, pheno), pheno)
     out = study.tests.join(study.scores.select("phenotype", "kmer", "score", "rank"), ["phenotype", "kmer"])
     at = {round(r["level"] * 100): r["threshold"] for r in study.thresholds.collect()}  # two rows
     for level, passed in study.passing.items():

@@ -279,14 +279,14 @@ def test_study(spark):
     y = x[7] * 3 + rng.normal(size=n)
     rows = spark.createDataFrame([(k, f"s{a:02}") for k in range(m) for a in np.flatnonzero(x[k])], "kmer long, accession string")
     pheno = spark.createDataFrame([(f"s{i:02}", float(v)) for i, v in enumerate(y)] + [("absent", 1.0)], "accession string, phenotype_value double")
-    study = gwas.kmers_gwas(rows, pheno, kmers_number=5, permutations=20, maf=0.1, pattern_counter=True)
+    study = gwas.kmer_study(rows, pheno, kmers_number=5, permutations=20, maf=0.1, pattern_counter=True)
     top = study.scores.where("phenotype = 'phenotype_value' AND rank = 1").first()
     assert top["kmer"] == 7 and study.passing[0.05].where("kmer = 7").count() == 1
     assert study.thresholds.count() == 2 and study.patterns.first()[0] <= study.tested.first()[0]
     with pytest.raises(gwas.NotEnoughData):
-        gwas.kmers_gwas(rows, pheno, min_data_points=60)
+        gwas.kmer_study(rows, pheno, min_data_points=60)
     geno = spark.createDataFrame([(s, f"s{a:02}", float(x[s, a])) for s in range(6, 10) for a in range(n)], "snp_idx int, accession string, dosage double")
     k = np.eye(n)
-    two = gwas.snps_gwas(geno, pheno, k, [f"s{i:02}" for i in range(n)], best=2, permutations=3)
+    two = gwas.snp_study(geno, pheno, k, [f"s{i:02}" for i in range(n)], best=2, permutations=3)
     assert two.groupBy("phenotype").count().orderBy("phenotype").collect()[0]["count"] == 2
     assert min(two.where("phenotype = 'phenotype_value'").collect(), key=lambda r: r["p"])["snp_idx"] == 7

@@ -37,11 +37,11 @@ def made(spark, tmp_path_factory):
     files = []
     for s in range(N):
         df = spark.createDataFrame([(f"s{s:02}", r) for r in reads[s]], "accession string, seq string")
-        programs.add_strand_information(df, f"{base}/k{s}", K)
+        programs.strand_file(df, f"{base}/k{s}", K)
         files.append((f"{base}/k{s}", f"s{s:02}"))
-    totals = programs.list_kmers_found_in_multiple_samples(spark, files, f"{base}/all", K, 5, 0.2)
-    programs.build_kmers_table(spark, files, f"{base}/all", f"{base}/t", K)
-    programs.emma_kinship_kmers(spark, f"{base}/t", K, 0.05)
+    totals = programs.cohort_files(spark, files, f"{base}/all", K, 5, 0.2)
+    programs.table_files(spark, files, f"{base}/all", f"{base}/t", K)
+    programs.kmer_kinship_file(spark, f"{base}/t", K, 0.05)
     return base, seen, totals, held
 
 
@@ -91,7 +91,7 @@ def test_kinship_files(spark, made, tmp_path):
     names = text.read_names(f"{base}/t.names")
     p = tmp_path / "p.tsv"
     p.write_text("accession_id\ty\nabsent\t1\ns07\t2.5\ns03\t1\ns07\t9\n")
-    order = programs.align_kinship_phenotype(spark, str(p), names, f"{base}/t.kinship", str(tmp_path / "o.tsv"), str(tmp_path / "o.kinship"), names[:20])
+    order = programs.aligned_files(spark, str(p), names, f"{base}/t.kinship", str(tmp_path / "o.tsv"), str(tmp_path / "o.kinship"), names[:20])
     assert order == ["s03", "s07"] and (tmp_path / "o.tsv").read_text() == "accession_id\ty\ns03\t1\ns07\t2.5\n"
     assert np.allclose(text.read_matrix(str(tmp_path / "o.kinship")), [[1, want[3][7]], [want[3][7], 1]], atol=1e-5)
 
@@ -100,12 +100,12 @@ def test_filter_kmers(spark, made, tmp_path):
     base, seen, _, _ = made
     ok = sorted(cohort_of(seen)[0])
     (tmp_path / "k").write_text(f"{ok[0][::-1].translate(SWAP)} {ok[3]}\n{'A' * K}\n")
-    programs.filter_kmers(spark, f"{base}/t", str(tmp_path / "k"), str(tmp_path / "out"))
+    programs.presence_file(spark, f"{base}/t", str(tmp_path / "k"), str(tmp_path / "out"))
     rows = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).collect()
     assert {r["kmer"]: [int(v) for v in list(r)[1:]] for r in rows} == {w: [int(w in at) for at in seen] for w in (ok[0], ok[3])}
     (tmp_path / "k").write_text("\n")
     with pytest.raises(ValueError):
-        programs.filter_kmers(spark, f"{base}/t", str(tmp_path / "k"), str(tmp_path / "out2"))
+        programs.presence_file(spark, f"{base}/t", str(tmp_path / "k"), str(tmp_path / "out2"))
 
 
 def phenotype(tmp_path, held, n=N):
@@ -120,12 +120,12 @@ def test_exports_and_associations(spark, made, tmp_path):
     base, seen, _, held = made
     path, values = phenotype(tmp_path, held, 30)
     ok = [w for w in sorted(cohort_of(seen)[0]) if 5 <= sum(w in at for at in seen[:30]) <= 25]
-    paths = programs.kmers_table_to_bed(spark, f"{base}/t", path, str(tmp_path / "b"), K, batch_size=40)
+    paths = programs.bed_files(spark, f"{base}/t", path, str(tmp_path / "b"), K, batch_size=40)
     beds = [spark.read.format("plink_bed").option("path", p).load().collect() for p in paths]
     assert [r["name"] for b in beds for r in sorted(b, key=lambda r: r["snp_idx"])] == ok and len(beds) == -(-len(ok) // 40)
     assert all(r["codes"] == [3 * (r["name"] in at) for at in seen[:30]] for b in beds for r in b)
     assert float((tmp_path / "b.0.fam").read_text().split()[5]) == pytest.approx(values[0], abs=1e-5)
-    paths = programs.associate_kmers(spark, f"{base}/t", path, str(tmp_path / "a"), K, best=3, first_phenotype_best=5, kmers_scores=True, pattern_counter=True)
+    paths = programs.best_kmers_files(spark, f"{base}/t", path, str(tmp_path / "a"), K, best=3, first_phenotype_best=5, kmers_scores=True, pattern_counter=True)
     assert [p.rpartition("/")[2] for p in paths] == ["a.0.phenotype_value", "a.1.other"]
     tops = [spark.read.format("plink_bed").option("path", p).load().collect() for p in paths]
     assert sorted(int(r["name"].split("_")[1]) for r in tops[0]) == [1, 2, 3, 4, 5] and len(tops[1]) == 3
@@ -134,35 +134,35 @@ def test_exports_and_associations(spark, made, tmp_path):
     assert binary.read_raw_kmers(spark, str(tmp_path / "a.0.best_kmers.scores"), True).count() == 5
     (tmp_path / "bad.tsv").write_text("accession_id\ty\nnobody\t1\n")
     with pytest.raises(Exception, match="unknown"):
-        programs.kmers_table_to_bed(spark, f"{base}/t", str(tmp_path / "bad.tsv"), str(tmp_path / "c"), K)
+        programs.bed_files(spark, f"{base}/t", str(tmp_path / "bad.tsv"), str(tmp_path / "c"), K)
 
 
 def test_study_files(spark, made, tmp_path):
     base, seen, _, held = made
     path, _ = phenotype(tmp_path, held)
-    study = programs.kmers_gwas(spark, f"{base}/t", path, str(tmp_path / "out"), K, kmers_number=8, permutations=20)
+    study = programs.kmer_study(spark, f"{base}/t", path, str(tmp_path / "out"), K, kmers_number=8, permutations=20)
     best = spark.read.csv(str(tmp_path / "out/best_kmers"), sep="\t", header=True, inferSchema=True)
     assert best.groupBy("phenotype").count().where("count = 8").count() == 21
     passed = spark.read.csv(str(tmp_path / "out/pass_threshold_5per"), sep="\t", header=True).collect()
     carriers = [6 in h for h in held]
     assert passed and [r["kmer"] in at for r in passed[:1] for at in seen] == carriers
     assert float((tmp_path / "out/threshold_5per").read_text()) == pytest.approx(study.thresholds.where("level = 0.05").first()["threshold"], abs=1e-5)
-    assert "herit" in (tmp_path / "out/EMMA_perm.log").read_text() and "k-mers tested" in (tmp_path / "out/log_file").read_text()
+    assert "herit" in (tmp_path / "out/components.log").read_text() and "k-mers tested" in (tmp_path / "out/log_file").read_text()
     log = study.log().first()
     assert log["h2"] == pytest.approx(log["vg"] / (log["vg"] + log["ve"]))
     study.release()
     with pytest.raises(ValueError, match="exists"):
-        programs.kmers_gwas(spark, f"{base}/t", path, str(tmp_path / "out"), K)
+        programs.kmer_study(spark, f"{base}/t", path, str(tmp_path / "out"), K)
     with pytest.raises(ValueError, match="kmers_number"):
-        programs.kmers_gwas(spark, f"{base}/t", path, str(tmp_path / "none"), K, kmers_number=0)
+        programs.kmer_study(spark, f"{base}/t", path, str(tmp_path / "none"), K, kmers_number=0)
     few, _ = phenotype(tmp_path, held, 12)
-    assert programs.kmers_gwas(spark, f"{base}/t", few, str(tmp_path / "few"), K) is None and (tmp_path / "few/NOT_ENOUGH_DATA").exists()
+    assert programs.kmer_study(spark, f"{base}/t", few, str(tmp_path / "few"), K) is None and (tmp_path / "few/NOT_ENOUGH_DATA").exists()
 
 
 def test_phenotype_files(spark, made, tmp_path):
     base, _, _, held = made
     path, values = phenotype(tmp_path, held)
-    fit = programs.transform_and_permute_phenotypes(spark, path, f"{base}/t.kinship", 3, str(tmp_path / "p"), str(tmp_path / "t"), str(tmp_path / "log"), seed=5)
+    fit = programs.permuted_files(spark, path, f"{base}/t.kinship", 3, str(tmp_path / "p"), str(tmp_path / "t"), str(tmp_path / "log"), seed=5)
     y, k = np.array([round(v, 6) for v in values]), mixedmodel.mended(text.read_matrix(f"{base}/t.kinship"))
     want = mixedmodel.transform_and_permute(np.float32(y).astype(float), k, 3, 5)
     got = text.read_phenotypes(spark, str(tmp_path / "p")).orderBy("accession_id").toPandas()
@@ -181,10 +181,10 @@ def test_snp_files(spark, tmp_path):
     binary.write_genotypes(geno, base, names)
     y = 3 * np.nan_to_num(dose[2], nan=0.5) + 0.3 * rng.normal(size=n)
     (tmp_path / "p.tsv").write_text("accession_id\ty\n" + "".join(f"{a}\t{v:.6f}\n" for a, v in zip(names, y)))
-    programs.emma_kinship(spark, base)
+    programs.snp_kinship_file(spark, base)
     assert text.read_matrix(base + ".kinship").shape == (n, n)
-    one = programs.snps_gwas(spark, base, str(tmp_path / "p.tsv"), str(tmp_path / "one"), two_steps=False, permutations=20)
-    two = programs.snps_gwas(spark, base, str(tmp_path / "p.tsv"), str(tmp_path / "two"), snps_number=4, permutations=20)
+    one = programs.snp_study(spark, base, str(tmp_path / "p.tsv"), str(tmp_path / "one"), two_steps=False, permutations=20)
+    two = programs.snp_study(spark, base, str(tmp_path / "p.tsv"), str(tmp_path / "two"), snps_number=4, permutations=20)
     counts = {r["phenotype"]: r["count"] for r in one.groupBy("phenotype").count().collect()}
     af = np.nanmean(dose, axis=1)
     kept = [i for i in range(m) if np.minimum(af[i], 1 - af[i]) >= 0.05 and np.isnan(dose[i]).mean() <= 0.5]
@@ -196,14 +196,14 @@ def test_snp_files(spark, tmp_path):
     for s in kept[:8]:
         assert real[s] == pytest.approx(mixedmodel.lrt(y32 - y32.mean(), k, dose[s]), rel=1e-4, abs=1e-12)
     assert spark.read.csv(str(tmp_path / "two/pass_threshold_5per"), sep="\t", header=True).where("snp_idx = 2").count() == 1
-    paths = programs.associate_snps(spark, str(tmp_path / "p.tsv"), base, str(tmp_path / "best"), best=3)
+    paths = programs.best_snps_files(spark, str(tmp_path / "p.tsv"), base, str(tmp_path / "best"), best=3)
     top = [r["name"] for r in spark.read.format("plink_bed").option("path", paths[0]).load().collect()]
     assert len(top) == 3 and "snp2" in top
 
 
 def test_histogram(spark, tmp_path):
     reads = spark.createDataFrame([("a", "ACGTACGTACGTA"), ("b", "ACGTACGTACGTT")], "accession string, seq string")
-    programs.histogram_kmers_counts(reads, 10, str(tmp_path / "h"))
+    programs.histogram_file(reads, 10, str(tmp_path / "h"))
     rows = [tuple(r) for r in spark.read.csv(str(tmp_path / "h"), sep="\t", header=True, inferSchema=True).orderBy("appearance").collect()]
     words = {}
     for s in ("ACGTACGTACGTA", "ACGTACGTACGTT"):
